@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import language_id, line_quality, url_filter
+from gridloom.llm import language_id, line_quality, substring_dedup, url_filter
 
 URL_RULES = [
     url_filter.Rule("allow", "com", "/"),
@@ -29,6 +29,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.expr("crc32(cast(doc_id as string)) % 3 = 1").alias("held_out"), "score", "predicted")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents", "doc_id", "text")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit_from(_table(spark, sf_dir, "documents", "doc_id", "text", "lang"), "crc32(cast(doc_id as string)) % 4 <> 2")
     return language_id.identify(_table(spark, sf_dir, "documents", "doc_id", "text"), model).select(
@@ -42,11 +47,22 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_language_id": op3_language_id,
     "op6_url_filters": op6_url_filters,
 }
 
 SQL: dict[str, str] = {
+    "op2_substring_dedup": r"""
+        WITH w AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+        g AS (SELECT rid, p, array_to_string(ws[p : p + 34], ' ') AS g FROM w, unnest(range(1, len(ws) - 33)) AS t(p)),
+        r AS (SELECT g FROM g GROUP BY g HAVING count(*) > 1),
+        c AS (SELECT DISTINCT rid, p + i AS pos FROM g SEMI JOIN r USING (g), unnest(range(0, 35)) AS t(i)),
+        x AS (SELECT rid, list(pos) AS gone FROM c GROUP BY rid),
+        k AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+                     array_to_string(list_filter(list_transform(ws, lambda v, i: CASE WHEN gone IS NULL OR NOT list_contains(gone, i) THEN v END), lambda v: v IS NOT NULL), ' ') AS kept
+              FROM w LEFT JOIN x USING (rid))
+        SELECT doc_id, n_words, n_removed, sha256(kept) AS kept_sha256 FROM k""",
     "op6_url_filters": r"""
         WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
         s AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
