@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import language_id, line_quality, substring_dedup, url_filter
+from gridloom.llm import language_id, line_quality, packing, piece_sampling, quality_rules, substring_dedup, token_counts, url_filter
 
 URL_RULES = [
     url_filter.Rule("allow", "com", "/"),
@@ -40,16 +41,43 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.expr("crc32(cast(doc_id as string)) % 4 = 2").alias("held_out"), "lang_pred", "score")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    got = piece_sampling.encode(_table(spark, sf_dir, "documents", "doc_id", "text"), path)
+    return piece_sampling.decode(got, path).select(
+        "doc_id", "piece_ids", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"),
+        F.expr("decoded <=> text").alias("lossless"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES).select(
         "page_id", "host", "path", "rule", "verdict")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).select(
+        "doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, sf_dir, "documents", "doc_id", "text")).select(
+        "doc_id", *quality_rules.BASE, "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_language_id": op3_language_id,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_url_filters": op6_url_filters,
+    "op7_packing": op7_packing,
+    "op8_token_counts": op8_token_counts,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 SQL: dict[str, str] = {
@@ -72,4 +100,19 @@ SQL: dict[str, str] = {
         m AS (SELECT page_id, arg_max(h || p, length(h) * 1000 + length(p)) AS rule, arg_max(v, length(h) * 1000 + length(p)) AS v
               FROM s JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
         SELECT s.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM s LEFT JOIN m USING (page_id)""",
+    "op9_quality_rules": r"""
+        WITH w AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
+                          coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+        g AS (SELECT rid, p, [ws[p], ws[p + 1], ws[p + 2]] AS g FROM w, unnest(range(1, len(ws) - 1)) AS t(p)),
+        r AS (SELECT rid, g FROM g GROUP BY rid, g HAVING count(*) > 1),
+        c AS (SELECT rid, count(DISTINCT p + i) AS n FROM g SEMI JOIN r USING (rid, g), unnest(range(0, 3)) AS t(i) GROUP BY rid),
+        l AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM w)
+              WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+        b AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+                     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+                     coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+              FROM w LEFT JOIN c USING (rid) LEFT JOIN l USING (rid)),
+        f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+        SELECT *, NOT base_failed AND NOT (5 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+                                           OR 5 * n_dup_lines > n_words) AS kept FROM f""",
 }
