@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import language_id, line_quality, packing, piece_sampling, quality_rules, substring_dedup, token_counts, url_filter
+from gridloom.llm import decontaminate, language_id, line_quality, packing, piece_sampling, quality_rules, substring_dedup, token_counts, url_filter
 
 URL_RULES = [
     url_filter.Rule("allow", "com", "/"),
@@ -41,6 +41,13 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.expr("crc32(cast(doc_id as string)) % 4 = 2").alias("held_out"), "lang_pred", "score")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "item_id", "text")
+    return decontaminate.find_contamination(docs, items).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"), "contaminated")
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     got = piece_sampling.encode(_table(spark, sf_dir, "documents", "doc_id", "text"), path)
@@ -73,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_language_id": op3_language_id,
+    "op4_decontamination": op4_decontamination,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_url_filters": op6_url_filters,
     "op7_packing": op7_packing,
@@ -81,6 +89,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op4_decontamination": r"""
+        WITH lower AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS a, 'abcdefghijklmnopqrstuvwxyz' AS b),
+        d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(translate(text, a, b), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents, lower),
+        i AS (SELECT item_id, coalesce(regexp_extract_all(translate(text, a, b), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM benchmark, lower),
+        iw AS (SELECT DISTINCT item_id, n, ws[p : p + n - 1] AS g FROM (SELECT *, least(len(ws), 10) AS n FROM i WHERE len(ws) > 0), unnest(range(1, len(ws) - n + 2)) AS t(p)),
+        n AS (SELECT DISTINCT n FROM iw),
+        dw AS (SELECT rid, n, p, ws[p : p + n - 1] AS g FROM d, n, unnest(range(1, len(ws) - n + 2)) AS t(p)),
+        h AS (SELECT rid, n, p, item_id FROM dw JOIN iw USING (n, g)),
+        c AS (SELECT rid, count(DISTINCT p + k) AS n_hit FROM h, unnest(range(0, n)) AS t(k) GROUP BY rid),
+        m AS (SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT rid, item_id::VARCHAR AS id FROM h) GROUP BY rid)
+        SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN c USING (rid) LEFT JOIN m USING (rid)""",
     "op2_substring_dedup": r"""
         WITH w AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
         g AS (SELECT rid, p, array_to_string(ws[p : p + 34], ' ') AS g FROM w, unnest(range(1, len(ws) - 33)) AS t(p)),
