@@ -261,7 +261,7 @@ class LocalMetres:
         lon = self.lon0 + F.degrees(F.atan2(F.sinh(eta), F.cos(xi)))
         chi = F.asin(F.sin(xi) / F.cosh(eta))
         q0, q = F.atanh(F.sin(chi)), F.atanh(F.sin(chi))
-        for _ in range(4):
+        for _ in range(7):
             q = q0 + e * F.atanh(e * F.tanh(q))
         return lon, F.degrees(F.asin(F.tanh(q)))
 

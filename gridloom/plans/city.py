@@ -120,7 +120,7 @@ def run_core(spark: SparkSession, cfg: CityConfig) -> dict[str, DataFrame]:
         parsed = citygml.meshes(citygml.read_files(spark, paths), cfg.building_lod)
     parsed = parsed.where(F.col("failure").isNull() & F.col("feature_type").isin(*cfg.feature_types))
     near = mesh_ops.in_rectangle(parsed, [sw, nw, ne, se], x="y", y="x")
-    near = near.withColumn("seq", F.xxhash64("path", "feature_id", "k"))
+    near = near.withColumn("seq", F.xxhash64("path", "feature_id", "k")).persist()  # XML is parsed once, not once for each table
     ids = mesh_ops.renumber(near.where(F.lit(cfg.include_bridges) | (F.col("feature_type") != "bridge")))
     if ids.isEmpty() or ids.where("feature_type = 'building'").isEmpty():
         raise ValueError("no buildings in the rectangle")
@@ -129,9 +129,10 @@ def run_core(spark: SparkSession, cfg: CityConfig) -> dict[str, DataFrame]:
     plain = lambda kind: mesh_ops.triangles(near.where(F.col("feature_type") == kind))
     cells = frame.centres(spark).select("r", "c")
     dem = model.named_source(spark, cfg.dem_source) if cfg.dem_source else raster.terrain_heights(_grid(plain("terrain"), frame), cells, frame.n_rows, frame.n_cols)
+    dem = dem.persist()
     objects = tri("building").unionByName(tri("bridge"))
-    over = raster.mesh_cells(_grid(objects, frame), frame.n_rows, frame.n_cols)
-    heights, segments = raster.building_heights(over, dem), raster.building_segments(over, dem)
+    over = raster.mesh_cells(_grid(objects, frame), frame.n_rows, frame.n_cols).persist()
+    heights, segments = raster.building_heights(over, dem).persist(), raster.building_segments(over, dem)
     cover = cells.withColumn("code", F.lit(raster.DEFAULT_CLASS)) if cfg.land_cover_source == "CityGML" else model.named_source(spark, cfg.land_cover_source)
     plants = raster.mesh_cells(_grid(plain("vegetation"), frame), frame.n_rows, frame.n_cols).withColumn("height", F.lit(None).cast("double"))
     own = raster.vegetation_tops(plants, dem)
@@ -148,7 +149,7 @@ def run_core(spark: SparkSession, cfg: CityConfig) -> dict[str, DataFrame]:
     stamp = lambda df, code: df.select("r", "c", "z", F.lit(code).alias("code"))
     bridge = stamp(voxel.surface_solid(_metres(tri("bridge"), local), vf, knobs.occupancy_threshold), voxel.BUILDING) if cfg.include_bridges else None
     trees = stamp(voxel.surface_solid(_metres(plain("vegetation"), local), vf, knobs.occupancy_threshold), voxel.TREE)
-    voxels = build_voxels(vf, dem, None, stamp(solid, voxel.BUILDING), bridge, trees, cover, canopy)
+    voxels = build_voxels(vf, dem, None, stamp(solid, voxel.BUILDING), bridge, trees, cover, canopy).persist()
     roofed = voxels.where(F.col("code") == voxel.BUILDING).select("r", "c").distinct()
     filled = heights.select("r", "c", "h", "id").unionByName(
         raster.fill_ids(roofed, heights.select("r", "c", "id"), frame.n_rows, frame.n_cols).withColumn("h", F.lit(0.0)).select("r", "c", "h", "id"))

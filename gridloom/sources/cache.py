@@ -22,7 +22,7 @@ def misses(files: DataFrame, manifest: DataFrame) -> DataFrame:
 def listing(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, size, mtime) of .gml files, without reading them."""
     b = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.gml").load(paths)
-    return b.select(F.col("path").alias("file"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime"))
+    return b.select(F.col("_metadata.file_path").alias("file"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime"))
 
 
 def refresh(spark: SparkSession, paths: str | list[str], root: str, lod: int | None = None) -> DataFrame:

@@ -27,6 +27,7 @@ def discover(spark: SparkSession, path: str) -> list[str]:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    at = fs.makeQualified(at)
 
     def entries(p):
         return sorted(((s.getPath(), s.isDirectory()) for s in fs.listStatus(p)), key=lambda x: str(x[0]))
@@ -47,8 +48,8 @@ def discover(spark: SparkSession, path: str) -> list[str]:
 
 def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, text, feature_type, epsg, mesh_code) of all .gml files below the paths."""
-    t = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.gml").text(paths)
-    t = t.select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    t = spark.read.text(paths, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.gml")
+    t = t.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     folder = F.regexp_extract("path", r"/udx/([^/]+)/", 1)
     kind = F.coalesce(*[F.when(folder == k, F.lit(v)) for k, v in FOLDERS.items()], codes.probe_type(F.col("text")), F.lit("building"))
     return t.select("path", "text", kind.alias("feature_type"), codes.resolve_srs(codes.srs_name(F.col("text"))).alias("epsg"), codes.mesh_code(F.col("path")).alias("mesh_code"))
