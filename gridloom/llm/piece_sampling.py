@@ -45,7 +45,7 @@ def uniform(seed: int, key: np.ndarray, unit: np.ndarray, step: int) -> np.ndarr
 class PieceSampler:
     """One vocabulary and theta. Keeps the lattices of distinct units up to NODES positions between calls."""
 
-    NODES = 2_500_000
+    NODES = 1_500_000
 
     def __init__(self, path: str, theta: float) -> None:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -91,7 +91,8 @@ class PieceSampler:
     def reset(self) -> None:
         self.ends: dict[str, int] = {}  # unit -> its last node
         self.nodes = 0
-        self.cum, self.prev, self.piece = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.used = 0
+        self.cum, self.prev, self.piece = np.empty(1 << 16), np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32)
 
     def _edges(self, chars: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(start, length, piece, log weight) of every piece in the units; stop: each character's unit's end."""
@@ -136,30 +137,35 @@ class PieceSampler:
         src = start + unit[start]
         dst = src + length
         depth = dst - first[unit[start]]
-        order = np.lexsort((src, dst, depth))
+        order = np.argsort(dst, kind="stable")
         src, dst, piece, logw, depth = src[order], dst[order], piece[order], logw[order], depth[order]
         alpha = np.zeros(len(chars) + len(new))
         cum = np.empty(len(src))
-        cuts = np.searchsorted(depth, np.arange(1, size.max() + 2))
+        by_depth = np.argsort(depth.astype(np.uint16) if size.max() < 65_536 else depth, kind="stable")  # 16 bits: radix sort
+        cuts = np.cumsum(np.bincount(depth, minlength=size.max() + 1))
         for a, b in zip(cuts[:-1], cuts[1:]):
-            to = dst[a:b]
+            here = by_depth[a:b]
+            to = dst[here]
             seg = np.r_[True, to[1:] != to[:-1]]
             at = np.flatnonzero(seg)
             seg = np.cumsum(seg) - 1
-            x = alpha[src[a:b]] + logw[a:b]
+            x = alpha[src[here]] + logw[here]
             top = np.maximum.reduceat(x, at)
             e = np.exp(x - top[seg])
             run = np.cumsum(e)
             total = np.add.reduceat(e, at)
             before = (run[at] - e[at])[seg]
             alpha[to[at]] = top + np.log(total)
-            cum[a:b] = np.minimum((run - before) / total[seg], 1.0)
-            cum[a:b][np.r_[at[1:] - 1, b - a - 1]] = 1.0
-        order = np.argsort(dst, kind="stable")
+            part = np.minimum((run - before) / total[seg], 1.0)
+            part[np.r_[at[1:] - 1, b - a - 1]] = 1.0
+            cum[here] = part
         base = self.nodes
-        self.cum = np.concatenate([self.cum, (base + dst + cum)[order]])
-        self.prev = np.concatenate([self.prev, base + src[order]])
-        self.piece = np.concatenate([self.piece, piece[order]])
+        new_used = self.used + len(dst)
+        while new_used > len(self.cum):  # rooms double, so that learning a few units doesn't copy all of them
+            self.cum, self.prev, self.piece = (np.concatenate([x, np.empty_like(x)]) for x in (self.cum, self.prev, self.piece))
+        at = slice(self.used, new_used)
+        self.cum[at], self.prev[at], self.piece[at] = base + dst + cum, base + src, piece
+        self.used = new_used
         self.ends.update(zip(new, (base + first + size).tolist()))
         self.nodes += len(alpha)
 
@@ -176,11 +182,11 @@ class PieceSampler:
         left = np.fromiter(map(len, flat), np.int64, len(flat))
         first = node - left
         key = keys[owner]
-        live, step = np.arange(len(flat)), 0
+        live, step, cum = np.arange(len(flat)), 0, self.cum[: self.used]
         seen: list[tuple[np.ndarray, np.ndarray]] = []
         while len(live):
             u = node[live] + uniform(seed, key[live], number[live], step)
-            e = np.searchsorted(self.cum, u, side="right")
+            e = np.searchsorted(cum, u, side="right")
             seen.append((live, self.piece[e]))
             node[live] = self.prev[e]
             live = live[node[live] > first[live]]
