@@ -120,13 +120,24 @@ def rules_over_text(text: str = "text") -> list[Rule]:
     return out
 
 
-def order_rules(df: DataFrame, rules: list[Rule], rows: int = 1000) -> list[Rule]:
-    """The rules by rejection per cost, both estimated on the first `rows` rows of lowest text hash order seen.
+#: The sample on which rules are rated: so many rows, of texts of up to so many characters.
+SAMPLE_ROWS, SAMPLE_CHARS = 1000, 20_000
+
+
+def sample_of(df: DataFrame, text_col: str) -> DataFrame:
+    """The texts of the first SAMPLE_ROWS rows met, as a local table; it reads as few partitions as hold them."""
+    text = F.col(f"`{text_col}`").alias("text")
+    rows = df.select(text).where(f"coalesce(length(text), 0) <= {SAMPLE_CHARS}").limit(SAMPLE_ROWS).collect()
+    return df.sparkSession.createDataFrame([(r[0],) for r in rows], "text string").coalesce(1)
+
+
+def order_rules(sample: DataFrame, rules: list[Rule]) -> list[Rule]:
+    """The rules by rejection per cost, both estimated on the sample.
 
     Each rule is evaluated over the stored sample once to warm up and once timed, so order may differ from
     run to run; verdicts don't.
     """
-    sample = df.limit(rows).cache()
+    sample = sample.cache()
     try:
         total = sample.count()
         if not total:
@@ -163,7 +174,7 @@ def judge(df: DataFrame, text_col: str = "text") -> DataFrame:
     replaced. An empty table gives an empty table.
     """
     counted = base_counts(without(df, ["base_failed", "kept"]) if text_col not in ("base_failed", "kept") else df, text_col)
-    rules = order_rules(counted, RULES)
+    rules = order_rules(base_counts(sample_of(df, text_col)), RULES)
     return counted.withColumns({
         "base_failed": F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"),
         "kept": F.expr(verdict_sql(rules)),
@@ -172,5 +183,6 @@ def judge(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 def keep(df: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of df that pass every rule, with df's columns; the cascade computes no count it doesn't need."""
-    rules = order_rules(df, rules_over_text(f"`{text_col}`"))
+    order = [r.name for r in order_rules(sample_of(df, text_col), rules_over_text("text"))]
+    rules = sorted(rules_over_text(f"`{text_col}`"), key=lambda r: order.index(r.name))
     return df.where(F.expr(verdict_sql(rules)))
