@@ -161,6 +161,31 @@ def outward(tri: DataFrame) -> DataFrame:
     return t.select("mesh", "face", "x0", "y0", "z0", *[swap[f"{k}{i}"].alias(f"{k}{i}") for i in (1, 2) for k in "xyz"])
 
 
+def terrain_solid(vertices: DataFrame, faces: DataFrame, offset: int, bottom_z: float, tolerance: float = 1e-10) -> tuple[DataFrame, DataFrame]:
+    """A closed solid of a terrain surface: degenerate faces out, vertices welded, doubled and crowding faces out, then extruded."""
+    fit = faces.join(drop_degenerate(face_points(faces, vertices)).select("mesh", "face"), ["mesh", "face"], "left_semi")
+    v, f = weld(vertices, fit, tolerance)
+    return extrude(v, drop_crowding(drop_overlaps(f, v)), offset, bottom_z)
+
+
+def repair_accepted(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(mesh, accepted) of repaired triangles (mesh, x0..z2): area from a tenth to five times the former, and the
+    centre moved by at most 5 % of the box's diagonal or 15 m, whichever is more."""
+    from gridloom.functions.geometry import triangle_area
+
+    def measured(t: DataFrame, n: str) -> DataFrame:
+        mid = {k: (F.col(f"{k}0") + F.col(f"{k}1") + F.col(f"{k}2")) / 3 for k in "xyz"}
+        return t.groupBy("mesh").agg(
+            F.sum(triangle_area()).alias(f"area{n}"), *[F.avg(v).alias(f"{k}{n}") for k, v in mid.items()],
+            *[(F.max(F.greatest(*[F.col(f"{k}{i}") for i in range(3)])) - F.min(F.least(*[F.col(f"{k}{i}") for i in range(3)]))).alias(f"d{k}{n}") for k in "xyz"])
+
+    j = measured(before, "a").join(measured(after, "b"), "mesh")
+    norm = lambda xs: F.sqrt(sum((x * x for x in xs), F.lit(0.0)))
+    drift, size = norm([F.col(f"{k}a") - F.col(f"{k}b") for k in "xyz"]), norm([F.col(f"d{k}a") for k in "xyz"])
+    ratio = F.col("areab") / F.col("areaa")
+    return j.select("mesh", ((ratio >= 0.1) & (ratio <= 5) & (drift <= F.greatest(0.05 * size, F.lit(15.0)))).alias("accepted"))
+
+
 #: Corners and faces of a box, outward (fixed values).
 BOX_CORNERS = [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)]
 BOX_FACES = [(0, 2, 1), (0, 3, 2), (4, 5, 6), (4, 6, 7), (0, 1, 5), (0, 5, 4), (1, 2, 6), (1, 6, 5), (2, 3, 7), (2, 7, 6), (3, 0, 4), (3, 4, 7)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
@@ -312,15 +312,15 @@ def fill_holes(cells: DataFrame) -> DataFrame:
     return cells.select("seq", *CELL).groupBy("seq").applyInPandas(run, "seq long, r int, c int, z int")
 
 
-def building_solid(tri: DataFrame, frame: VoxelFrame, threshold: float, parts: int, how: str, shell_threshold: float = 0.0) -> DataFrame:
+def building_solid(tri: DataFrame, frame: VoxelFrame, threshold: float, parts: int, how: str, shell_threshold: float = 0.0, keep: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
     """(seq, r, c, z) of building meshes: the cells they wind around plus an anchored shell.
 
-    The shell is the cells a mesh enters; a mesh that enters none takes those it touches.
+    The shell is the cells a mesh enters; a mesh that enters none takes those it touches. keep: what to do
+    with tables that several steps read, such as a checkpoint.
     """
-    inner = winding_fill(tri, frame)
-    enters = surface_cells(tri, frame, False)
+    inner, enters = keep(winding_fill(tri, frame)), keep(surface_cells(tri, frame, False))
     bare = tri.join(enters.select("seq").distinct(), "seq", "left_anti").join(inner.select("seq").distinct(), "seq", "left_anti")
-    shell = enters.unionByName(surface_cells(bare, frame, True))
+    shell = enters.unionByName(surface_cells(keep(bare), frame, True))
     most = max(threshold, shell_threshold)
     if most > 0:
         shell = shell.join(at_least(occupancy(tri, frame, parts), most).select("seq", *CELL), ["seq", *CELL], "left_semi")

@@ -7,10 +7,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions import codes
 from gridloom.functions.frames import GridFrame, LocalMetres, VoxelFrame, buffered, create_rectangle, rectangle_metres, voxel_frame
 from gridloom.operators import meshes as mesh_ops
 from gridloom.operators import raster, voxel
 from gridloom.sources import citygml, model
+from gridloom.sources.scratch import settled
 
 
 @dataclass(frozen=True)
@@ -89,12 +91,12 @@ def build_voxels(frame: VoxelFrame, dem: DataFrame, terrain: DataFrame | None, b
 
 
 def _grid(tri: DataFrame, frame: GridFrame) -> DataFrame:
-    """Triangles x = latitude, y = longitude in grid coordinates."""
+    """Triangles x = latitude, y = longitude in grid coordinates. Kept, so that the frame's arithmetic isn't written out in every use."""
     out = tri
     for i in range(3):
         r, c = frame.rowcol(F.col(f"y{i}"), F.col(f"x{i}"))
         out = out.withColumns({f"__r{i}": r, f"__c{i}": c})
-    return out.select("seq", *[x for i in range(3) for x in (F.col(f"__c{i}").alias(f"x{i}"), F.col(f"__r{i}").alias(f"y{i}"), F.col(f"z{i}"))])
+    return settled(out.select("seq", *[x for i in range(3) for x in (F.col(f"__c{i}").alias(f"x{i}"), F.col(f"__r{i}").alias(f"y{i}"), F.col(f"z{i}"))]))
 
 
 def _metres(tri: DataFrame, local: LocalMetres) -> DataFrame:
@@ -102,7 +104,7 @@ def _metres(tri: DataFrame, local: LocalMetres) -> DataFrame:
     for i in range(3):
         x, y = local.project(F.col(f"y{i}"), F.col(f"x{i}"))
         out = out.withColumns({f"__x{i}": x, f"__y{i}": y})
-    return out.select("seq", *[e for i in range(3) for e in (F.col(f"__x{i}").alias(f"x{i}"), F.col(f"__y{i}").alias(f"y{i}"), F.col(f"z{i}"))])
+    return settled(out.select("seq", *[e for i in range(3) for e in (F.col(f"__x{i}").alias(f"x{i}"), F.col(f"__y{i}").alias(f"y{i}"), F.col(f"z{i}"))]))
 
 
 def run_core(spark: SparkSession, cfg: CityConfig) -> dict[str, DataFrame]:
@@ -112,31 +114,39 @@ def run_core(spark: SparkSession, cfg: CityConfig) -> dict[str, DataFrame]:
     cx, cy = sum(p[0] for p in rect) / 4, sum(p[1] for p in rect) / 4
     frame, local = GridFrame.of(rect, cfg.voxel_size), rectangle_metres(rect, cx, cy, spark)
     paths = [p for q in ([cfg.citygml_path] if isinstance(cfg.citygml_path, str) else cfg.citygml_path) for p in citygml.discover(spark, q)]
+    files = citygml.read_files(spark, paths).where(codes.in_rectangle_by_name(F.col("path"), rect))
     if cfg.cache_root:
         from gridloom.sources.cache import refresh
 
         parsed = refresh(spark, paths, cfg.cache_root, cfg.building_lod)
     else:
-        parsed = citygml.meshes(citygml.read_files(spark, paths), cfg.building_lod)
+        parsed = citygml.meshes(files, cfg.building_lod)
     parsed = parsed.where(F.col("failure").isNull() & F.col("feature_type").isin(*cfg.feature_types))
     near = mesh_ops.in_rectangle(parsed, [sw, nw, ne, se], x="y", y="x")
-    near = near.withColumn("seq", F.xxhash64("path", "feature_id", "k")).persist()  # XML is parsed once, not once for each table
+    near = settled(near.withColumn("seq", F.xxhash64("path", "feature_id", "k")))  # XML is parsed once, not once for each table
     ids = mesh_ops.renumber(near.where(F.lit(cfg.include_bridges) | (F.col("feature_type") != "bridge")))
     if ids.isEmpty() or ids.where("feature_type = 'building'").isEmpty():
         raise ValueError("no buildings in the rectangle")
     numbered = near.join(ids.select("seq", "id"), "seq")
-    tri = lambda kind: mesh_ops.triangles(numbered.where(F.col("feature_type") == kind).withColumn("seq", F.col("id")))
+    solid_tri = lambda kind: mesh_ops.triangles(numbered.where(F.col("feature_type") == kind).withColumn("seq", F.col("id")))
     plain = lambda kind: mesh_ops.triangles(near.where(F.col("feature_type") == kind))
     cells = frame.centres(spark).select("r", "c")
-    dem = model.named_source(spark, cfg.dem_source) if cfg.dem_source else raster.terrain_heights(_grid(plain("terrain"), frame), cells, frame.n_rows, frame.n_cols)
-    dem = dem.persist()
+    dem = settled(raster.terrain_heights(_grid(plain("terrain"), frame), cells, frame.n_rows, frame.n_cols))
+    tri, plants = solid_tri, plain("vegetation")
+    if cfg.dem_source:
+        # Another ground: every mesh is lifted as a whole onto it.
+        old, dem = dem, settled(cells.withColumn("dem", F.lit(0.0)) if cfg.dem_source == "Flat" else model.named_source(spark, cfg.dem_source))
+        known = None if near.where("feature_type = 'terrain'").isEmpty() else old
+        tri = lambda kind: _lifted(solid_tri(kind), known, dem, frame)
+        plants = _lifted(plants, known, dem, frame)
     objects = tri("building").unionByName(tri("bridge"))
-    over = raster.mesh_cells(_grid(objects, frame), frame.n_rows, frame.n_cols).persist()
-    heights, segments = raster.building_heights(over, dem).persist(), raster.building_segments(over, dem)
-    cover = cells.withColumn("code", F.lit(raster.DEFAULT_CLASS)) if cfg.land_cover_source == "CityGML" else model.named_source(spark, cfg.land_cover_source)
-    plants = raster.mesh_cells(_grid(plain("vegetation"), frame), frame.n_rows, frame.n_cols).withColumn("height", F.lit(None).cast("double"))
-    own = raster.vegetation_tops(plants, dem)
+    over = settled(raster.mesh_cells(_grid(objects, frame), frame.n_rows, frame.n_cols))
+    heights, segments = settled(raster.building_heights(over, dem)), raster.building_segments(over, dem)
+    cover = land_use_grid(files, frame, cells, rect) if cfg.land_cover_source == "CityGML" else model.named_source(spark, cfg.land_cover_source)
+    tall = near.where("feature_type = 'vegetation'").select("seq", F.element_at("attrs", "height").try_cast("double").alias("height"))
+    own = raster.vegetation_tops(raster.mesh_cells(_grid(plants, frame), frame.n_rows, frame.n_cols).join(tall, "seq", "left"), dem)
     other = raster.static_canopy(cover, cfg.tree_codes, cfg.static_tree_height) if cfg.canopy_source == "Static" else model.named_source(spark, cfg.canopy_source)
+    cover = settled(cover)
     canopy = raster.merge_canopy(own, other).withColumn("bottom", raster.canopy_base(F.col("top"), F.lit(None).cast("double"), cfg.trunk_height_ratio or raster.TRUNK_RATIO))
     span = objects.agg(F.min(F.least("z0", "z1", "z2")), F.max(F.greatest("z0", "z1", "z2"))).first()
     ground = dem.agg(F.min("dem"), F.max("dem")).first()
@@ -145,16 +155,42 @@ def run_core(spark: SparkSession, cfg: CityConfig) -> dict[str, DataFrame]:
     if vf.n_rows * vf.n_cols * vf.n_z > cfg.max_cells:
         raise MemoryError(f"{vf.n_rows} x {vf.n_cols} x {vf.n_z} cells; at most {cfg.max_cells}")
     knobs = cfg.resolved()
-    solid = voxel.building_solid(_metres(tri("building"), local), vf, knobs.occupancy_threshold, cfg.occupancy_subdivisions, knobs.anchor, knobs.shell_threshold)
+    solid = voxel.building_solid(_metres(tri("building"), local), vf, knobs.occupancy_threshold, cfg.occupancy_subdivisions, knobs.anchor, knobs.shell_threshold, settled)
+    solid = settled(solid)
     stamp = lambda df, code: df.select("r", "c", "z", F.lit(code).alias("code"))
     bridge = stamp(voxel.surface_solid(_metres(tri("bridge"), local), vf, knobs.occupancy_threshold), voxel.BUILDING) if cfg.include_bridges else None
-    trees = stamp(voxel.surface_solid(_metres(plain("vegetation"), local), vf, knobs.occupancy_threshold), voxel.TREE)
-    voxels = build_voxels(vf, dem, None, stamp(solid, voxel.BUILDING), bridge, trees, cover, canopy).persist()
+    trees = settled(stamp(voxel.surface_solid(_metres(plants, local), vf, knobs.occupancy_threshold), voxel.TREE))
+    voxels = build_voxels(vf, dem, None, stamp(solid, voxel.BUILDING), bridge, trees, cover, canopy)
+    voxels = settled(voxels)
+    layers = stamp(solid, voxel.BUILDING).unionByName(trees).unionByName(voxel.fill_terrain(dem, vf))
+    if bridge is not None:
+        layers = layers.unionByName(stamp(bridge, voxel.BRIDGE))
     roofed = voxels.where(F.col("code") == voxel.BUILDING).select("r", "c").distinct()
     filled = heights.select("r", "c", "h", "id").unionByName(
         raster.fill_ids(roofed, heights.select("r", "c", "id"), frame.n_rows, frame.n_cols).withColumn("h", F.lit(0.0)).select("r", "c", "h", "id"))
     meta = spark.createDataFrame([(vf.n_rows, vf.n_cols, vf.n_z, vf.min_x, vf.max_y, vf.min_z, vf.size)], "n_rows int, n_cols int, n_z int, min_x double, max_y double, min_z double, size double")
-    return {"dem": dem, "cover": cover, "building": filled, "segments": segments, "canopy": canopy, "voxels": voxels, "mesh_trees": trees.select("r", "c", "z"), "meta": meta}
+    return {"dem": dem, "cover": cover, "building": filled, "segments": segments, "canopy": canopy, "voxels": voxels, "layers": layers, "mesh_trees": trees.select("r", "c", "z"), "meta": meta}
+
+
+def _lifted(tri: DataFrame, old: DataFrame | None, new: DataFrame, frame: GridFrame) -> DataFrame:
+    g = _grid(tri, frame)
+    points = g.select("seq", F.explode(F.array(*[F.struct(*[F.col(f"{k}{i}").alias(k) for k in "xyz"]) for i in range(3)])).alias("p")).select("seq", "p.*").distinct()
+    dz = raster.anchor_shift(points, old, new, frame.n_rows, frame.n_cols)
+    return tri.join(dz, "seq").withColumns({f"z{i}": F.col(f"z{i}") + F.col("dz") for i in range(3)}).drop("dz")
+
+
+def land_use_grid(files: DataFrame, frame: GridFrame, cells: DataFrame, rect: list[tuple[float, float]]) -> DataFrame:
+    """(r, c, code) from land-use files; cells without a polygon have the default class."""
+    xs, ys = [p[0] for p in rect], [p[1] for p in rect]
+    bounds = (min(xs), min(ys), max(xs), max(ys))
+    use = citygml.land_use_from_text(files.where("feature_type = 'land use'").where(citygml.envelope_meets(F.col("text"), *bounds)).select("path", "text"), "text", bounds)
+
+    def place(p):
+        r, c = frame.rowcol(p["x"], p["y"])
+        return F.struct(c.alias("x"), r.alias("y"))
+
+    polys = use.select(F.struct("path", "k").alias("seq"), raster.lookup(F.col("class"), raster.LAND_USE, raster.DEFAULT_CLASS).alias("code"), F.transform("ring", place).alias("ring"))
+    return raster.land_cover(raster.polygon_cells(polys, frame.n_rows, frame.n_cols), cells)
 
 
 def generate(spark: SparkSession, cfg: CityConfig, out: str | None = None) -> dict[str, DataFrame]:
@@ -166,10 +202,13 @@ def generate(spark: SparkSession, cfg: CityConfig, out: str | None = None) -> di
     return tables
 
 
-def export_obj(tables: dict[str, DataFrame], path: str) -> None:
-    """The voxels' exposed faces as OBJ, in the one frame of the meta row."""
+def export_obj(tables: dict[str, DataFrame], path: str, what: str = "voxels") -> None:
+    """OBJ in the one frame of the meta row: `voxels`, `layers` (each category by itself, overlaps kept) or `cover`."""
     size = tables["meta"].first()["size"]
-    model.write_obj(model.voxel_quads(voxel.exposed_faces(tables["voxels"]), size), path)
+    if what == "cover":
+        model.write_obj(model.cover_quads(tables["cover"], tables["dem"], size), path)
+    else:
+        model.write_obj(model.voxel_quads(voxel.exposed_faces(tables[what]), size), path)
 
 
 def reapply(spark: SparkSession, path: str, canopy: DataFrame, to: str) -> dict[str, DataFrame]:

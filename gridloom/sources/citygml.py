@@ -19,7 +19,7 @@ from gridloom.functions import codes, geometry
 MESH = ("feature_type string, feature_id string, k int, attrs map<string,string>, "
         "vertices array<struct<x:double,y:double,z:double>>, faces array<struct<a:int,b:int,c:int>>")
 #: Folders of a dataset by feature type (fixed values).
-FOLDERS = {"bldg": "building", "brid": "bridge", "dem": "terrain", "veg": "vegetation"}
+FOLDERS = {"bldg": "building", "brid": "bridge", "dem": "terrain", "veg": "vegetation", "luse": "land use"}
 
 
 def discover(spark: SparkSession, path: str) -> list[str]:
@@ -51,7 +51,8 @@ def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     t = spark.read.text(paths, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.gml")
     t = t.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     folder = F.regexp_extract("path", r"/udx/([^/]+)/", 1)
-    kind = F.coalesce(*[F.when(folder == k, F.lit(v)) for k, v in FOLDERS.items()], codes.probe_type(F.col("text")), F.lit("building"))
+    named = F.when(F.lower(codes.file_name(F.col("path"))).contains("luse"), F.lit("land use"))
+    kind = F.coalesce(*[F.when(folder == k, F.lit(v)) for k, v in FOLDERS.items()], named, codes.probe_type(F.col("text")), F.lit("building"))
     return t.select("path", "text", kind.alias("feature_type"), codes.resolve_srs(codes.srs_name(F.col("text"))).alias("epsg"), codes.mesh_code(F.col("path")).alias("mesh_code"))
 
 
@@ -270,4 +271,4 @@ def meshes(files: DataFrame, lod: int | None = None) -> DataFrame:
                 if rows:
                     yield pd.DataFrame(rows, columns=names).astype({"k": "Int32"})
 
-    return files.select("path", "text", "feature_type").mapInPandas(run, f"path string, {MESH}, failure string")
+    return files.where("feature_type <> 'land use'").select("path", "text", "feature_type").mapInPandas(run, f"path string, {MESH}, failure string")

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.geometry import clip_box
 from gridloom.operators.raster import flip
 
 #: Names and colours of voxel codes (fixed values).
@@ -60,6 +63,31 @@ def voxel_quads(faces: DataFrame, size: float) -> DataFrame:
     return q.select("code", F.struct("r", "c", "z", "face").alias("quad"), "k", "p.x", "p.y", "p.z")
 
 
+def cover_quads(cover: DataFrame, dem: DataFrame, size: float) -> DataFrame:
+    """Corners of one quad for each cell with a code other than 0, at the cell's ground height."""
+    c = cover.where("code <> 0").join(dem, ["r", "c"], "left").withColumn("dem", F.coalesce("dem", F.lit(0.0)))
+    at = lambda dx, dy: F.struct(((F.col("r") + dx) * size).alias("x"), ((F.col("c") + dy) * size).alias("y"), F.col("dem").alias("z"))
+    q = c.select("code", "r", "c", F.posexplode(F.array(at(0, 0), at(1, 0), at(1, 1), at(0, 1))).alias("k", "p"))
+    return q.select("code", F.struct("r", "c").alias("quad"), "k", "p.x", "p.y", "p.z")
+
+
+def triangle_polygons(tri: DataFrame, lo: tuple[float, float], hi: tuple[float, float]) -> DataFrame:
+    """Corners (code, quad, k, x, y, z) of triangles (code, seq, face, x0..z2) cut to a range of x and y."""
+    cols = [f"{k}{i}" for i in range(3) for k in "xyz"]
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for code, seq, face, *v in pdf[["code", "seq", "face", *cols]].itertuples(index=False, name=None):
+                poly = clip_box(np.array(v, float).reshape(3, 3), lo, hi)
+                out += [(code, seq, face, k, *p) for k, p in enumerate(poly.tolist()) if len(poly) >= 3]
+            if out:
+                yield pd.DataFrame(out, columns=["code", "seq", "face", "k", "x", "y", "z"])
+
+    got = tri.select("code", "seq", "face", *cols).mapInPandas(run, "code int, seq long, face int, k int, x double, y double, z double")
+    return got.select("code", F.struct("seq", "face").alias("quad"), "k", "x", "y", "z")
+
+
 def obj_lines(corners: DataFrame, name: Callable[[Column], Column]) -> DataFrame:
     """(part, at, line) of an OBJ file from polygon corners (code, quad, k, x, y, z): shared vertices, one group for each code.
 

@@ -125,8 +125,8 @@ def lot(lon, lat, size, height, name="b1"):
 def dataset(tmp_path):
     d = tmp_path / "set" / "udx" / "bldg"
     d.mkdir(parents=True)
-    (d / "53394611_bldg.gml").write_text(lot(139.7699, 35.6499, 0.0002, 8.0))
-    (d / "53394612_bldg.gml").write_text("<broken")
+    (d / "53393671_bldg.gml").write_text(lot(139.7699, 35.6499, 0.0002, 8.0))
+    (d / "53393681_bldg.gml").write_text("<broken")
     return tmp_path / "set"
 
 
@@ -161,6 +161,34 @@ def test_city_from_files_to_obj(spark, dataset, tmp_path):
     assert cells(again["voxels"]) == cells(t["voxels"])
 
 
+LUSE = """<CityModel><gml:lowerCorner>35.6 139.7 0</gml:lowerCorner><gml:upperCorner>35.7 139.8 0</gml:upperCorner>
+<luse:LandUse><luse:class>203</luse:class><gml:posList>35.6 139.7 0 35.6 139.77 0 35.7 139.77 0 35.7 139.7 0 35.6 139.7 0</gml:posList></luse:LandUse></CityModel>"""
+
+
+def test_land_use_and_another_ground(spark, dataset):
+    (dataset / "udx" / "luse").mkdir()
+    (dataset / "udx" / "luse" / "533936_luse.gml").write_text(LUSE)
+    t = city.run_core(spark, city.CityConfig(str(dataset), 139.77, 35.65, 60.0, voxel_size=4.0, dem_source="Flat"))
+    got = {r.code: r["count"] for r in t["cover"].groupBy("code").count().collect()}
+    assert set(got) == {5, 14} and abs(got[5] - got[14]) <= 15
+    assert t["canopy"].count() == got[5]
+
+
+def test_triangles_are_cut_for_export(spark):
+    tri = topology.box_triangles(spark.createDataFrame([(1, 0, 4, 0, 4, 0, 2)], "seq long, xa int, xb int, ya int, yb int, za int, zb int")).withColumn("code", F.lit(-3))
+    got = model.triangle_polygons(tri, (0.0, 0.0), (2.0, 9.0)).agg(F.max("x"), F.countDistinct("quad")).first()
+    assert got[0] == 2.0 and got[1] >= 8
+
+
+def test_terrain_becomes_a_solid(spark):
+    v = spark.createDataFrame([(1, 0, 0.0, 0.0, 5.0), (1, 1, 1.0, 0.0, 5.0), (1, 2, 1.0, 1.0, 6.0), (1, 3, 0.0, 1.0, 5.0), (1, 4, 1.0, 1.0, 6.0)], "mesh long, v long, x double, y double, z double")
+    f = spark.createDataFrame([(1, 0, 0, 1, 2), (1, 1, 0, 4, 3), (1, 2, 1, 2, 0), (1, 3, 2, 4, 0)], "mesh long, face long, a long, b long, c long")
+    vs, fs = topology.terrain_solid(v, f, 100, 0.0)
+    assert topology.is_volume(fs).first()["volume"] is True
+    tri = topology.face_points(fs, vs)
+    assert topology.repair_accepted(tri, tri).first()["accepted"] is True
+
+
 def test_no_building_is_an_error(spark, dataset):
     with pytest.raises(ValueError):
         city.run_core(spark, city.CityConfig(str(dataset), 0.0, 0.0, 60.0))
