@@ -225,12 +225,13 @@ def sampler(path: str, theta: float) -> PieceSampler:
     return PieceSampler(path, theta)
 
 
-def encode(df: DataFrame, path: str, text_col: str = "text", key_col: str = "doc_id", theta: float = 1.0, seed: int = 0) -> DataFrame:
+def encode(df: DataFrame, path: str, text_col: str = "text", key_col: str = "doc_id", theta: float = 1.0, seed: int = 0, check: bool = False) -> DataFrame:
     """df plus `piece_ids` array<int>, a sampled segmentation that decodes to the text exactly.
 
     The same seed, key and text give the same ids wherever the row is. A null text has null ids; an empty
     one has the ids of the space put before every text. Null keys and repeated rows are sampled like any
-    other, equal key and text alike. Other columns stay; one named `piece_ids` is replaced.
+    other, equal key and text alike. Other columns stay; one named `piece_ids` is replaced. check adds
+    `lossless`, whether decoding the ids gave the text, found in the same pass.
     """
 
     def run(texts: list[str | None], keys: list[int]) -> list:
@@ -238,10 +239,11 @@ def encode(df: DataFrame, path: str, text_col: str = "text", key_col: str = "doc
         sizes = np.array([0 if g is None else len(g) for g in got])
         flat = np.concatenate([g for g in got if g is not None] or [np.zeros(0, np.int32)])
         offsets = pa.array(np.cumsum([0, *sizes]), pa.int32(), mask=np.array([*[g is None for g in got], False]))
-        return [pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))]
+        ids = pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))
+        return [ids, [sampler(path, theta).decode(g) == t for g, t in zip(got, texts)]] if check else [ids]
 
     keyed = df.withColumn("__key", F.xxhash64(F.col(f"`{key_col}`")))
-    return add_columns(keyed, "piece_ids array<int>", run, [text_col, "__key"], rows=256).drop("__key")
+    return add_columns(keyed, "piece_ids array<int>" + ", lossless boolean" * check, run, [text_col, "__key"], rows=256).drop("__key")
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "piece_ids", theta: float = 1.0) -> DataFrame:

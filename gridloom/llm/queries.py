@@ -50,10 +50,8 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
-    got = piece_sampling.encode(_table(spark, sf_dir, "documents", "doc_id", "text"), path)
-    return piece_sampling.decode(got, path).select(
-        "doc_id", "piece_ids", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"),
-        F.expr("decoded <=> text").alias("lossless"))
+    got = piece_sampling.encode(_table(spark, sf_dir, "documents", "doc_id", "text"), path, check=True)
+    return got.select("doc_id", "piece_ids", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"), "lossless")
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

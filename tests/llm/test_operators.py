@@ -150,6 +150,7 @@ def test_sampled_pieces_decode_exactly(spark):
     one = piece_sampling.encode(frame(spark, texts), MODEL)
     got = piece_sampling.decode(one, MODEL).collect()
     assert all(r.decoded == r.Text2 for r in got)
+    assert piece_sampling.encode(frame(spark, texts), MODEL, check=True).where("not lossless").count() == 0
     again = piece_sampling.encode(frame(spark, texts).repartition(7), MODEL).collect()
     key = lambda r: (str(r.doc_id), r.Text2 or "")
     assert sorted((key(r), r.piece_ids) for r in got if r.doc_id) == sorted((key(r), r.piece_ids) for r in again if r.doc_id)
