@@ -139,4 +139,14 @@ SQL: dict[str, str] = {
         f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
         SELECT *, NOT base_failed AND NOT (5 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
                                            OR 5 * n_dup_lines > n_words) AS kept FROM f""",
+    "op10_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+        s AS (SELECT DISTINCT rid, array_to_string(ws[p : p + n - 1], ' ') AS g FROM (SELECT *, least(len(ws), 5) AS n FROM w WHERE len(ws) > 0), unnest(range(1, len(ws) - n + 2)) AS t(p)),
+        k AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+        o AS (SELECT a.rid AS x, b.rid AS y, count(*) AS m FROM s AS a JOIN s AS b ON a.g = b.g AND a.rid <> b.rid GROUP BY ALL),
+        l AS (SELECT x, y FROM o JOIN k AS a ON a.rid = x JOIN k AS b ON b.rid = y WHERE 5 * m >= 4 * (a.n + b.n - m)),
+        c(rid, root) AS (SELECT rid, rid FROM w UNION SELECT l.y, c.root FROM c JOIN l ON l.x = c.rid),
+        r AS (SELECT rid, min(root) AS root FROM c GROUP BY rid),
+        n AS (SELECT x AS rid, count(*) AS n FROM l GROUP BY x)
+        SELECT doc_id, min(doc_id) OVER (PARTITION BY root) AS class_id, coalesce(n, 0)::BIGINT AS n_links FROM w JOIN r USING (rid) LEFT JOIN n USING (rid)""",
 }
