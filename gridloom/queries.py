@@ -139,7 +139,7 @@ def ring_close_dedupe(spark, d):
     return table(spark, d, "part").select("p_partkey", F.size(geometry.open_ring(ring)).alias("n"))
 
 
-@query(sql="""SELECT s_suppkey AS inst, k::BIGINT AS k, round(2.0 * (k + p) + s_suppkey, 6) AS x, round(k * 0.5 + s_nationkey, 6) AS y, round(p * 1.0 + 1, 6) AS z FROM supplier,
+@query(sql="""SELECT s_suppkey AS inst, k::BIGINT AS k, round(2.0::DOUBLE * (k + p) + s_suppkey, 6) AS x, round(k * 0.5::DOUBLE + s_nationkey, 6) AS y, round(p * 1.0::DOUBLE + 1, 6) AS z FROM supplier,
     (SELECT 0 AS p UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3), range(0, 4) AS t(k) WHERE s_nationkey % 5 = p""")
 def prototype_instance(spark, d):
     pts = spark.range(16).select(F.concat(F.lit("p"), F.expr("id div 4")).alias("proto"), F.lit(0).alias("seq"), F.expr("id % 4").alias("k"),
@@ -161,7 +161,7 @@ def lonlat_to_rowcol(spark, d):
     return e.select("event_id", r.alias("r"), c.alias("c"))
 
 
-@query(sql="SELECT (i // 50)::INT AS r, (i % 50)::INT AS c, round(139.0 + (i % 50 + 0.5) * 0.02, 6) AS lon, round(36.0 - (i // 50 + 0.5) * 0.025, 6) AS lat FROM range(2000) AS t(i)")
+@query(sql="SELECT (i // 50)::INT AS r, (i % 50)::INT AS c, round(139.0 + (i % 50 + 0.5) * 0.02::DOUBLE, 6) AS lon, round(36.0 - (i // 50 + 0.5) * 0.025::DOUBLE, 6) AS lat FROM range(2000) AS t(i)")
 def cell_centres(spark, d):
     return _GRID.centres(spark).select("r", "c", _r("lon"), _r("lat"))
 
