@@ -26,8 +26,8 @@ def dem(spark: SparkSession) -> DataFrame:
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(seq, r0, c0, h, w, zmax): building footprints in cells and roof heights in metres."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 37 = 0")
+    """(seq, r0, c0, h, w, zmax): a building for each order, its footprint in cells and roof height in metres."""
+    o = table(spark, sf_dir, "orders")
     return o.select(
         F.col("o_orderkey").alias("seq"), F.expr("cast((o_custkey * 7) % 56 as int)").alias("r0"), F.expr("cast((o_orderkey * 11) % 56 as int)").alias("c0"),
         F.expr("cast(1 + o_orderkey % 8 as int)").alias("h"), F.expr("cast(1 + o_custkey % 8 as int)").alias("w"),
@@ -44,9 +44,9 @@ def roofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("seq", *[F.col("t")[i][k].alias(f"{k}{i}") for i in range(3) for k in "xyz"])
 
 
-def solids(spark: SparkSession, sf_dir: str, modulus: int = 185) -> DataFrame:
+def solids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq, face, x0..z2) in metres: boxes from height 0.5 to the roof, edges half a metre inside their cells."""
-    b = boxes(spark, sf_dir).where(F.col("seq") % modulus == 0).select(
+    b = boxes(spark, sf_dir).select(
         "seq", (F.col("c0") * SIZE + 0.5).alias("xa"), ((F.col("c0") + F.col("w")) * SIZE - 0.5).alias("xb"),
         (-(F.col("r0") + F.col("h")) * SIZE + 0.5).alias("ya"), (-F.col("r0") * SIZE - 0.5).alias("yb"), F.lit(0.5).alias("za"), (F.col("zmax") + 0.5).alias("zb"))
     return topology.box_triangles(b)
