@@ -109,7 +109,7 @@ _POS_SQL = "SELECT l_orderkey, l_linenumber, i::INT AS i, l_partkey % 100 + i AS
 
 @query(sql=f"SELECT l_orderkey, l_linenumber, i, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z FROM ({_POS_SQL})")
 def poslist_parse(spark, d):
-    t = table(spark, d, "lineitem").where("l_orderkey % 5 = 0").withColumn("p", geometry.pos_list(F.expr(f"concat({_pos_text('l_linenumber')}, '  7 8\\n')")))
+    t = table(spark, d, "lineitem").withColumn("p", geometry.pos_list(F.expr(f"concat({_pos_text('l_linenumber')}, '  7 8\\n')")))
     return t.select("l_orderkey", "l_linenumber", F.posexplode("p").alias("k", "q")).select("l_orderkey", "l_linenumber", (F.col("k") + 1).alias("i"), "q.x", "q.y", "q.z")
 
 
@@ -117,7 +117,7 @@ def poslist_parse(spark, d):
 def tin_triangles(spark, d):
     from gridloom.sources.citygml import tin_from_text
 
-    text = table(spark, d, "lineitem").where("l_orderkey % 5 = 0").select(
+    text = table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", F.concat(F.lit("<gml:posList>"), F.expr(_pos_text("l_linenumber")), F.lit("</gml:posList>")).alias("text"))
     return tin_from_text(text, "text").select("l_orderkey", "l_linenumber", "x0", "x2", "z2")
 

@@ -35,3 +35,14 @@ def test_tallest_of_every_building(spark):
                     best[r, c] = min(best.get((r, c), (0.0, 0)), (-up, seq))
     got = Q.QUERIES["building_height_argmax"](spark, DATA).select("r", "c", "h", "id").collect()
     assert {(r.r, r.c): (-r.h, r.id) for r in got} == best and len(got) == len(best)
+
+
+def test_every_line_is_parsed(spark):
+    lines = pq.read_table(f"{DATA}/lineitem.parquet", columns=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]).to_pylist()
+    points, triangles = [], []
+    for t in lines:
+        key, n, x = (t["l_orderkey"], t["l_linenumber"]), t["l_linenumber"], t["l_partkey"] % 100
+        points += [(*key, i, float(x + i), t["l_suppkey"] % 50 * 0.5, i * 2.0) for i in range(1, n + 1)]
+        triangles += [(*key, x + 1.0, x + 3.0, 6.0)] if n >= 3 else []
+    assert sorted(map(tuple, Q.QUERIES["poslist_parse"](spark, DATA).select("l_orderkey", "l_linenumber", "i", "x", "y", "z").collect())) == sorted(points)
+    assert sorted(map(tuple, Q.QUERIES["tin_triangles"](spark, DATA).select("l_orderkey", "l_linenumber", "x0", "x2", "z2").collect())) == sorted(triangles)
