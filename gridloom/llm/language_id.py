@@ -156,15 +156,22 @@ def fit_from(docs: DataFrame, where: str = "true", docs_most: int = 800, chars_m
     """Fit on at most docs_most documents of 1 to chars_most characters with a language, lowest doc_id hash first.
 
     `where` is SQL over doc_id. The bound is on the training sample alone; predictions cover everything.
-    Only hashes in the share of the hash range that holds about four times the bound are looked at, so
-    what the partitions send doesn't grow with their number.
+    Only hashes in the lowest share of the hash range that holds about four times the bound of such documents
+    are looked at, so what the partitions send doesn't grow with their number. The share grows until the
+    bound, or every such document, is reached; so the sample is that of the whole range.
     """
-    share = min(1.0, 4 * docs_most / max(1, docs.count()))
-    rows = (
-        docs.where(f"shiftrightunsigned(xxhash64(doc_id), 2) <= {int(share * 2**62)}L").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.length("text").between(1, chars_most)).where(where)
-        .select("doc_id", "text", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text", "lang").limit(docs_most)
-        .select("text", "lang").toPandas()
-    )
+    fit_for = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.length("text").between(1, chars_most)).where(where)
+    total = fit_for.count()
+    share = min(1.0, 4 * docs_most / max(1, total))
+    while True:
+        rows = (
+            fit_for.where(f"shiftright(xxhash64(doc_id), 2) <= {int(share * 2**62) - 2**61}L")
+            .select("doc_id", "text", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text", "lang").limit(docs_most)
+            .select("text", "lang").toPandas()
+        )
+        if share == 1.0 or len(rows) >= docs_most:
+            break
+        share = min(1.0, 4 * share)
     return fit(rows["text"].tolist(), rows["lang"].tolist())
 
 

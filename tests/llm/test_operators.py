@@ -93,6 +93,19 @@ def test_language_is_learned(spark):
     assert language_id.fit([], []).predict(["x"])[0] == ["und"]
 
 
+@pytest.mark.parametrize("same_id", [False, True])
+def test_language_sample_is_the_lowest_hashes_of_usable_rows(spark, same_id, monkeypatch):
+    made = [(7 if same_id else i, f"text {i}", "en" if i % 50 == 0 or same_id else None) for i in range(2000)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    monkeypatch.setattr(language_id, "fit", lambda texts, labels: (texts, labels))
+    hashed = docs.where("lang is not null").select("text", F.xxhash64("doc_id").alias("h")).collect()
+    want = [r.text for r in sorted(hashed, key=lambda r: (r.h, r.text))[:20]]
+    assert language_id.fit_from(docs, docs_most=20) == (want, ["en"] * 20)
+    many = spark.range(2000).selectExpr("id as doc_id", "concat('text ', id) as text", "'en' as lang")
+    low = [r.text for r in many.orderBy(F.xxhash64("doc_id")).limit(20).collect()]
+    assert language_id.fit_from(many, docs_most=20)[0] == low
+
+
 def brute_dedup(texts, window):
     ws = [words(t) for t in texts]
     n = collections.Counter(tuple(w[i : i + window]) for w in ws for i in range(len(w) - window + 1))
