@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import without
 
 #: The six characters that part words, as Spark SQL writes them (fixed values).
-WHITE = r"' \t\n\u000B\f\r'"
+WHITE = r"' \t\n\u000B\u000C\r'"
 #: Characters that count as symbols (fixed values).
 SYMBOLS = "#*$%&|<>"
 

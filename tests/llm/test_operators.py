@@ -280,6 +280,12 @@ def test_rules_and_their_cascade(spark):
     assert quality_rules.judge(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_lines_of_form_feeds_hold_no_word_and_lines_of_f_do(spark):
+    texts = ["f\nf\n f \nf", "\x0c\n\x0c\n \x0c\n\x0c", "a\x0c\na\x0c\n\x0b\n\x0b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    assert [r.n_dup_lines for r in quality_rules.base_counts(df).orderBy("i").collect()] == [2, 0, 1]
+
+
 def brute_join(texts, threshold=0.8):
     sets = [set(jaccard_join.shingles(t).tolist()) for t in texts]
     root, links = list(range(len(texts))), [0] * len(texts)
