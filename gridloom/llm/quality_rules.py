@@ -174,7 +174,8 @@ def judge(df: DataFrame, text_col: str = "text") -> DataFrame:
     replaced. An empty table gives an empty table.
     """
     counted = base_counts(without(df, ["base_failed", "kept"]) if text_col not in ("base_failed", "kept") else df, text_col)
-    rules = order_rules(base_counts(sample_of(df, text_col)), RULES)
+    order = [r.name for r in order_rules(sample_of(df, text_col), rules_over_text("text"))]
+    rules = sorted(RULES, key=lambda r: order.index(r.name))
     return counted.withColumns({
         "base_failed": F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"),
         "kept": F.expr(verdict_sql(rules)),

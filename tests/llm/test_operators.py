@@ -286,6 +286,13 @@ def test_lines_of_form_feeds_hold_no_word_and_lines_of_f_do(spark):
     assert [r.n_dup_lines for r in quality_rules.base_counts(df).orderBy("i").collect()] == [2, 0, 1]
 
 
+def test_judge_rates_rules_by_their_work_on_text(spark, monkeypatch):
+    rated = []
+    monkeypatch.setattr(quality_rules, "order_rules", lambda sample, rules: rated.append((sample.columns, rules)) or rules[::-1])
+    assert quality_rules.judge(spark.createDataFrame([("a b",)], "text string")).first().kept is False
+    assert rated == [(["text"], quality_rules.rules_over_text("text"))]
+
+
 def brute_join(texts, threshold=0.8):
     sets = [set(jaccard_join.shingles(t).tolist()) for t in texts]
     root, links = list(range(len(texts))), [0] * len(texts)
