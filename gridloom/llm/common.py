@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,8 +60,21 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
-def add_columns(df: DataFrame, fields: str, fn: Callable[[list], list], inputs: list[str], rows: int = 512) -> DataFrame:
-    """df plus columns that fn computes from the input columns' values, at most `rows` rows at a time.
+def _slices(b: pa.RecordBatch, at: list[int], rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """b in slices of at most `rows` rows and `size` bytes of text in the columns `at`; a row that is larger goes alone."""
+    total = np.zeros(b.num_rows, np.int64)
+    for c in (b.column(i) for i in at):
+        if pa.types.is_string(c.type) or pa.types.is_large_string(c.type):
+            total += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    start = 0
+    while start < b.num_rows:
+        n = max(1, int(np.searchsorted(np.cumsum(total[start : start + rows]), size, side="right")))
+        yield b.slice(start, n)
+        start += n
+
+
+def add_columns(df: DataFrame, fields: str, fn: Callable[[list], list], inputs: list[str], rows: int = 512, size: int = 8 << 20) -> DataFrame:
+    """df plus columns that fn computes from the input columns' values, at most `rows` rows and `size` bytes of text at a time.
 
     fn gets a list of Python values for each input column and returns one array or list for each new
     column. Input columns with a new column's name are replaced.
@@ -76,8 +90,7 @@ def add_columns(df: DataFrame, fields: str, fn: Callable[[list], list], inputs:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, rows):
-                b = whole.slice(start, rows)
+            for b in _slices(whole, at, rows, size):
                 got = fn(*[b.column(i).to_pylist() for i in at])
                 cols = [pa.array(g, t) if not isinstance(g, pa.Array) else g for g, t in zip(got, types)]
                 yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(n_kept)], *cols], names=names)

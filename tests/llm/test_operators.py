@@ -191,6 +191,34 @@ def test_draws_follow_path_weights():
     assert set(got) <= set(want) and max(abs(got[k] / n - w / sum(want.values())) for k, w in want.items()) < 0.02
 
 
+def test_draws_stay_in_their_position(monkeypatch):
+    texts = [*ODD, *sample_texts()[:40], "ab" * 3000, "文字" * 2000 + " tail"]
+    keys = np.arange(len(texts))
+    full = piece_sampling.PieceSampler(MODEL, 1.0)
+    rng = random.Random(1)
+    while len(full.edge) < full.NODES * 0.9:
+        full.sample(["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) + str(i) for i in range(60_000)], np.arange(60_000), 0)
+    fresh = piece_sampling.PieceSampler(MODEL, 1.0)
+    for edge in (0, 1, 0xFFFFFFFE, 0xFFFFFFFF):
+        with monkeypatch.context() as m:
+            m.setattr(piece_sampling, "draws", lambda seed, key, part, step, edge=edge: np.full(len(key), edge, np.uint32))
+            for s in (full, fresh):
+                assert s.decode_all(s.sample(texts, keys, 0)) == texts
+    want = full.sample(texts, keys, 5)
+    alone = [fresh.sample([t], keys[i : i + 1], 5)[0] for i, t in enumerate(texts)]
+    fresh.reset()
+    fresh.LEARN, fresh.BLOCK = 64, 100
+    again = fresh.sample(texts, keys, 5)
+    same = lambda a, b: (a is None and b is None) or a.tolist() == b.tolist()
+    assert all(map(same, want, alone)) and all(map(same, want, again))
+
+
+def test_pieces_of_very_long_texts():
+    s = piece_sampling.PieceSampler(MODEL, 1.0)
+    texts = ["no spaces at all".replace(" ", "") * 20_000, "word " * 200_000, "語" * 100_000, "a" * 300_000, " " * 100_000]
+    assert s.decode_all(s.sample(texts, np.arange(len(texts)), 0)) == texts
+
+
 def test_url_rules():
     trie = url_filter.RuleTrie(queries.URL_RULES)
     judge = lambda u: trie.judge(u)[2:]
