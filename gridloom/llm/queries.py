@@ -130,15 +130,20 @@ SQL: dict[str, str] = {
         g AS (SELECT rid, p, [ws[p], ws[p + 1], ws[p + 2]] AS g FROM w, unnest(range(1, len(ws) - 1)) AS t(p)),
         r AS (SELECT rid, g FROM g GROUP BY rid, g HAVING count(*) > 1),
         c AS (SELECT rid, count(DISTINCT p + i) AS n FROM g SEMI JOIN r USING (rid, g), unnest(range(0, 3)) AS t(i) GROUP BY rid),
-        l AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM w)
+        l AS (SELECT rid, count(*) - count(DISTINCT line) AS n, count(*) AS n_lines, sum((substr(ltrim(line, ' '), 1, 1) IN ('-', '*', '•'))::INT) AS n_bullets,
+                     sum((ends_with(rtrim(line, ' '), '...') OR ends_with(rtrim(line, ' '), '…'))::INT) AS n_cut FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM w)
               WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
         b AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
                      (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-                     coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+                     coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+                     length(text) - length(regexp_replace(text, '[0-9]', '', 'g')) AS n_digits, len(list_filter(ws, lambda x: length(x) > 1000)) AS n_long,
+                     coalesce(l.n_lines, 0) AS n_lines, coalesce(l.n_bullets, 0) AS n_bullets, coalesce(l.n_cut, 0) AS n_cut
               FROM w LEFT JOIN c USING (rid) LEFT JOIN l USING (rid)),
         f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
-        SELECT *, NOT base_failed AND NOT (5 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
-                                           OR 5 * n_dup_lines > n_words) AS kept FROM f""",
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND NOT (5 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+                                        OR 5 * n_dup_lines > n_words OR 2 * n_digits > word_chars OR n_long > 0
+                                        OR (n_lines >= 5 AND 10 * n_bullets > 9 * n_lines) OR (n_lines >= 5 AND 10 * n_cut > 3 * n_lines)) AS kept FROM f""",
     "op10_jaccard_join": r"""
         WITH RECURSIVE w AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
         s AS (SELECT DISTINCT rid, array_to_string(ws[p : p + n - 1], ' ') AS g FROM (SELECT *, least(len(ws), 5) AS n FROM w WHERE len(ws) > 0), unnest(range(1, len(ws) - n + 2)) AS t(p)),

@@ -288,24 +288,66 @@ def test_token_counts_equal_the_library(spark):
     assert got[None].n_tokens == 0 and got[None].n_bytes == 0 and got["x" * 5000].over_limit
 
 
+def brute_rules(t):
+    """(base counts, base_failed, kept) of a text."""
+    t = t or ""
+    w = [x.decode() for x in words(t)]
+    n = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    hit = {p for i in range(len(w) - 2) if n[tuple(w[i : i + 3])] > 1 for p in range(i, i + 3)}
+    lines = [x for x in t.split("\n") if x.encode().strip(b" \t\n\x0b\x0c\r")]
+    counts = (len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(hit))
+    failed = counts[0] < 50 or 2 * counts[4] > counts[0]
+    bullets, cut = sum(x.lstrip(" ")[:1] in ("-", "*", "•") for x in lines), sum(x.rstrip(" ").endswith(("...", "…")) for x in lines)
+    more = (5 * counts[2] > counts[0], not 2 * counts[0] <= counts[1] <= 20 * counts[0], 5 * counts[3] > counts[0], 2 * sum(c in "0123456789" for c in t) > counts[1],
+            any(len(x) > 1000 for x in w), len(lines) >= 5 and 10 * bullets > 9 * len(lines), len(lines) >= 5 and 10 * cut > 3 * len(lines))
+    return counts, failed, not failed and not any(more)
+
+
+def ruled_texts():
+    words_ = [f"word{i}" for i in range(200)]
+    plain = " ".join(words_)
+    by_line = lambda mark, end, n: "\n".join((mark if i < n else "") + f"line {i} is here now" + (end if i < n else "") for i in range(20))
+    return [plain, plain + " " + "y" * 1001, plain + " " + "y" * 1000, " ".join(f"{i}{i * i}" for i in range(100, 300)), " ".join(f"a{i}b" for i in range(10, 90)),
+            by_line("- ", "", 20), by_line("- ", "", 18), by_line(" • ", "", 19), by_line("", "...", 6), by_line("", "… ", 7), by_line("* ", "", 4)]
+
+
 def test_rules_and_their_cascade(spark):
-    texts = [*mixed(5), *sample_texts()[:80], "a b c a b c\n" * 30, "q q q q", "aa bb cc dd aa bb cc", "### $$$ " * 60]
+    texts = [*mixed(5), *sample_texts()[:80], "a b c a b c\n" * 30, "q q q q", "aa bb cc dd aa bb cc", "### $$$ " * 60, *ruled_texts()]
     got = quality_rules.judge(frame(spark, texts)).collect()
+    assert len(got) == len(texts)
     for r in got:
-        t = r.Text2 or ""
-        w = [x.decode() for x in words(t)]
-        n = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
-        hit = {p for i in range(len(w) - 2) if n[tuple(w[i : i + 3])] > 1 for p in range(i, i + 3)}
-        lines = [x for x in t.split("\n") if x.encode().strip(b" \t\n\x0b\x0c\r")]
-        want = (len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(hit))
-        assert (int(r.n_words), r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want, repr(t[:80])
-        assert r.base_failed == (want[0] < 50 or 2 * want[4] > want[0]) and (not r.kept or not r.base_failed)
+        counts, failed, kept = brute_rules(r.Text2)
+        assert (int(r.n_words), r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts, repr(r.Text2[:80])
+        assert (r.base_failed, r.kept) == (failed, kept), repr(r.Text2[:80])
     kept = collections.Counter(r.Text2 for r in got if r.kept)
     assert collections.Counter(r.Text2 for r in quality_rules.keep(frame(spark, texts)).collect()) == kept and len(kept) > 20
     for order in (quality_rules.RULES, quality_rules.RULES[::-1]):
-        sql = quality_rules.verdict_sql(order)
-        assert quality_rules.base_counts(frame(spark, texts)).where(F.expr(sql)).count() == sum(kept.values())
-    assert quality_rules.judge(frame(spark, texts).limit(0)).count() == 0
+        assert frame(spark, texts).where(F.expr(quality_rules.cascade_sql(order, "text"))).count() == sum(kept.values())
+    assert quality_rules.judge(frame(spark, texts).limit(0)).count() == 0 == quality_rules.keep(frame(spark, texts).limit(0)).count()
+
+
+def test_later_rules_are_not_evaluated(spark):
+    df = spark.createDataFrame([("a b",)], "text string")
+    boom = quality_rules.Rule("boom", "raise_error('evaluated') is not null and {n_repeat_words} > 0 and size({lines}) > 0")
+    assert df.where(F.expr(quality_rules.cascade_sql([quality_rules.BASE_RULES[1], boom], "text"))).count() == 0
+    with pytest.raises(Exception, match="evaluated"):
+        df.where(F.expr(quality_rules.cascade_sql([boom, quality_rules.BASE_RULES[1]], "text"))).count()
+    sql = quality_rules.cascade_sql(quality_rules.RULES, "text")
+    assert sql.count("[ ") == 1 and sql.count("btrim") == 1  # words and lines are cut in one place
+
+
+def test_rules_go_by_rejection_per_cost(spark):
+    df = spark.createDataFrame([(f"w{i} " * 5,) for i in range(300)], "text string")
+    slow = quality_rules.Rule("slow", "{n_repeat_words} > 0 and size(array_distinct(transform(sequence(1, 20000), i -> i + {n_words}))) > 0")
+    order = quality_rules.order_rules(df, [quality_rules.Rule("never", "{n_words} < 0"), slow, quality_rules.Rule("cheap", "{n_words} < 50")])
+    assert [r.name for r in order] == ["cheap", "slow", "never"]
+
+
+def test_clashing_names_in_rules(spark):
+    df = spark.createDataFrame([("x " * 60, "mine", True, 7)], "Text string, kept string, base_failed boolean, n_words int")
+    assert quality_rules.keep(df, "Text").columns == df.columns
+    got = quality_rules.judge(df, "Text")
+    assert got.columns == ["Text", *quality_rules.BASE, "base_failed", "kept"] and got.first().n_words == 60
 
 
 def test_lines_of_form_feeds_hold_no_word_and_lines_of_f_do(spark):
@@ -314,11 +356,17 @@ def test_lines_of_form_feeds_hold_no_word_and_lines_of_f_do(spark):
     assert [r.n_dup_lines for r in quality_rules.base_counts(df).orderBy("i").collect()] == [2, 0, 1]
 
 
-def test_judge_rates_rules_by_their_work_on_text(spark, monkeypatch):
+def test_judge_rates_rules_on_what_the_base_keeps(spark, monkeypatch):
     rated = []
-    monkeypatch.setattr(quality_rules, "order_rules", lambda sample, rules: rated.append((sample.columns, rules)) or rules[::-1])
-    assert quality_rules.judge(spark.createDataFrame([("a b",)], "text string")).first().kept is False
-    assert rated == [(["text"], quality_rules.rules_over_text("text"))]
+
+    def order(sample, rules, text, have):
+        rated.append((sample.count(), rules))
+        return rules[::-1]
+
+    monkeypatch.setattr(quality_rules, "order_rules", order)
+    df = spark.createDataFrame([("a b",), (" ".join(f"w{i}" for i in range(80)),)], "text string")
+    assert sorted(r.kept for r in quality_rules.judge(df).collect()) == [False, True]
+    assert rated == [(1, quality_rules.MORE_RULES)]
 
 
 def brute_join(texts, threshold=0.8):
