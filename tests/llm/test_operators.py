@@ -364,7 +364,7 @@ def test_judge_rates_rules_on_what_the_base_keeps(spark, monkeypatch):
         return rules[::-1]
 
     monkeypatch.setattr(quality_rules, "order_rules", order)
-    df = spark.createDataFrame([("a b",), (" ".join(f"w{i}" for i in range(80)),)], "text string")
+    df = spark.createDataFrame([("a b",), (" ".join(f"word{i}" for i in range(80)),)], "text string")
     assert sorted(r.kept for r in quality_rules.judge(df).collect()) == [False, True]
     assert rated == [(1, quality_rules.MORE_RULES)]
 
