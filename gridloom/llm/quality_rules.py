@@ -79,14 +79,17 @@ def counts_sql(text: str, words: str, lines: str) -> dict[str, str]:
 
 def base_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df plus the counts of BASE (long). A null text has none of anything. Same-named columns are replaced."""
-    return _counted(df, text_col).drop("__text", "__words")
+    return _counted(df, text_col).drop("__text")
 
 
 def _counted(df: DataFrame, text_col: str) -> DataFrame:
-    kept = without(df.withColumn("__text", F.col(f"`{text_col}`")), list(BASE)).withColumn("__words", F.expr(words_sql("__text")))
-    sql = counts_sql("__text", "__words", "ls")
-    sql["n_dup_lines"] = let_sql(lines_sql("__text"), "ls", sql["n_dup_lines"])
-    return kept.withColumns({n: F.expr(sql[n]) for n in BASE})
+    """base_counts plus `__text`. All counts are fields of one expression over words and lines that are cut once; wherever
+    the optimizer moves it, it stays linear in the text."""
+    kept = without(df.withColumn("__text", F.col(f"`{text_col}`")), list(BASE))
+    sql = counts_sql("__text", "ws", "ls")
+    fields = ", ".join(f"'{n}', {sql[n]}" for n in BASE)
+    both = let_sql(words_sql("__text"), "ws", let_sql(lines_sql("__text"), "ls", f"named_struct({fields})"))
+    return kept.withColumn("__c", F.expr(both)).withColumns({n: F.col(f"__c.{n}") for n in BASE}).drop("__c")
 
 
 @dataclass(frozen=True)
@@ -196,12 +199,13 @@ def judge(df: DataFrame, text_col: str = "text") -> DataFrame:
     replaced. An empty table gives an empty table.
     """
     failed = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
-    have = {**{n: n for n in BASE}, "words": "__words"}
+    have = {n: n for n in BASE}
     counted = _counted(without(df, ["base_failed", "kept"]) if text_col.lower() not in ("base_failed", "kept") else df, text_col)
-    passed = _counted(sample_of(df, text_col), "text").where(f"not ({failed})")
-    rules = order_rules(passed, MORE_RULES, "__text", have)
+    sample = _counted(sample_of(df, text_col), "text").cache()
+    rules = order_rules(sample.where(f"not ({failed})"), MORE_RULES, "__text", have)
+    sample.unpersist()
     return counted.withColumn("base_failed", F.expr(failed)).withColumn(
-        "kept", F.expr(f"case when base_failed then false else {cascade_sql(rules, '__text', have)} end")).drop("__text", "__words")
+        "kept", F.expr(f"case when base_failed then false else {cascade_sql(rules, '__text', have)} end")).drop("__text")
 
 
 def keep(df: DataFrame, text_col: str = "text") -> DataFrame:
