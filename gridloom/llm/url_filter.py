@@ -5,6 +5,7 @@ The trie is a driver-side parameter of at most MOST_RULES rules and is shipped w
 
 from __future__ import annotations
 
+import bisect
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -30,12 +31,13 @@ class Rule:
 
 @dataclass
 class _Node:
-    """labels: by the next host label; segments: by the next whole path segment; tails: by a last, open piece."""
+    """labels: by the next host label; segments: by the next whole path segment; tails: by a last, open piece; sizes: of the tails, longest first."""
 
     labels: dict[str, _Node] = field(default_factory=dict)
     paths: _Node | None = None
     segments: dict[str, _Node] = field(default_factory=dict)
     tails: dict[str, Rule] = field(default_factory=dict)
+    sizes: list[int] = field(default_factory=list)
 
 
 class RuleTrie:
@@ -59,17 +61,19 @@ class RuleTrie:
             *whole, tail = r.path.split("/")
             for seg in whole:
                 node = node.segments.setdefault(seg, _Node())
-            node.tails.setdefault(tail, r)
+            if tail not in node.tails:
+                node.tails[tail] = r
+                at = bisect.bisect_left(node.sizes, -len(tail), key=int.__neg__)
+                if at == len(node.sizes) or node.sizes[at] != len(tail):
+                    node.sizes.insert(at, len(tail))
 
     def _by_path(self, node: _Node, path: str) -> Rule | None:
         best, parts = None, path.split("/")
         for i, part in enumerate(parts):
-            tails = node.tails
-            if tails:
-                for n in range(min(len(part), max(map(len, tails))), -1, -1):
-                    if part[:n] in tails:
-                        best = tails[part[:n]]
-                        break
+            for n in node.sizes:
+                if n <= len(part) and (hit := node.tails.get(part[:n])) is not None:
+                    best = hit
+                    break
             if i == len(parts) - 1 or part not in node.segments:
                 break
             node = node.segments[part]
@@ -105,8 +109,10 @@ def split_url(url: str | None) -> tuple[str, str]:
 def filter_urls(df: DataFrame, rules: list[Rule], url_col: str = "url", default: str = "allow") -> DataFrame:
     """df plus `host`, `path`, `rule` (null if none fits) and `verdict` (the rule's, else `default`).
 
-    Null urls and urls without ``://`` have an empty host and path. Every row stays, repeats too; input
-    columns named like the new ones are replaced. An empty table gives an empty table.
+    Null urls and urls without ``://`` have an empty host and path. Very long urls are read whole; a url costs its
+    labels and segments, and for each segment the distinct lengths of the rules' last pieces there, not their
+    number. Every row stays, repeats too; input columns named like the new ones are replaced. An empty table
+    gives an empty table.
     """
     trie = RuleTrie(rules, default)
 
@@ -117,6 +123,7 @@ def filter_urls(df: DataFrame, rules: list[Rule], url_col: str = "url", default:
 
 
 def kept_urls(df: DataFrame, rules: list[Rule], url_col: str = "url", default: str = "allow") -> DataFrame:
-    """The rows of df whose url is allowed, with df's columns."""
-    mark = filter_urls(df.withColumn("__url", F.col(f"`{url_col}`")), rules, "__url", default)
-    return mark.where("verdict = 'allow'").select(*[F.col(f"`{c}`") for c in df.columns if c in mark.columns])
+    """The rows of df whose url is allowed, with df's own columns, also those named like the ones of filter_urls."""
+    hold = {c: f"__keep_{i}" for i, c in enumerate(df.columns)}
+    mark = filter_urls(df.select(*[F.col(f"`{c}`").alias(a) for c, a in hold.items()]), rules, hold[url_col], default)
+    return mark.where("verdict = 'allow'").select(*[F.col(a).alias(c) for c, a in hold.items()])
