@@ -1,7 +1,7 @@
 """Token counts of a byte-level BPE by rank-synchronous array merging.
 
 Texts are cut at spaces that stand between two other characters, where no pre-token can cross, and the
-count of each such chunk is remembered. Chunks not yet seen are pre-tokenized, and their distinct
+count of each short chunk is remembered. Chunks not yet seen are pre-tokenized, and their distinct
 pre-tokens are merged together as one ragged array: in every round each sequence's lowest-rank pair is
 applied at all its places at once, until no sequence has a pair left; then the symbols are counted.
 """
@@ -21,7 +21,8 @@ from gridloom.llm.common import add_columns
 #: The white space of the pre-tokenizer's pattern, and the pattern itself (fixed values of this vocabulary).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-_CLOSE = re.compile(r" \s|\s ")
+_CLOSE = re.compile(rf" [{SPACE}]|[{SPACE}] ")
+_CUT = re.compile(rf"(?<=[^{SPACE}]) (?=[^{SPACE}])")
 NONE = np.iinfo(np.int64).max
 
 
@@ -33,9 +34,9 @@ def _byte_symbols() -> list[str]:
 
 
 class MergeCounter:
-    """Counts for one vocabulary file (tokenizers' JSON). Keeps counts of up to CACHED chunks."""
+    """Counts for one vocabulary file (tokenizers' JSON). Keeps counts of up to CACHED chunks of up to SHORT characters."""
 
-    CACHED = 400_000
+    CACHED, SHORT = 400_000, 64
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -84,16 +85,14 @@ class MergeCounter:
             sym, seq = sym[keep], seq[keep]
         return done
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self, chunks: list[str]) -> dict[str, int]:
         cut = [[t.encode("utf-8", "surrogatepass") for t in self.pretokens(c)] for c in chunks]
         distinct = list(dict.fromkeys(t for ts in cut for t in ts))
         length = dict(zip(distinct, self.merged_lengths(distinct).tolist()))
-        self.cache.update({c: sum(map(length.__getitem__, ts)) for c, ts in zip(chunks, cut)})
+        return {c: sum(map(length.__getitem__, ts)) for c, ts in zip(chunks, cut)}
 
     def chunks(self, text: str) -> list[str]:
-        if _CLOSE.search(text):
-            return [text]
-        head, *rest = text.split(" ")
+        head, *rest = _CUT.split(text) if _CLOSE.search(text) else text.split(" ")
         out = [" " + w for w in rest]
         return [head, *out] if head else out
 
@@ -107,9 +106,12 @@ class MergeCounter:
             self.cache.clear()
         cache = self.cache
         new = list(dict.fromkeys(c for s in segments for c in s if c not in cache))
-        if new:
-            self._learn(new)
-        return [n + sum(map(cache.__getitem__, s)) for n, s in zip(fixed, segments)]
+        if not new:
+            return [n + sum(map(cache.__getitem__, s)) for n, s in zip(fixed, segments)]
+        got = self._learn(new)
+        cache.update({c: n for c, n in got.items() if len(c) <= self.SHORT})
+        long = {c: n for c, n in got.items() if len(c) > self.SHORT}
+        return [n + sum(long[c] if c in long else cache[c] for c in s) if long else n + sum(map(cache.__getitem__, s)) for n, s in zip(fixed, segments)]
 
 
 @functools.cache
@@ -122,7 +124,8 @@ def count_tokens(df: DataFrame, path: str, text_col: str = "text", limit: int =
     """df plus `n_bytes` (UTF-8), `n_tokens` (long) and `over_limit` (n_tokens > limit).
 
     The vocabulary file is read where the tasks run. Null counts as empty: 0 bytes, 0 tokens. Special
-    strings inside a text count as one token each. Rows, repeats and other columns stay; input columns
+    strings inside a text count as one token each. Very long texts are counted whole; memory follows the longest
+    text. An empty table gives an empty table. Rows, repeats and other columns stay; input columns
     named like the new ones are replaced.
     """
 
