@@ -8,6 +8,7 @@ length-weighted mean of the good-line marginals, put through a logistic curve fi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,12 +25,27 @@ N_SHARES = 9
 WIDTH = N_SHARES * (1 + len(STEPS)) + 5
 
 
-def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(features of each line, its length in characters); an empty or null text is one empty line."""
+#: Lines whose features are held at a time.
+BLOCK = 8192
+
+
+def line_blocks(text: str | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(features of each line, its length in characters), BLOCK lines at a time; an empty or null text is one empty line."""
     lines = (text or "").split("\n")
+    seen: set[str] = set()
+    for at in range(0, len(lines), BLOCK):
+        yield _features(lines[at : at + BLOCK], seen)
+
+
+def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """line_blocks of a whole text."""
+    blocks = list(line_blocks(text))
+    return np.vstack([f for f, _ in blocks]), np.concatenate([s for _, s in blocks])
+
+
+def _features(lines: list[str], seen: set[str]) -> tuple[np.ndarray, np.ndarray]:
     shares, flags = np.zeros((len(lines), N_SHARES)), np.zeros((len(lines), 5))
     size = np.array([len(x) for x in lines], float)
-    seen: set[str] = set()
     for i, line in enumerate(lines):
         ws = line.split()
         if not ws:
@@ -76,18 +92,27 @@ class LineQualityModel:
     slope: float
     offset: float
 
-    def line_marginals(self, blocks: list[np.ndarray]) -> np.ndarray:
-        x, first = _design(blocks)
-        return marginals(x @ self.weights, first, self.start, self.trans)[0][:, 1]
+    def _parts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Of each line, what its features add to its own potentials, the next line's and the previous one's (six numbers); its length."""
+        own, before, after = np.split(self.weights[:-1], 3)
+        w = np.hstack([own, before, after])
+        got = [(f @ w, size) for f, size in line_blocks(text)]
+        return np.vstack([x for x, _ in got]), np.concatenate([size for _, size in got])
 
     def means(self, texts: list[str | None]) -> np.ndarray:
         """Length-weighted mean of the good-line marginals of each text."""
         if not texts:
             return np.zeros(0)
-        got = [line_features(t) for t in texts]
-        p = self.line_marginals([f for f, _ in got])
-        weight = np.concatenate([s for _, s in got]) + 1.0
+        got = [self._parts(t) for t in texts]
         at = np.cumsum([0] + [len(s) for _, s in got[:-1]])
+        x, weight = np.vstack([x for x, _ in got]), np.concatenate([s for _, s in got]) + 1.0
+        first = np.zeros(len(x), bool)
+        first[at] = True
+        score = x[:, :2] + self.weights[-1]
+        inner = np.flatnonzero(~first)
+        score[inner] += x[inner - 1, 2:4]
+        score[inner - 1] += x[inner, 4:]
+        p = marginals(score, first, self.start, self.trans)[0][:, 1]
         return np.add.reduceat(p * weight, at) / np.add.reduceat(weight, at)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -160,7 +185,8 @@ def fit_from(docs: DataFrame, labels: DataFrame, where: str = "true", docs_most:
 def score(df: DataFrame, model: LineQualityModel, text_col: str = "text") -> DataFrame:
     """df plus `score` (0 to 1, higher: good likelier) and `predicted` (1 if score >= 0.5, else 0).
 
-    Null and empty texts are scored as one empty line. Rows, repeats and other columns stay as they are,
+    Null and empty texts are scored as one empty line. Very long texts are scored whole; the features of BLOCK
+    lines are held at a time and six numbers for each line, so memory follows the text itself. Rows, repeats and other columns stay as they are,
     but input columns named like the two new ones are replaced. An empty table gives an empty table.
     """
 
