@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -128,20 +129,45 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, as spark.checkpoint.dir names it; unset (as in tests) one under /tmp is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = "/tmp/checkpoints/gridloom"
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(at)
+    """The cluster's shared folder, as spark.checkpoint.dir names it; on one machine, unset, a temporary one is set."""
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not at and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    at = at or tempfile.mkdtemp(prefix="gridloom_checkpoints_")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+#: What this process has put down for later steps: paths, and tables of the warehouse (session, name).
+SCRATCH: list[tuple[SparkSession, str, str]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read back: cuts lineage, fixes row ids, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/gridloom_{name}_{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    SCRATCH.append((df.sparkSession, "path", path))
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def drop_scratch(tables: list[DataFrame] | None = None, since: int = 0, but: tuple[DataFrame, ...] = ()) -> None:
+    """Deletes scratch that nothing reads any more: the given tables made by `stored`, else all from a place in SCRATCH on but some."""
+    only = None if tables is None else {getattr(t, "scratch_path", None) for t in tables}
+    held = {getattr(t, "scratch_path", None) for t in but}
+    for i in reversed(range(since, len(SCRATCH))):
+        spark, kind, name = SCRATCH[i]
+        if name in held or (only is not None and name not in only):
+            continue
+        del SCRATCH[i]
+        if kind == "table":
+            spark.sql(f"drop table if exists `{name}`")
+        else:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import stored
+from gridloom.llm.common import drop_scratch, stored
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -13,7 +13,8 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 
     Large: each node's larger neighbours are linked to its least neighbour or itself. Small: each node and
     its smaller neighbours are linked to the least of them. The least neighbour is an aggregate with
-    partial sums and comes back by a join, so a node with very many links is never gathered.
+    partial sums and comes back by a join, so a node with very many links is never gathered. The links
+    given are deleted.
     """
     if large:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -23,7 +24,9 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         low = stored(links.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n"), "least")
         out = links.join(low, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         out = out.unionByName(low.select(F.col("n").alias("a"), F.col("m").alias("b")))
-    return stored(out.where("a > b").distinct(), "links")
+    out = stored(out.where("a > b").distinct(), "links")
+    drop_scratch(tables=[low, links])
+    return out
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:

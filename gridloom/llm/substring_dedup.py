@@ -13,7 +13,8 @@ A level is one question, "which of these hashes occur twice in the corpus?". Doc
 in batches of bounded size; a batch asks with its own distinct hashes, packed as binary and dealt by hash
 range, so a passage in a third of all documents costs one 8-byte entry for each batch, not a row for
 each document. Answers go back by batch. Batches are stored bucketed by their id, so that texts are not
-shuffled again from level to level. Hashes have 64 bits; a false repeat needs equal hashes at all levels.
+shuffled again from level to level. Hashes have 64 bits, at the last level 128: two of them, made from two
+independent hashes of the words, so that two different windows both of whose parts repeat aren't taken for one.
 """
 
 from __future__ import annotations
@@ -24,15 +25,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import U64, gram_hashes, partitions, stored, without, word_hashes, words
+from gridloom.llm.common import SCRATCH, U64, drop_scratch, gram_hashes, partitions, stored, without, word_hashes, words
 
-#: A batch is closed beyond this many characters or documents; one document may exceed it alone.
-BATCH_CHARS, BATCH_DOCS = 4_000_000, 4096
+#: A batch is closed beyond this many bytes (between the two, by the input's size) or documents; one document may exceed it alone.
+BATCH_BYTES, BATCH_DOCS = (1_000_000, 16_000_000), 16_384
+#: Bytes of text in a bucket of the stored table, at about which their number starts to grow with the input.
+BUCKET_BYTES = 128_000_000
 #: Distinct hashes that one task compares at a level.
 PART_HASHES = 4_000_000
 BATCH, TEXT = "__batch", "__text"
@@ -63,25 +67,31 @@ class _Doc:
         self.anchor = view.argmin(1) + np.arange(self.starts)
 
     def asked(self, level: int, alive: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """(start positions, hashes) to look up at a level, given the surviving hashes of the one before."""
-        none = np.zeros(0, np.int64), np.zeros(0, U64)
+        """(start positions, hashes by row) to look up at a level, given the surviving hashes of the one before."""
+        last = level == len(self.sizes) - 1
         if not self.starts:
-            return none
+            return np.zeros(0, np.int64), np.zeros((0, 1 + last), U64)
+        at = self._looked_up(level, alive)
+        return at, (self.full(at) if last else gram_hashes(self.h, self.sizes[level])[at][:, None])
+
+    def full(self, at: np.ndarray) -> np.ndarray:
+        """128 bits of the full windows at some positions."""
+        if not len(at):
+            return np.zeros((0, 2), U64)
+        other = np.fromiter((xxhash.xxh3_64_intdigest(w, 1) for w in self.words), U64, len(self.words))
+        return np.stack([gram_hashes(self.h, self.window)[at], gram_hashes(other, self.window)[at]], 1)
+
+    def _looked_up(self, level: int, alive: np.ndarray | None) -> np.ndarray:
         size, n = self.sizes[level], len(self.h)
-        g = gram_hashes(self.h, size)
         if level == 0:
-            at = np.unique(self.anchor)
-            if level == len(self.sizes) - 1:
-                at = np.arange(self.starts)
-            return at, g[at]
+            return np.arange(self.starts) if len(self.sizes) == 1 else np.unique(self.anchor)
         small = self.sizes[level - 1]
-        ok = _among(gram_hashes(self.h, small), alive)
+        ok = _among(gram_hashes(self.h, small)[:, None], alive)
         if level < len(self.sizes) - 1:
             # Both extensions of a surviving shorter window, inside the document.
             live = self._inner(level - 1, ok)
             at = np.unique(np.concatenate([live, live - (size - small)]))
-            at = at[(at >= 0) & (at + size <= n)]
-            return at, g[at]
+            return at[(at >= 0) & (at + size <= n)]
         p = np.arange(self.starts)
         keep = np.ones(self.starts, bool)
         # Every shorter window looked up inside a full window must have survived.
@@ -91,8 +101,7 @@ class _Doc:
             for q in self._own(level - 1):
                 fits = (q >= p) & (q + small <= p + self.window)
                 keep &= ~fits | ok[np.clip(q, 0, len(ok) - 1)]
-        at = p[keep]
-        return at, g[at]
+        return p[keep]
 
     def _own(self, level: int) -> list[np.ndarray]:
         """For each full window, the starts of the windows that its anchor gives rise to at a level."""
@@ -110,8 +119,9 @@ class _Doc:
     def covered(self, alive: np.ndarray) -> np.ndarray:
         """Which words lie in a repeated window."""
         out = np.zeros(len(self.words), bool)
-        if self.starts:
-            at = np.flatnonzero(_among(gram_hashes(self.h, self.window), alive))
+        if self.starts and len(alive):
+            at = np.flatnonzero(_among(gram_hashes(self.h, self.window)[:, None], alive[:, :1]))
+            at = at[_among(self.full(at), alive)]
             edge = np.zeros(len(self.words) + 1, np.int64)
             np.add.at(edge, at, 1)
             np.add.at(edge, at + self.window, -1)
@@ -119,55 +129,72 @@ class _Doc:
         return out
 
 
-def _among(h: np.ndarray, alive: np.ndarray | None) -> np.ndarray:
-    if alive is None or not len(alive):
-        return np.zeros(len(h), bool)
-    at = np.searchsorted(alive, h)
-    return alive[np.minimum(at, len(alive) - 1)] == h
+def _order(h: np.ndarray) -> np.ndarray:
+    return np.argsort(h[:, 0], kind="stable") if h.shape[1] == 1 else np.lexsort((h[:, 1], h[:, 0]))
 
 
-def _alive(answers: pa.Table) -> np.ndarray:
+def _among(h: np.ndarray, alive: np.ndarray | None) -> np.ndarray:
+    """Which rows of h are among the rows of alive, which are sorted."""
+    out = np.zeros(len(h), bool)
+    if alive is None or not len(alive) or not len(h):
+        return out
+    at = np.searchsorted(alive[:, 0], h[:, 0])
+    left = np.arange(len(h))
+    while len(left):  # rows of equal first column are looked at one after the other
+        left = left[at[left] < len(alive)]
+        left = left[alive[at[left], 0] == h[left, 0]]
+        hit = (alive[at[left]] == h[left]).all(1)
+        out[left[hit]] = True
+        left = left[~hit]
+        at[left] += 1
+    return out
+
+
+def _alive(answers: pa.Table, width: int) -> np.ndarray:
     blobs = [b for b in answers.column("hashes").to_pylist() if b]
-    return np.sort(np.frombuffer(b"".join(blobs), U64)) if blobs else np.zeros(0, U64)
+    h = np.frombuffer(b"".join(blobs), U64).reshape(-1, width)
+    return h[_order(h)]
 
 
-def _batches(df: DataFrame) -> DataFrame:
-    """df plus a batch id: runs of rows of a partition, closed by size."""
+def _batches(df: DataFrame, most: int) -> DataFrame:
+    """df plus a batch id: runs of rows of a partition, closed by size (bytes of text) or number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, at, chars, docs = TaskContext.get().partitionId() << 32, 0, 0, 0
+        base, at, held, docs = TaskContext.get().partitionId() << 32, 0, 0, 0
         for b in batches:
             ids = np.empty(b.num_rows, np.int64)
-            sizes = pc.utf8_length(b.column(b.schema.get_field_index(TEXT))).fill_null(0).to_pylist()
+            sizes = pc.binary_length(b.column(b.schema.get_field_index(TEXT))).fill_null(0).to_pylist()
             for i, size in enumerate(sizes):
-                if docs and (chars + size > BATCH_CHARS or docs >= BATCH_DOCS):
-                    at, chars, docs = at + 1, 0, 0
+                if docs and (held + size > most or docs >= BATCH_DOCS):
+                    at, held, docs = at + 1, 0, 0
                 ids[i] = base + at
-                chars, docs = chars + size, docs + 1
+                held, docs = held + size, docs + 1
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids)], names=[*b.schema.names, BATCH])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(BATCH, T.LongType())]))
 
 
-def _store(df: DataFrame) -> DataFrame:
+def _store(df: DataFrame, buckets: int) -> DataFrame:
     """df as a table of the warehouse, bucketed by batch: grouping and joining by batch then moves no text."""
     spark = df.sparkSession
     name = f"gridloom_batches_{uuid.uuid4().hex}"
-    df.write.bucketBy(partitions(spark), BATCH).sortBy(BATCH).format("parquet").saveAsTable(name)
+    df.write.bucketBy(buckets, BATCH).sortBy(BATCH).format("parquet").saveAsTable(name)
+    SCRATCH.append((spark, "table", name))
     return spark.table(name)
 
 
-def _repeated(asked: DataFrame, n_parts: int) -> DataFrame:
+def _repeated(asked: DataFrame, n_parts: int, width: int) -> DataFrame:
     """(batch, hashes): of each batch's hashes those that occur twice in the corpus."""
 
     def check(t: pa.Table) -> pa.Table:
-        blocks = [np.frombuffer(x, U64) for x in t.column("hashes").to_pylist()]
+        blocks = [np.frombuffer(x, U64).reshape(-1, width) for x in t.column("hashes").to_pylist()]
         twice = [np.unpackbits(np.frombuffer(x, np.uint8))[: len(b)] for x, b in zip(t.column("twice").to_pylist(), blocks)]
         h, rep = np.concatenate(blocks), np.concatenate(twice).astype(bool)
-        order = np.argsort(h, kind="stable")
+        order = _order(h)
         s = h[order]
-        many = np.r_[s[1:] == s[:-1], False]
-        many[1:] |= s[1:] == s[:-1]
+        same = (s[1:] == s[:-1]).all(1)
+        many = np.r_[same, False]
+        many[1:] |= same
         rep[order] |= many
         ends = np.cumsum([len(b) for b in blocks])
         found = [b[r] for b, r in zip(blocks, np.split(rep, ends[:-1]))]
@@ -177,10 +204,14 @@ def _repeated(asked: DataFrame, n_parts: int) -> DataFrame:
     return asked.repartition(n_parts, "part").groupBy("part").applyInArrow(check, f"{BATCH} long, hashes binary")
 
 
-def _pack(hashes: list[np.ndarray], batch: int, n_parts: int) -> pa.Table:
+def _pack(hashes: list[np.ndarray], batch: int, n_parts: int, width: int) -> pa.Table:
     """A batch's distinct hashes, by part, with a bit for those it holds more than once."""
-    h, n = np.unique(np.concatenate(hashes) if hashes else np.zeros(0, U64), return_counts=True)
-    part = ((h >> U64(32)) % U64(n_parts)).astype(np.int64)
+    h = np.concatenate(hashes) if hashes else np.zeros((0, width), U64)
+    h = h[_order(h)]
+    new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]).any(1)]) if len(h) else np.zeros(0, np.int64)
+    n = np.diff(np.r_[new, len(h)])
+    h = h[new]
+    part = ((h[:, 0] >> U64(32)) % U64(n_parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     h, n, part = h[order], n[order], part[order]
     cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(h) else np.zeros(0, np.int64)
@@ -196,18 +227,24 @@ def _pack(hashes: list[np.ndarray], batch: int, n_parts: int) -> pa.Table:
 def _asking(window: int, n_parts: int):
     def ask(t: pa.Table) -> pa.Table:
         got = [_Doc(x, window).asked(0, None)[1] for x in t.column(TEXT).to_pylist()]
-        return _pack(got, t.column(BATCH)[0].as_py(), n_parts)
+        return _pack(got, t.column(BATCH)[0].as_py(), n_parts, _width(levels(window), 0))
 
     return ask
 
 
+def _width(sizes: list[int], level: int) -> int:
+    return 2 if level == len(sizes) - 1 else 1
+
+
 def _asking_on(window: int, n_parts: int, level: int):
+    sizes = levels(window)
+
     def ask(t: pa.Table, answers: pa.Table) -> pa.Table:
         if not t.num_rows or not answers.num_rows:
-            return _pack([], 0, n_parts)
-        alive = _alive(answers)
+            return _pack([], 0, n_parts, _width(sizes, level))
+        alive = _alive(answers, _width(sizes, level - 1))
         got = [_Doc(x, window).asked(level, alive)[1] for x in t.column(TEXT).to_pylist()]
-        return _pack(got, t.column(BATCH)[0].as_py(), n_parts)
+        return _pack(got, t.column(BATCH)[0].as_py(), n_parts, _width(sizes, level))
 
     return ask
 
@@ -220,7 +257,8 @@ def remove_repeats(df: DataFrame, text_col: str = "text", window: int = 35) -> D
     """df plus `n_words`, `n_removed` (long) and `kept_text`: the words in no repeated window, joined by one space.
 
     Words are runs of characters other than space and \\x09-\\x0D. A text of fewer words than the window
-    keeps them all; a null text has none and keeps an empty text. Windows are judged on the input. Repeated
+    keeps them all; a null text has none and keeps an empty text. Very long texts are read whole, each in one task
+    with the batch it is in. Windows are judged on the input. Repeated
     rows count as separate texts, so all windows of a row that comes twice repeat. Other columns stay;
     those named like the new ones are replaced. An empty table gives an empty table.
 
@@ -229,18 +267,22 @@ def remove_repeats(df: DataFrame, text_col: str = "text", window: int = 35) -> D
     """
     spark = df.sparkSession
     kept = without(df.withColumn(TEXT, F.col(f"`{text_col}`")) if text_col.lower() in OUT else df.withColumnRenamed(text_col, TEXT), OUT)
-    store = _store(_batches(kept))
-    chars = store.agg(F.sum(F.length(TEXT))).first()[0] or 0
-    n_parts = max(partitions(spark), -(-chars // 5 // PART_HASHES))
+    size = kept.agg(F.sum(F.octet_length(TEXT).cast("long"))).first()[0] or 0
+    buckets = max(partitions(spark), -(-size // BUCKET_BYTES))
+    store = _store(_batches(kept, min(max(size // (2 * buckets), BATCH_BYTES[0]), BATCH_BYTES[1])), buckets)
+    n_parts = max(partitions(spark), -(-size // 5 // PART_HASHES))
     sizes = levels(window)
     texts = store.select(BATCH, TEXT)
-    answers = None
-    for level, size in enumerate(sizes):
+    answers, width = None, 1
+    for level, length in enumerate(sizes):
         if answers is None:
             asked = texts.groupBy(BATCH).applyInArrow(_asking(window, n_parts), ASKED)
         else:
             asked = texts.groupBy(BATCH).cogroup(answers.groupBy(BATCH)).applyInArrow(_asking_on(window, n_parts, level), ASKED)
-        answers = stored(_repeated(asked, n_parts), f"repeats_{size}")
+        width, before = _width(sizes, level), answers
+        answers = stored(_repeated(asked, n_parts, width), f"repeats_{length}")
+        if before is not None:
+            drop_scratch(tables=[before])
         if answers.isEmpty():
             break
     names = [c for c in store.columns if c != BATCH and not (c == TEXT and text_col.lower() in OUT)]
@@ -248,7 +290,7 @@ def remove_repeats(df: DataFrame, text_col: str = "text", window: int = 35) -> D
     out = T.StructType([*[T.StructField(s, store.schema[c].dataType) for s, c in zip(shown, names)], *T.StructType.fromDDL("n_words long, n_removed long, kept_text string").fields])
 
     def last(t: pa.Table, a: pa.Table) -> pa.Table:
-        alive = _alive(a)
+        alive = _alive(a, width)
         n, gone, text = [], [], []
         for x in t.column(TEXT).to_pylist():
             doc = _Doc(x, window)
