@@ -48,19 +48,22 @@ def _winnowed(grams: str) -> str:
 
 
 def _prints(df: DataFrame, lengths: list[int]) -> DataFrame:
-    """df (with __w) plus __n, __fp and __at: a window length, fingerprint hash bits and position; one row for each."""
-    parts = []
-    for n in lengths:
-        if n == WINDOW:
-            g = df.withColumn("__g", F.expr(_grams("__w", GRAM)))
-            g = g.withColumn("__v", F.expr(f"array_distinct({_winnowed('__g')})")).drop("__g")
-        else:
-            g = df.withColumn("__v", F.expr(_grams("__w", n)))
-        # The outer form: for the inner one the optimizer adds a filter that computes the whole array again.
-        parts.append(g.select(*df.columns, F.lit(n).alias("__n"), F.explode_outer("__v").alias("__x")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    """df (with __w) plus __n, __fp and __at: a window length, fingerprint hash bits and position; one row for each.
+
+    All lengths are taken from one pass over the texts and their words.
+    """
+    arrays = []
+    out = df
+    if WINDOW in lengths:
+        out = out.withColumn("__g", F.expr(_grams("__w", GRAM)))
+        arrays.append((WINDOW, f"array_distinct({_winnowed('__g')})"))
+    arrays += [(n, _grams("__w", n)) for n in lengths if n != WINDOW]
+    # The outer form: for the inner one the optimizer adds a filter that computes the whole array again.
+    if len(arrays) == 1:
+        out = out.select(*df.columns, F.lit(arrays[0][0]).alias("__n"), F.explode_outer(F.expr(arrays[0][1])).alias("__x"))
+    else:
+        every = ", ".join(f"transform({v}, x -> named_struct('n', {n}, 'x', x))" for n, v in arrays)
+        out = out.select(*df.columns, F.explode_outer(F.expr(f"concat({every})")).alias("__v")).select(*df.columns, F.col("__v.n").alias("__n"), F.col("__v.x").alias("__x"))
     low = (1 << POS_BITS) - 1
     return out.select(
         *df.columns, "__n", F.expr(f"shiftrightunsigned(__x, {POS_BITS})").alias("__fp"),
@@ -91,15 +94,17 @@ def _hits(docs: DataFrame, windows: DataFrame, lengths: list[int], small: bool)
     """(__k1, __k2, __item, __n, __p): every occurrence of an item's window in a text, by the text's key."""
     keyed = docs.select("__k1", "__k2", words_of(F.col("__text")).alias("__w"))
     same = "__n = __m and __fp = __f"
-    right = windows.select(F.col("__n").alias("__m"), F.col("__fp").alias("__f"), "__item", "__off", "__win")
-    found = ["__k1", "__k2", "__item", "__n", F.expr("__at - __off").alias("__p")]
+    # Items that share a window are one row with a list, so a window that many items hold is compared once.
+    right = windows.groupBy(F.col("__n").alias("__m"), F.col("__fp").alias("__f"), "__off", "__win").agg(F.collect_set("__item").alias("__who"), F.max(F.col("__item").isNull()).alias("__none"))
+    found = ["__k1", "__k2", F.explode(F.expr("if(__none, array_append(__who, null), __who)")).alias("__item"), "__n", "__p"]
+    near = ["__k1", "__k2", "__who", "__none", "__n", F.expr("__at - __off").alias("__p")]
     equal = "__at >= __off and slice(__w, greatest(__at - __off, 0) + 1, __n) = __win"
     if small:
-        return _prints(keyed, lengths).join(F.broadcast(right), F.expr(same)).where(equal).select(*found)
+        return _prints(keyed, lengths).join(F.broadcast(right), F.expr(same)).where(equal).select(*near).select(*found)
     # The shuffled way carries keys only and fetches the words of texts with a hit for the comparison.
     slim = _prints(keyed, lengths).select("__k1", "__k2", "__n", "__fp", "__at").distinct()
-    near = slim.join(right, F.expr(same)).select("__k1", "__k2", "__item", "__n", "__at", "__off", "__win")
-    return near.join(keyed.dropDuplicates(["__k1", "__k2"]), ["__k1", "__k2"]).where(equal).select(*found)
+    maybe = slim.join(right, F.expr(same)).select("__k1", "__k2", "__who", "__none", "__n", "__at", "__off", "__win")
+    return maybe.join(keyed.dropDuplicates(["__k1", "__k2"]), ["__k1", "__k2"]).where(equal).select(*near).select(*found)
 
 
 NEW = ["n_words", "n_hit", "items", "contaminated"]
@@ -113,7 +118,7 @@ def find_contamination(
     with an occurring window, as sorted strings) and `contaminated` (n_hit > 0).
 
     Null texts have no words; items without words have no window. Equal texts get equal results, so copies
-    and repeated rows are looked up by text. Null item ids are left out of `items` but count as hits. Other
+    and repeated rows are looked up by text. Very long texts are read whole, up to 2 ** 27 words. Null item ids are left out of `items` but count as hits. Other
     columns stay; those named like the new ones are replaced. Empty tables are fine on either side.
 
     Eager: it counts the items' windows to choose between broadcast and shuffle, and stores what it finds
@@ -144,7 +149,7 @@ def find_contamination(
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs without any item's window, with docs' columns."""
+    """The rows of docs without any item's window, with docs' columns. Null and empty texts stay; empty tables are fine."""
     hold = {c: f"__keep_{i}" for i, c in enumerate(docs.columns)}
     marked = find_contamination(docs.select(*[F.col(f"`{c}`").alias(a) for c, a in hold.items()]), items, hold[text_col])
     return marked.where("not contaminated").select(*[F.col(a).alias(c) for c, a in hold.items()])
