@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import (
-    U64, add_columns, gram_hashes, mix, partitions, sorted_groups, stored, text_key, word_hashes, words,
+    SCRATCH, U64, add_columns, drop_scratch, gram_hashes, mix, partitions, sorted_groups, stored, text_key, word_hashes, words,
 )
 from gridloom.llm.components import components
 
@@ -36,7 +36,9 @@ VALUES = ROWS * BANDS
 CHECK = 32
 TOLERANCE = 1e-7
 #: Classes in a block: of signatures (320 bytes each), and of whole texts.
-BUCKET_BLOCK, TEXT_BLOCK = 1024, 256
+BUCKET_BLOCK, TEXT_BLOCK = 256, 256
+#: Sets held by more rows than this share of the table, and than this many, come back to their rows by a broadcast: there are 4096 at most.
+HOT_SHARE, HOT_ROWS = 1 / 4096, 1024
 
 _FACTORS = mix(np.arange(1, VALUES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
@@ -212,8 +214,9 @@ def classes(
 
     rows: one row for each row of df: `id`, its text's key (k1, k2), row number and `set`, a 16-byte key of
     the shingle set, null without words. sets: `set`, `class_id` (least id in the class), `n_links` (rows
-    similar to a row of the set, without itself), `first_row` (row number of the class's first row by id).
+    similar to a row of the set, without itself), `copies` (rows of the set), `first_row` (row number of the class's first row by id).
     """
+    mark = len(SCRATCH)
     k1, k2 = text_key(F.col("text"))
     src = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumns({"k1": k1, "k2": k2})
 
@@ -265,11 +268,30 @@ def classes(
     by_rid = counted.join(several.select(F.col("node").alias("rid"), F.col("root").alias("far")), "rid", "left").select(
         "rid", "links", F.coalesce("far", "root").alias("class"))
     joined = reps.select("rid", "set", "least", "copies").join(by_rid, "rid", "left").select(
-        "set", "least", F.coalesce("class", "rid").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        "set", "least", "copies", F.coalesce("class", "rid").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     joined = stored(joined, "joined")
     first = joined.groupBy("class").agg(F.min("least").alias("first"))
-    sets = joined.join(first, "class").select("set", F.col("first.id").alias("class_id"), "n_links", F.col("first.row").alias("first_row"))
-    return rows, stored(sets, "classes")
+    sets = joined.join(first, "class").select("set", "copies", F.col("first.id").alias("class_id"), "n_links", F.col("first.row").alias("first_row"))
+    sets = stored(sets, "classes")
+    drop_scratch(since=mark, but=(signed, sets))
+    return rows, sets
+
+
+def _with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """rows with `class_id`, `n_links` and `first_row` of their set; rows without words have nulls.
+
+    Rows without a set aren't joined, and sets with very many rows are broadcast, so no key gathers more rows in
+    one task than HOT_ROWS or HOT_SHARE of the table.
+    """
+    most = max(HOT_ROWS, int(HOT_SHARE * rows.count()))
+    hot = sets.where(F.col("copies") > most).drop("copies")
+    cold = sets.where(F.col("copies") <= most).drop("copies")
+    bare = rows.where("set is null").withColumns({"class_id": F.lit(None).cast(sets.schema["class_id"].dataType), "n_links": F.lit(None).cast("long"), "first_row": F.lit(None).cast("long")})
+    some = rows.where("set is not null").join(F.broadcast(hot.withColumnsRenamed({c: f"hot_{c}" for c in hot.columns})), F.expr("set = hot_set"), "left")
+    own = ["class_id", "n_links", "first_row"]
+    found = some.where("hot_set is not null").select(*rows.columns, *[F.col(f"hot_{c}").alias(c) for c in own])
+    rest = some.where("hot_set is null").select(*rows.columns).join(cold, "set").select(*rows.columns, *own)
+    return bare.unionByName(found).unionByName(rest)
 
 
 def join(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
@@ -278,19 +300,23 @@ def join(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshol
 
     A class is a connected component of links. Copies and repeated rows link to each other. A text without
     words is in a class of its own without links. Ids must be integers; a null id is carried as null, and
-    gives no class its name unless all of a class's ids are null. An empty table gives an empty table.
+    gives no class its name unless all of a class's ids are null. Very long texts are compared whole, as sets of
+    8-byte hashes. An empty table gives an empty table.
     """
-    rows, sets = classes(df, text_col, id_col, threshold, tolerance)
-    return rows.join(sets, "set", "left").select(
+    return _with_sets(*classes(df, text_col, id_col, threshold, tolerance)).select(
         F.col("id").alias(id_col), F.expr("if(set is null, id, class_id)").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_first(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """df's rows without near duplicates: of each class the row of least id stays, whole; of rows that are
-    alike in id and text, one."""
+    alike in id and text, one.
+
+    Rows without words stay. Null ids are equal to each other here, and a null id is kept only where its class has
+    no other. Ids must be integers. Very long texts are compared whole. An empty table gives an empty table.
+    """
     rows, sets = classes(df, text_col, id_col, threshold)
-    stay = rows.join(sets.select("set", "first_row"), "set", "left").where("set is null or row = first_row").select(
+    stay = _with_sets(rows, sets).where("set is null or row = first_row").select(
         F.col("id").alias("__id"), F.col("k1").alias("__s1"), F.col("k2").alias("__s2"), F.col("set").isNull().alias("__bare"))
     stay = stored(stay.groupBy("__id", "__s1", "__s2").agg(F.max("__bare").alias("__bare")), "staying")
     k1, k2 = text_key(F.col(f"`{text_col}`"))
