@@ -118,13 +118,25 @@ def brute_dedup(texts, window):
 
 @pytest.mark.parametrize("window", [5, 20, 35])
 def test_repeated_windows_go(spark, window, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "BATCH_CHARS", 2000)
+    monkeypatch.setattr(substring_dedup, "BATCH_BYTES", (2000, 2000))
     texts = mixed(window)
     got = substring_dedup.remove_repeats(frame(spark, texts), window=window)
     assert "Text2" in got.columns and got.columns.count("n_words") == 1
     assert collections.Counter((r.n_words, r.n_removed, r.kept_text) for r in got.collect()) == brute_dedup(texts, window)
 
 
+def test_equal_short_hashes_are_told_apart_at_the_end(spark, monkeypatch):
+    """With one hash value for every word at the first hash, only the second tells windows apart."""
+    monkeypatch.setattr(substring_dedup, "word_hashes", lambda ws: np.ones(len(ws), np.uint64))
+    texts = [" ".join(f"{c}{i}" for i in range(50)) for c in "ab"] + ["z " + " ".join(f"a{i}" for i in range(40))]
+    docs = [substring_dedup._Doc(t, 35) for t in texts]
+    full = np.concatenate([d.full(np.arange(d.starts)) for d in docs])
+    alive, n = np.unique(full, axis=0, return_counts=True)
+    alive = alive[n > 1]
+    got = [int(d.covered(alive[substring_dedup._order(alive)]).sum()) for d in docs]
+    assert got == [40, 0, 40]
+
+
 def test_dedup_of_nothing(spark):
     assert substring_dedup.remove_repeats(frame(spark, []).limit(0)).count() == 0
 
@@ -426,3 +438,170 @@ def test_components_of_a_path_and_a_star(spark):
 def test_kept_text_hash_is_that_of_its_words(spark):
     r = substring_dedup.remove_repeats(frame(spark, ["a  b\tc"])).select(F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("h")).first()
     assert r.h == hashlib.sha256(b"a b c").hexdigest()
+
+
+@pytest.fixture(scope="module")
+def models():
+    texts = [t for t in sample_texts() if t][:60]
+    quality = line_quality.fit(texts, [i % 2 for i in range(len(texts))], steps=5)
+    return quality, language_id.fit(texts, [("en", "de")[i % 2] for i in range(len(texts))], steps=3)
+
+
+ITEMS = [("1", "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"), ("2", "short item"), (None, None)]
+
+
+def operators(spark, models):
+    """Each of the ten as a function of a table with `doc_id` and `text`, and the columns it adds or, in place of all, returns."""
+    items = spark.createDataFrame(ITEMS, "item_id string, text string")
+    piece, bpe = MODEL, public_tokenizers.path("byte_bpe_50k.json")
+    return {
+        "quality": (lambda d: line_quality.score(d, models[0]), ["score", "predicted"]),
+        "dedup": (substring_dedup.remove_repeats, ["n_words", "n_removed", "kept_text"]),
+        "language": (lambda d: language_id.identify(d, models[1]), ["lang_pred", "score"]),
+        "words": (lambda d: language_id.tag_words(d, models[1]), ["word_langs"]),
+        "contamination": (lambda d: decontaminate.find_contamination(d, items), ["n_words", "n_hit", "items", "contaminated"]),
+        "pieces": (lambda d: piece_sampling.encode(d, piece, check=True), ["piece_ids", "lossless"]),
+        "urls": (lambda d: url_filter.filter_urls(d, queries.URL_RULES, "text"), ["host", "path", "rule", "verdict"]),
+        "packing": (lambda d: packing.pack(d, public_tokenizers.path("byte_bpe_50k.tiktoken"), capacity=256), None),
+        "tokens": (lambda d: token_counts.count_tokens(d, bpe), ["n_bytes", "n_tokens", "over_limit"]),
+        "rules": (quality_rules.judge, [*quality_rules.BASE, "base_failed", "kept"]),
+        "jaccard": (jaccard_join.join, None),
+    }
+
+
+NAMES = ["quality", "dedup", "language", "words", "contamination", "pieces", "urls", "packing", "tokens", "rules", "jaccard"]
+#: Further columns: one of every name an operator adds, with other letters' case for some, and internal-looking ones.
+CLASH = ["Score", "predicted", "n_words", "n_removed", "kept_text", "lang_pred", "n_hit", "items", "contaminated", "piece_ids", "lossless", "host", "path", "Rule", "verdict",
+         "n_bytes", "n_tokens", "over_limit", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_id", "n_links", "word_langs", "decoded", "own"]
+
+
+def clashing(spark, texts):
+    fields = "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in CLASH)
+    return spark.createDataFrame([(i if i % 7 else None, t, *["mine"] * len(CLASH)) for i, t in enumerate(texts)], fields)
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_empty_tables_and_clashing_names(spark, models, name):
+    run, new = operators(spark, models)[name]
+    assert run(clashing(spark, []).limit(0)).count() == 0
+    texts = [*ODD, *ODD, None, "http://a.example.com/en/x", ITEMS[0][1]]
+    got = run(clashing(spark, texts))
+    rows = got.collect()
+    if name == "packing":
+        assert sum(r.n_segments for r in rows) >= sum(bool(t) for t in texts)
+        return
+    assert len(rows) == len(texts)
+    if name == "jaccard":
+        assert got.columns == ["doc_id", "class_id", "n_links"]
+        return
+    low = [c.lower() for c in new]
+    assert sorted(got.columns) == sorted([*[c for c in ["doc_id", "text", *CLASH] if c.lower() not in low], *new])
+    assert collections.Counter(r.text for r in rows) == collections.Counter(texts) and all(r.own == "mine" for r in rows)
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_very_long_texts(spark, models, name):
+    run, new = operators(spark, models)[name]
+    words_ = " ".join(f"w{i % 5000}x{i % 7}" for i in range(200_000))
+    texts = [words_, "\n" * 200_000, "y" * 300_000, "short", "ab \n" * 50_000, "语言" * 50_000]
+    rows = run(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    if name == "packing":
+        assert sum(r.n_tokens for r in rows) == sum(len(packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken")).encode(t)) for t in texts)
+        return
+    assert len(rows) == len(texts)
+    by = {r.doc_id: r for r in rows}
+    if name == "pieces":
+        assert all(r.lossless for r in rows)
+    if name == "dedup":
+        assert [by[i].n_words for i in range(6)] == [200_000, 0, 1, 1, 50_000, 1] and by[4].n_removed == 50_000
+    if name == "rules":
+        assert [by[i].n_words for i in range(6)] == [200_000, 0, 1, 1, 50_000, 1] and by[4].n_dup_lines == 49_999
+    if name == "tokens":
+        lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+        assert [by[i].n_tokens for i in (1, 3, 4)] == [len(lib.encode(texts[i], add_special_tokens=False).ids) for i in (1, 3, 4)]
+    if name == "jaccard":
+        assert all(r.n_links == 0 for r in rows)
+
+
+def test_a_million_lines_are_scored_in_blocks(models):
+    import tracemalloc
+
+    text = "a line of text\n" * 1_000_000
+    tracemalloc.start()
+    got = models[0].scores([text])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 0 <= got[0] <= 1 and most < 800e6
+
+
+def test_many_rules_of_one_host():
+    import time
+
+    rules = [url_filter.Rule("block", "h", f"/p{i:06d}") for i in range(100_000)] + [url_filter.Rule("allow", "h", "/p000001")]
+    trie = url_filter.RuleTrie(rules)
+    t = time.perf_counter()
+    assert [trie.judge(f"x://h/p{i:06d}/more")[2] for i in range(2000)] == [f"h/p{i:06d}" for i in range(2000)]
+    assert trie.judge("x://h/p000001")[3] == "block" and trie.judge("x://h/q")[2:] == (None, "allow")  # the first of equal rules
+    assert time.perf_counter() - t < 2
+
+
+def test_kept_urls_keep_own_columns(spark):
+    df = spark.createDataFrame([("http://a.com/", "MINE", "R", "V"), ("http://a.net/fr/", "x", "y", "z")], "url string, host string, rule string, verdict string")
+    got = url_filter.kept_urls(df, queries.URL_RULES)
+    assert got.columns == df.columns and [tuple(r) for r in got.collect()] == [("http://a.com/", "MINE", "R", "V")]
+
+
+def test_words_of_switched_texts_get_their_languages():
+    docs = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text", "lang"]).to_pandas().dropna()
+    held = np.array([zlib.crc32(str(i).encode()) % 4 == 2 for i in docs.doc_id])
+    train = docs[~held & (docs.text.str.len() < 3000)][:400]
+    m = language_id.fit(train.text.tolist(), train.lang.tolist())
+    found = [(language_id.LETTERS.findall(t), m.langs.index(lab)) for t, lab in zip(docs.text[held], docs.lang[held]) if language_id.LETTERS.findall(t)]
+    hit = total = 0
+    for ws, labels in language_id.switched(found, 100):
+        for (_, lang), lab in zip(m.tag([" ".join(ws)])[0], labels):
+            hit, total = hit + (lang == m.langs[lab]), total + 1
+    assert total > 1000 and hit / total > 0.9
+
+
+def test_remembered_words_give_the_same_potentials():
+    m = language_id.fit(["one two three", "eins zwei drei"], ["en", "de"], steps=2)
+    m.CACHED = 3
+    texts = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(a, a + 9)) for a in range(0, 200, 5)]
+    want = [m.predict([t])[1][0] for t in texts]
+    fresh = language_id.LanguageModel(m.langs, m.weights, m.start, m.trans)
+    assert np.allclose(want, fresh.predict(texts)[1])
+
+
+def test_cached_chunks_are_short():
+    c = token_counts.MergeCounter(public_tokenizers.path("byte_bpe_50k.json"))
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["two  spaces " + "and words " * 200, "q" * 5000, "a\u00a0 b \u2003c d", "x \n y", " \x1c a \x1c"]
+    assert c.counts(texts) == [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert max(map(len, c.cache)) <= c.SHORT and len(c.cache) < 40
+
+
+def test_hot_sets_come_back_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT_ROWS", 3)
+    texts = mixed(2) + ["one two three four five six seven"] * 9
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.join(df).collect()) == brute_join(texts)
+
+
+def test_joins_keep_null_ids(spark):
+    one = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(None, one, "a"), (5, one, "b"), (3, one + " w60", "c"), (None, "alone in here", "d"), (None, None, "e"), (None, None, "f")], "doc_id long, text string, Class_id string")
+    got = sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in jaccard_join.join(df).collect())
+    assert got == sorted([("None", "3", 2), ("5", "3", 2), ("3", "3", 2), ("None", "None", 0), ("None", "None", 0), ("None", "None", 0)])
+    assert sorted(r.Class_id for r in jaccard_join.keep_first(df).collect()) == ["c", "d", "e", "f"]
+
+
+def test_scratch_is_deleted(spark):
+    from gridloom.llm.common import SCRATCH, drop_scratch, stored
+
+    mark = len(SCRATCH)
+    df = spark.createDataFrame(list(enumerate(mixed(4))), "doc_id long, text string")
+    out = stored(substring_dedup.remove_repeats(df), "kept")
+    drop_scratch(since=mark, but=(out,))
+    assert [kind for _, kind, _ in SCRATCH[mark:]] == ["path"] and out.count() == df.count()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("gridloom_batches")]
