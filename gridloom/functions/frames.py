@@ -220,6 +220,7 @@ class LocalMetres:
     lon0: float
     lat0: float
     angle: float = 0.0
+    scale: float = SCALE
 
     def _northing0(self) -> float:
         n = GRS80_F / (2 - GRS80_F)
@@ -227,7 +228,7 @@ class LocalMetres:
         e = 2 * math.sqrt(n) / (1 + n)
         t = math.sinh(math.atanh(math.sin(math.radians(self.lat0))) - e * math.atanh(e * math.sin(math.radians(self.lat0))))
         xi = math.atan(t)
-        return SCALE * a * (xi + sum(k * math.sin(2 * (j + 1) * xi) for j, k in enumerate(fwd)))
+        return self.scale * a * (xi + sum(k * math.sin(2 * (j + 1) * xi) for j, k in enumerate(fwd)))
 
     def project(self, lon: Column, lat: Column) -> tuple[Column, Column]:
         """(x, y) in metres, all in column arithmetic."""
@@ -242,7 +243,7 @@ class LocalMetres:
         for j, k in enumerate(fwd, 1):
             x = x + k * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
             y = y + k * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        x, y = SCALE * a * x, SCALE * a * y - self._northing0()
+        x, y = self.scale * a * x, self.scale * a * y - self._northing0()
         c, si = math.cos(self.angle), math.sin(self.angle)
         return c * x + si * y, -si * x + c * y
 
@@ -253,7 +254,7 @@ class LocalMetres:
         e = 2 * math.sqrt(n) / (1 + n)
         c, si = math.cos(self.angle), math.sin(self.angle)
         px, py = c * x - si * y, si * x + c * y
-        xi0, eta0 = (py + self._northing0()) / (SCALE * a), px / (SCALE * a)
+        xi0, eta0 = (py + self._northing0()) / (self.scale * a), px / (self.scale * a)
         xi, eta = xi0, eta0
         for j, k in enumerate(inv, 1):
             xi = xi - k * F.sin(2 * j * xi0) * F.cosh(2 * j * eta0)
@@ -278,3 +279,50 @@ def rectangle_metres(vertices: list[LonLat], lon: float, lat: float, spark: Spar
 def equirectangular(lon: Column, lat: Column, lon0: Column, lat0: Column) -> tuple[Column, Column]:
     """Rough local metres: 111 320 m per degree of longitude at the equator, 110 540 m of latitude."""
     return (lon - lon0) * 111320.0 * F.cos(F.radians(lat0)), (lat - lat0) * 110540.0
+
+
+def projections() -> dict[str, tuple[LocalMetres, float, float]]:
+    """Projected systems by EPSG code, with false easting and northing: UTM zones of ETRS89 and WGS84 (north and south),
+    and the Japanese plane zones of JGD2000 and JGD2011."""
+    out = {}
+    for zone in range(1, 61):
+        tm = LocalMetres(6.0 * zone - 183, 0.0, 0.0, 0.9996)
+        out[f"EPSG:{32600 + zone}"] = (tm, 500_000.0, 0.0)
+        out[f"EPSG:{32700 + zone}"] = (tm, 500_000.0, 10_000_000.0)
+        if 28 <= zone <= 38:
+            out[f"EPSG:{25800 + zone}"] = (tm, 500_000.0, 0.0)
+    for i, (lon, lat) in enumerate(JAPAN):
+        out[f"EPSG:{2443 + i}"] = out[f"EPSG:{6669 + i}"] = (LocalMetres(lon, lat), 0.0, 0.0)
+    return out
+
+
+#: Origins (lon, lat) of the Japanese plane zones I to XIX (fixed values).
+JAPAN = [(129.5, 33.0), (131.0, 33.0), (132 + 1 / 6, 36.0), (133.5, 33.0), (134 + 1 / 3, 36.0), (136.0, 36.0), (137 + 1 / 6, 36.0), (138.5, 36.0), (139 + 5 / 6, 36.0), (140 + 5 / 6, 40.0),
+         (140.25, 44.0), (142.25, 44.0), (144.25, 44.0), (142.0, 26.0), (127.5, 26.0), (124.0, 26.0), (131.0, 26.0), (136.0, 20.0), (154.0, 26.0)]
+
+
+def _by_code(epsg: Column, codes: list[str] | None, one) -> Column:
+    known = projections()
+    out = F.lit(None)
+    for code in codes if codes is not None else ("EPSG:25832", "EPSG:25833"):
+        if code in known:
+            out = F.when(epsg == code, one(*known[code])).otherwise(out)
+    return out
+
+
+def to_projected(lon: Column, lat: Column, epsg: Column, codes: list[str] | None = None) -> Column:
+    """struct(x, y) in the system that epsg names, one of `codes`; null for another."""
+    def one(tm: LocalMetres, east: float, north: float) -> Column:
+        x, y = tm.project(lon, lat)
+        return F.struct((x + east).alias("x"), (y + north).alias("y"))
+
+    return _by_code(epsg, codes, one)
+
+
+def to_geographic(x: Column, y: Column, epsg: Column, codes: list[str] | None = None) -> Column:
+    """struct(lon, lat) of a point in the system that epsg names, one of `codes`; null for another."""
+    def one(tm: LocalMetres, east: float, north: float) -> Column:
+        lon, lat = tm.unproject(x - east, y - north)
+        return F.struct(lon.alias("lon"), lat.alias("lat"))
+
+    return _by_code(epsg, codes, one)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,14 +17,21 @@ def numbers(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda p: p.try_cast("double")), lambda v: v.isNotNull())
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def pos_list(text: Column, dims: int = 3) -> Column:
     """array<struct(x, y, z)> of a position list; an incomplete last point is dropped. Two dimensions have z 0."""
-    v = numbers(text)
-    n = F.floor(F.size(v) / dims).cast("int")
-    z = (lambda i: F.get(v, i * dims + 2)) if dims == 3 else (lambda i: F.lit(0.0))
-    pts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(
-        F.get(v, i * dims).alias("x"), F.get(v, i * dims + 1).alias("y"), z(i).alias("z")))
-    return F.when(n > 0, pts).otherwise(F.array().cast(f"array<{POINT}>"))
+    def points(v: Column) -> Column:
+        n = F.floor(F.size(v) / dims).cast("int")
+        z = (lambda i: F.get(v, i * dims + 2)) if dims == 3 else (lambda i: F.lit(0.0))
+        pts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(
+            F.get(v, i * dims).alias("x"), F.get(v, i * dims + 1).alias("y"), z(i).alias("z")))
+        return F.when(n > 0, pts).otherwise(F.array().cast(f"array<{POINT}>"))
+
+    return let(numbers(text), points)
 
 
 def open_ring(points: Column) -> Column:

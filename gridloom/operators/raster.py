@@ -123,7 +123,7 @@ def fill_ids(wanted: DataFrame, claimed: DataFrame, n_rows: int, n_cols: int, bl
 
 
 def polygon_cells(polys: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
-    """(seq, code, r, c) for each cell centre strictly inside a polygon; ring: array<struct(x, y)>, holes ignored."""
+    """(seq, code, r, c) for each cell centre strictly inside a polygon (seq, code, ring[, holes]) and in none of its holes."""
     from gridloom.functions.geometry import inside_ring
 
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
@@ -131,7 +131,11 @@ def polygon_cells(polys: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
         "__c": _window(F.floor(F.array_min(xs)), F.ceil(F.array_max(xs)), n_cols), "__r": _window(F.floor(F.array_min(ys)), F.ceil(F.array_max(ys)), n_rows)})
     w = w.where((F.array_max(xs) >= 0) & (F.array_min(xs) <= n_cols - 1) & (F.array_max(ys) >= 0) & (F.array_min(ys) <= n_rows - 1))
     w = w.withColumn("r", F.explode("__r")).withColumn("c", F.explode("__c"))
-    return w.where(inside_ring(F.col("c").cast("double"), F.col("r").cast("double"), F.col("ring"))).select("seq", "code", "r", "c")
+    x, y = F.col("c").cast("double"), F.col("r").cast("double")
+    w = w.where(inside_ring(x, y, F.col("ring")))
+    if "holes" in polys.columns:
+        w = w.where(~F.exists("holes", lambda h: inside_ring(x, y, h)))
+    return w.select("seq", "code", "r", "c")
 
 
 def land_cover(cells: DataFrame, grid: DataFrame, default: int = DEFAULT_CLASS) -> DataFrame:
@@ -165,9 +169,17 @@ def canopy_base(top: Column, bottom: Column, ratio: float = TRUNK_RATIO) -> Colu
 
 
 def terrain_heights(tri: DataFrame, grid: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
-    """(r, c, dem) of each grid cell from triangles; cells outside all take the nearest cell's. No terrain: 0."""
+    """(r, c, dem) of each grid cell, linear in the triangle that holds its centre; cells outside all take the nearest cell's. No terrain: 0.
+
+    Of several triangles the one counts in which the centre lies deepest (the barycentric weight that is least is greatest), then the higher.
+    """
     hit = triangle_cells(tri.select(*[f"{k}{i}" for i in range(3) for k in "xyz"]), n_rows, n_cols)
-    dem = hit.groupBy("r", "c").agg(F.max("z").alias("id"))
+    x, y = [F.col(f"x{i}") for i in range(3)], [F.col(f"y{i}") for i in range(3)]
+    den = F.nullif((y[1] - y[2]) * (x[0] - x[2]) + (x[2] - x[1]) * (y[0] - y[2]), F.lit(0.0))
+    a = ((y[1] - y[2]) * (F.col("c") - x[2]) + (x[2] - x[1]) * (F.col("r") - y[2])) / den
+    b = ((y[2] - y[0]) * (F.col("c") - x[2]) + (x[0] - x[2]) * (F.col("r") - y[2])) / den
+    deep = F.coalesce(F.round(F.least(a, b, 1 - a - b), 9), F.lit(-1.0))
+    dem = hit.groupBy("r", "c").agg(F.max(F.struct(deep.alias("deep"), "z")).alias("m")).select("r", "c", F.col("m.z").alias("id"))
     rest = fill_ids(grid, dem, n_rows, n_cols)
     both = dem.unionByName(rest)
     return grid.select("r", "c").join(both, ["r", "c"], "left").select("r", "c", F.coalesce("id", F.lit(0.0)).alias("dem"))

@@ -13,17 +13,17 @@ from pyspark.sql import functions as F
 def _cumulative(df: DataFrame, value: str, weight: Column) -> DataFrame:
     """(v, w, upto): each distinct value, its weight and the weight of all values up to it.
 
-    Distinct values are dealt by range; a running sum within each range starts from the ranges' totals
-    before it, which are one row for each partition.
+    Values are dealt to ranges at approximate quantiles, found in one pass; a running sum within each range starts
+    from the totals of the ranges before it, which are one row for each range.
     """
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    g = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.sum(weight).alias("w"))
-    r = g.repartitionByRange(n, "v").withColumn("p", F.spark_partition_id())
-    ends = r.groupBy("p").agg(F.sum("w").alias("t"), F.min("v").alias("from"), F.max("v").alias("to"))
-    before = ends.select("from", "to", (F.sum("t").over(Window.orderBy("from")) - F.col("t")).alias("before"))
-    placed = g.join(F.broadcast(before), F.col("v").between(F.col("from"), F.col("to")))
-    w = Window.partitionBy("from").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    return placed.select("v", "w", (F.sum("w").over(w) + F.col("before")).alias("upto"))
+    known = df.where(F.col(value).isNotNull())
+    cuts = sorted(set(known.select(F.col(value).cast("double").alias("v")).approxQuantile("v", [i / n for i in range(1, n)], 0.01))) if n > 1 else []
+    at = F.size(F.filter(F.array(*[F.lit(x) for x in cuts]).cast("array<double>"), lambda x: x < F.col("v").cast("double")))
+    g = known.groupBy(F.col(value).alias("v")).agg(F.sum(weight).alias("w")).withColumn("p", at)
+    before = g.groupBy("p").agg(F.sum("w").alias("t")).select("p", (F.sum("t").over(Window.orderBy("p")) - F.col("t")).alias("before"))
+    w = Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    return g.join(F.broadcast(before), "p").select("v", "w", (F.sum("w").over(w) + F.col("before")).alias("upto"))
 
 
 def ecdf(df: DataFrame, value: str, weight: Column | None = None) -> DataFrame:
@@ -33,10 +33,16 @@ def ecdf(df: DataFrame, value: str, weight: Column | None = None) -> DataFrame:
 
 
 def ecdf_on(df: DataFrame, value: str, grid: DataFrame) -> DataFrame:
-    """(x, share): share of rows at each grid point or below. The grid is small and is broadcast by the optimizer."""
-    n = df.where(F.col(value).isNotNull()).agg(F.count("*").alias("n"))
-    hits = grid.join(df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("k")), F.col("v") <= F.col("x"), "left")
-    return hits.groupBy("x").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("k")).crossJoin(F.broadcast(n)).select("x", (F.col("k") / F.col("n")).alias("share"))
+    """(x, share): share of rows at each grid point or below. The grid is a list of points, held in one row.
+
+    A value counts in the bin of the first point not below it; the bins are then added up.
+    """
+    points = grid.agg(F.sort_array(F.collect_set("x")).alias("xs"))
+    known = df.where(F.col(value).isNotNull()).select(F.col(value).alias("v")).crossJoin(F.broadcast(points))
+    bins = known.groupBy(F.size(F.filter("xs", lambda x: x < F.col("v"))).alias("i")).agg(F.count("*").alias("k"))
+    up = points.select(F.posexplode("xs").alias("i", "x")).join(bins, "i", "left").withColumn("k", F.coalesce("k", F.lit(0)))
+    n = bins.agg(F.sum("k").alias("n"))
+    return up.withColumn("k", F.sum("k").over(Window.orderBy("i"))).crossJoin(F.broadcast(n)).select("x", (F.col("k") / F.col("n")).alias("share"))
 
 
 def weighted_stats(df: DataFrame, value: str, weight: str) -> DataFrame:
@@ -65,9 +71,16 @@ def weighted_percentiles(df: DataFrame, value: str, weight: str, percents: list[
 
 
 def percentiles(df: DataFrame, value: str, percents: list[float]) -> DataFrame:
-    """(p, v), exact and linear."""
-    a = df.agg(F.percentile(F.col(value), F.array(*[F.lit(p / 100) for p in percents])).alias("v"))
-    return a.select(F.explode(F.arrays_zip(F.array(*[F.lit(float(p)) for p in percents]).alias("p"), "v")).alias("z")).select("z.p", "z.v")
+    """(p, v), exact and linear between order statistics, which are found from cumulative counts."""
+    c = _cumulative(df, value, F.lit(1))
+    n = c.agg(F.max("upto").alias("n"))
+    asked = F.explode(F.array(*[F.lit(float(p)) for p in percents])).alias("p")
+    j = n.select("n", asked).withColumn("h", (F.col("n") - 1) * F.col("p") / 100).select("p", "h", F.floor("h").alias("i"))
+    hits = c.crossJoin(F.broadcast(j)).where("upto > i and upto - w <= i + 1")  # a row for each percent
+    lo = F.max(F.when((F.col("upto") - F.col("w") <= F.col("i")) & (F.col("upto") > F.col("i")), F.col("v")))
+    hi = F.max(F.when((F.col("upto") - F.col("w") <= F.col("i") + 1) & (F.col("upto") > F.col("i") + 1), F.col("v")))
+    e = hits.groupBy("p").agg(lo.alias("a"), hi.alias("b"), F.first("h").alias("h"), F.first("i").alias("i"))
+    return e.select("p", (F.col("a") + (F.coalesce("b", "a") - F.col("a")) * (F.col("h") - F.col("i"))).alias("v"))
 
 
 def moments(df: DataFrame, value: str) -> DataFrame:
@@ -91,7 +104,7 @@ def histogram(df: DataFrame, value: str, lo: float, hi: float, bins: int) -> Dat
 
 def quantile_bins(df: DataFrame, value: str, parts: int) -> DataFrame:
     """df plus `bin`: 0 up to parts - 1 by quantile edges, (a, b] but for the first, equal edges taken as one."""
-    edges = df.agg(F.array_distinct(F.percentile(F.col(value), F.array(*[F.lit(i / parts) for i in range(parts + 1)]))).alias("e"))
+    edges = percentiles(df, value, [100 * i / parts for i in range(parts + 1)]).agg(F.sort_array(F.collect_set("v")).alias("e"))
     e = df.crossJoin(F.broadcast(edges))
     inner = F.slice("e", 2, F.greatest(F.size("e") - 2, F.lit(0)))
     return e.withColumn("bin", F.size(F.filter(inner, lambda x: x < F.col(value)))).drop("e")
@@ -187,3 +200,20 @@ def edge_means(edges: DataFrame, grid: DataFrame, samples: int) -> DataFrame:
     at = lambda a, b: F.rint(F.col(a) + (F.col(b) - F.col(a)) * F.col("k") / float(max(1, samples - 1))).cast("int")
     p = edges.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).select("edge_id", at("r0", "r1").alias("r"), at("c0", "c1").alias("c"))
     return p.join(grid, ["r", "c"]).groupBy("edge_id").agg(F.avg("v").alias("v"))
+
+
+def keep_best(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """Of rows with equal keys the one of greatest value, of equal ones the first by `order`; nulls come last."""
+    w = Window.partitionBy(*keys).orderBy(F.col(value).desc_nulls_last(), order)
+    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def grid_summary(grid: DataFrame, value: str) -> DataFrame:
+    """(cells, valid, share, mean, low, high) of a grid; null and NaN cells count as cells only."""
+    v = F.when(~F.isnan(value), F.col(value))
+    return grid.agg(F.count("*").alias("cells"), F.count(v).alias("valid"), (F.count(v) / F.count("*")).alias("share"), F.avg(v).alias("mean"), F.min(v).alias("low"), F.max(v).alias("high"))
+
+
+def pooled_bins(df: DataFrame, value: str, run: str, parts: int = 4) -> DataFrame:
+    """(run, bin, n): each run's rows by quantile bins of all runs' values together."""
+    return quantile_bins(df.select(run, value), value, parts).groupBy(run, "bin").agg(F.count("*").alias("n"))

@@ -92,24 +92,29 @@ def drop_degenerate(tri: DataFrame, min_area: float = 1e-12, max_aspect: float =
 
 
 def walls(faces: DataFrame, offset: int) -> DataFrame:
-    """(mesh, i, a, b, c): two triangles below each boundary edge, bottom vertices at v + offset, winding kept."""
+    """(mesh, a, b, c, face): two triangles below each boundary edge, bottom vertices at v + offset, winding kept."""
     open_ = edges(faces).join(boundary_edges(faces), ["mesh", "lo", "hi"], "left_semi")
     t = F.array(
         F.struct(F.col("b").alias("p"), F.col("a").alias("q"), (F.col("a") + offset).alias("s")),
         F.struct(F.col("b").alias("p"), (F.col("a") + offset).alias("q"), (F.col("b") + offset).alias("s")))
-    return open_.select("mesh", "face", "i", F.posexplode(t).alias("j", "t")).select("mesh", F.col("t.p").alias("a"), F.col("t.q").alias("b"), F.col("t.s").alias("c"))
+    # Face numbers 8f + 2 to 8f + 7 are free for the walls below face f (see extrude).
+    return open_.select("mesh", "face", "i", F.posexplode(t).alias("j", "t")).select(
+        "mesh", F.col("t.p").alias("a"), F.col("t.q").alias("b"), F.col("t.s").alias("c"), (F.col("face") * 8 + 2 + F.col("i") * 2 + F.col("j")).alias("face"))
 
 
 def bottom_cap(faces: DataFrame, offset: int) -> DataFrame:
     """The faces at v + offset with winding turned round."""
-    return faces.select("mesh", (F.col("c") + offset).alias("a"), (F.col("b") + offset).alias("b"), (F.col("a") + offset).alias("c"))
+    return faces.select("mesh", (F.col("c") + offset).alias("a"), (F.col("b") + offset).alias("b"), (F.col("a") + offset).alias("c"), (F.col("face") * 8 + 1).alias("face"))
 
 
 def extrude(vertices: DataFrame, faces: DataFrame, offset: int, bottom_z: float) -> tuple[DataFrame, DataFrame]:
-    """A closed solid: the surface, walls at its boundary and a bottom at one height."""
+    """A closed solid: the surface, walls at its boundary and a bottom at one height.
+
+    Face f gives 8f, its bottom 8f + 1 and its walls numbers up to 8f + 7, so nothing is sorted to number them.
+    """
     low = vertices.withColumns({"v": F.col("v") + offset, "z": F.lit(bottom_z)})
-    every = faces.select("mesh", "a", "b", "c").unionByName(walls(faces, offset)).unionByName(bottom_cap(faces, offset))
-    return vertices.unionByName(low), every.withColumn("face", F.row_number().over(Window.partitionBy("mesh").orderBy("a", "b", "c")) - 1)
+    top = faces.select("mesh", "a", "b", "c", (F.col("face") * 8).alias("face"))
+    return vertices.unionByName(low), top.unionByName(walls(faces, offset)).unionByName(bottom_cap(faces, offset))
 
 
 def split_pinches(faces: DataFrame, offset: int) -> DataFrame:
@@ -148,15 +153,18 @@ def split_pinches(faces: DataFrame, offset: int) -> DataFrame:
 
 
 def outward(tri: DataFrame) -> DataFrame:
-    """(mesh, face, x0..z2) with whole meshes turned if over half their faces look to the centroid."""
+    """(mesh, face, x0..z2) with whole meshes turned if over half their faces look to the centroid.
+
+    Centroids and votes are aggregates by mesh that come back by a join, so no mesh is gathered.
+    """
     from gridloom.functions.geometry import triangle_normal
 
-    w = Window.partitionBy("mesh")
     mid = {k: (F.col(f"{k}0") + F.col(f"{k}1") + F.col(f"{k}2")) / 3 for k in "xyz"}
-    t = tri.withColumns({f"m{k}": F.avg(v).over(w) for k, v in mid.items()})
+    t = tri.join(tri.groupBy("mesh").agg(*[F.avg(v).alias(f"m{k}") for k, v in mid.items()]), "mesh")
     n = triangle_normal()
     dot = sum((n[i] * (mid[k] - F.col(f"m{k}")) for i, k in enumerate("xyz")), F.lit(0.0))
-    t = t.withColumn("turn", F.avg(F.when(dot < 0, 1.0).otherwise(0.0)).over(w) > 0.5)
+    votes = t.groupBy("mesh").agg((F.avg(F.when(dot < 0, 1.0).otherwise(0.0)) > 0.5).alias("turn"))
+    t = tri.join(votes, "mesh")
     swap = {f"{k}{i}": F.when(F.col("turn"), F.col(f"{k}{3 - i}")).otherwise(F.col(f"{k}{i}")) for k in "xyz" for i in (1, 2)}
     return t.select("mesh", "face", "x0", "y0", "z0", *[swap[f"{k}{i}"].alias(f"{k}{i}") for i in (1, 2) for k in "xyz"])
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,7 +84,7 @@ def reapply_canopy(voxels: DataFrame, mesh_trees: DataFrame, canopy: DataFrame,
     return apply_canopy(kept, canopy, dem, frame, mesh_trees)
 
 
-def _shifts(corners: bool = False) -> Column:
+def _shifts() -> Column:
     six = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
     return F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(d).alias("d"), F.lit(i).alias("i")) for i, (a, b, d) in enumerate(six)])
 
@@ -130,7 +131,7 @@ def greedy_rectangles(runs: DataFrame, plane: list[str], across: str) -> DataFra
     return g.groupBy(*plane, "start", "length", "g").agg(F.min(across).alias("across0"), F.count("*").alias("depth")).drop("g")
 
 
-# Mesh to voxels. Candidate cells come from each triangle's own window by explode; the tests are columns.
+# Mesh to voxels. Candidate cells come from each triangle's own window.
 
 TRI = [f"{k}{i}" for i in range(3) for k in "xyz"]
 
@@ -151,42 +152,104 @@ def triangle_windows(tri: DataFrame, frame: VoxelFrame, pad: int = 1) -> DataFra
     return out.drop(*[f"__{k}{i}" for k in "rcz" for i in (0, 1)])
 
 
-def touches_box(px: Column, py: Column, pz: Column, half: float) -> Column:
-    """Whether triangle x0..z2 meets the closed cube of half size `half` about a point: 13 separating axes."""
-    v = [[F.col(f"{k}{i}") - p for k, p in zip("xyz", (px, py, pz))] for i in range(3)]
-    e = [[v[(i + 1) % 3][k] - v[i][k] for k in range(3)] for i in range(3)]
-    tests = []
-    for k in range(3):
-        tests.append((F.least(*[x[k] for x in v]) <= half) & (F.greatest(*[x[k] for x in v]) >= -half))
-    n = [e[0][1] * e[1][2] - e[0][2] * e[1][1], e[0][2] * e[1][0] - e[0][0] * e[1][2], e[0][0] * e[1][1] - e[0][1] * e[1][0]]
-    tests.append(F.abs(sum((n[k] * v[0][k] for k in range(3)), F.lit(0.0))) <= half * sum((F.abs(x) for x in n), F.lit(0.0)))
+def _index_ranges(lo: np.ndarray, hi: np.ndarray, frame: VoxelFrame, half: float) -> tuple[np.ndarray, np.ndarray]:
+    """First and last (r, c, z) whose centre is within `half` of boxes lo..hi in row, column and level direction, clipped."""
+    slack = 1e-9 * frame.size
+    first = np.ceil((lo - half - slack) / frame.size - 0.5)
+    last = np.floor((hi + half + slack) / frame.size - 0.5)
+    n = np.array([frame.n_rows, frame.n_cols, frame.n_z])
+    return np.maximum(first, 0).astype(np.int64), np.minimum(last, n - 1).astype(np.int64)
+
+
+def _corners(b: pa.RecordBatch, frame: VoxelFrame) -> np.ndarray:
+    """(triangle, corner, axis) of a batch's x0..z2, from the frame's corner in row, column and level direction."""
+    v = lambda k, i: b.column(b.schema.get_field_index(f"{k}{i}")).to_numpy(zero_copy_only=False).astype(float)
+    return np.stack([np.stack([frame.max_y - v("y", i), v("x", i) - frame.min_x, v("z", i) - frame.min_z], 1) for i in range(3)], 1)
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def _meets_cube(v: np.ndarray, half: float) -> np.ndarray:
+    """Which triangles (n, corner, axis) meet the closed cube of half size `half` about 0: 13 separating axes, each on those left."""
+    left = np.flatnonzero(((v.min(1) <= half) & (v.max(1) >= -half)).all(1))
+    e = v[left][:, [1, 2, 0]] - v[left]
+    n = np.cross(e[:, 0], e[:, 1])
+    ok = np.abs((n * v[left][:, 0]).sum(1)) <= half * np.abs(n).sum(1)
+    left, e = left[ok], e[ok]
     for i in range(3):
         for k in range(3):
             a, b = (k + 1) % 3, (k + 2) % 3
-            p = [x[b] * e[i][a] - x[a] * e[i][b] for x in v]
-            rad = half * (F.abs(e[i][a]) + F.abs(e[i][b]))
-            tests.append((F.least(*p) <= rad) & (F.greatest(*p) >= -rad))
-    out = tests[0]
-    for t in tests[1:]:
-        out = out & t
+            p = v[left][:, :, b] * e[:, None, i, a] - v[left][:, :, a] * e[:, None, i, b]
+            rad = half * (np.abs(e[:, i, a]) + np.abs(e[:, i, b]))
+            ok = (p.min(1) <= rad) & (p.max(1) >= -rad)
+            left, e = left[ok], e[ok]
+    out = np.zeros(len(v), bool)
+    out[left] = True
     return out
 
 
+#: Cells looked at in one go.
+CHUNK = 200_000
+
+
+def _cells_met(b: pa.RecordBatch, frame: VoxelFrame, half: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(triangle, cell (r, c, z)) of each cell whose cube of half size `half` a triangle meets, in blocks of bounded size."""
+    v = _corners(b, frame)
+    first, last = _index_ranges(v.min(1), v.max(1), frame, half)
+    size = np.maximum(last - first + 1, 0)
+    who = np.flatnonzero(size.all(1))
+    slab = np.repeat(who, size[who, 0])  # a triangle's rows, then its cells in each row
+    row = _spread(first[who, 0], size[who, 0])
+    weight = np.cumsum(size[slab, 1] * size[slab, 2])
+    cuts = [0, *(np.flatnonzero(np.diff(weight // CHUNK)) + 1).tolist(), len(slab)] if len(slab) else []
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        s, r = slab[lo:hi], row[lo:hi]
+        line = _spread(np.zeros(len(s), np.int64), size[s, 1])
+        t = np.repeat(s, size[s, 1])
+        many = size[t, 2]
+        cell = np.stack([np.repeat(np.repeat(r, size[s, 1]), many), np.repeat(first[t, 1] + line, many), _spread(first[t, 2], many)], 1)
+        t = np.repeat(t, many)
+        hit = _meets_cube(v[t] - ((cell + 0.5) * frame.size)[:, None], half)
+        yield t[hit], cell[hit]
+
+
+def _cell_table(tri: DataFrame, frame: VoxelFrame, half: float, part: int = 1) -> DataFrame:
+    """(seq, r, c, z, bits) of cells that triangles meet, once for each batch and block; bits: which of the cell's part ** 3 sub-cells, one each."""
+    n = np.array([frame.n_rows, frame.n_cols, frame.n_z])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seq, name = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
+            for t, cell in _cells_met(b, frame, half):
+                key = np.unique(((name[t] * n[0] + cell[:, 0]) * n[1] + cell[:, 1]) * n[2] + cell[:, 2])
+                key, z = np.divmod(key, n[2])
+                key, c = np.divmod(key, n[1])
+                key, r = np.divmod(key, n[0])
+                sub = ((r % part) * part + c % part) * part + z % part
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(seq[key], pa.int64()), *[pa.array(x // part, pa.int32()) for x in (r, c, z)], pa.array(sub, pa.int32())], names=["seq", *CELL, "sub"])
+
+    return tri.select(F.col("seq").cast("long").alias("seq"), *[F.col(k).cast("double").alias(k) for k in TRI]).mapInArrow(run, "seq long, r int, c int, z int, sub int")
+
+
 def surface_cells(tri: DataFrame, frame: VoxelFrame, contact: bool) -> DataFrame:
-    """(seq, r, c, z) of cells a mesh's triangles touch (contact) or enter."""
-    half = frame.contact_half if contact else frame.penetration_half
-    w = triangle_windows(tri.select("seq", *TRI), frame)
-    return w.where(touches_box(*frame.centre(F.col("r"), F.col("c"), F.col("z")), half)).select("seq", *CELL).distinct()
+    """(seq, r, c, z) of cells a mesh's triangles touch (contact) or enter.
+
+    Each triangle looks at the cells of its own box, in numpy over Arrow batches and blocks of bounded size, so
+    nothing is shuffled but the cells met.
+    """
+    return _cell_table(tri, frame, frame.contact_half if contact else frame.penetration_half).select("seq", *CELL).distinct()
 
 
 def occupancy(tri: DataFrame, frame: VoxelFrame, parts: int = 3) -> DataFrame:
     """(seq, r, c, z, share): share of a cell's parts ** 3 sub-cells that the surface touches."""
     s = frame.size / parts
     fine = VoxelFrame(frame.n_rows * parts, frame.n_cols * parts, frame.n_z * parts, frame.min_x, frame.max_y, frame.min_z, s)
-    hit = triangle_windows(tri.select("seq", *TRI), fine)
-    hit = hit.where(touches_box(*fine.centre(F.col("r"), F.col("c"), F.col("z")), s / 2 + frame.epsilon)).select("seq", *CELL).distinct()
-    up = lambda k: F.floor(F.col(k) / parts).cast("int").alias(k)
-    return hit.select("seq", up("r"), up("c"), up("z")).groupBy("seq", *CELL).agg((F.count("*") / float(parts**3)).alias("share"))
+    hit = _cell_table(tri, fine, s / 2 + frame.epsilon, parts).groupBy("seq", *CELL)
+    n = F.bit_count(F.expr("bit_or(shiftleft(1L, sub))")) if parts**3 <= 63 else F.count_distinct("sub")
+    return hit.agg((n / float(parts**3)).alias("share"))
 
 
 def at_least(cells: DataFrame, threshold: float) -> DataFrame:
@@ -194,13 +257,17 @@ def at_least(cells: DataFrame, threshold: float) -> DataFrame:
     return cells.where(F.col("share") >= threshold) if threshold > 0 else cells
 
 
+#: Shift of vertical rays from a column's centre, as shares of a cell: any small ones serve.
+RAY_X, RAY_Y = 0.00031, 0.00053
+
+
 def scanline_fill(tri: DataFrame, frame: VoxelFrame) -> DataFrame:
     """(seq, r, c, z) between paired hits of a vertical ray in each column of a mesh, both ends' cells included.
 
     Rays are moved by a fixed small share of a cell, so that they miss edges. Hits within an epsilon of each
     other count once if they are odd in number and not at all if even; an odd last hit is dropped.
     """
-    dx, dy = 0.00137 * frame.size, 0.00098 * frame.size
+    dx, dy = RAY_X * frame.size, RAY_Y * frame.size
     flat = triangle_windows(tri.select("seq", *TRI).withColumns({f"w{i}": F.col(f"z{i}") for i in range(3)}).withColumns({f"z{i}": F.lit(frame.min_z) for i in range(3)}), frame)
     flat = flat.where("z = 0")
     x, y, _ = frame.centre(F.col("r"), F.col("c"), F.lit(0))
@@ -226,90 +293,166 @@ def scanline_fill(tri: DataFrame, frame: VoxelFrame) -> DataFrame:
     return pairs.select("seq", "r", "c", F.explode(F.expr("sequence(z0, z1)")).alias("z")).distinct()
 
 
-def winding_fill(tri: DataFrame, frame: VoxelFrame) -> DataFrame:
-    """(seq, r, c, z) of cells whose centre a mesh winds around (generalised winding number of 0.5 or more).
+#: (cell, triangle) pairs in one block of the winding sum.
+PAIRS = 1_000_000
 
-    The solid angle of each (cell, triangle) pair is summed; cells come from the mesh's own box.
-    """
-    box = tri.groupBy("seq").agg(*[f(F.least(*[F.col(f"{k}{i}") for i in range(3)]) if f is F.min else F.greatest(*[F.col(f"{k}{i}") for i in range(3)])).alias(f"{k}{n}")
-                                   for k in "xyz" for n, f in (("0", F.min), ("1", F.max))])
-    cells = triangle_windows(box.withColumns({f"{k}2": F.col(f"{k}0") for k in "xyz"}), frame).select("seq", *CELL)
-    p = frame.centre(F.col("r"), F.col("c"), F.col("z"))
-    j = cells.join(tri.select("seq", *TRI), "seq")
-    v = [[F.col(f"{k}{i}") - q for k, q in zip("xyz", p)] for i in range(3)]
-    dot = lambda a, b: a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
-    ln = [F.sqrt(dot(x, x)) for x in v]
-    det = (v[0][0] * (v[1][1] * v[2][2] - v[1][2] * v[2][1]) - v[0][1] * (v[1][0] * v[2][2] - v[1][2] * v[2][0]) + v[0][2] * (v[1][0] * v[2][1] - v[1][1] * v[2][0]))
-    angle = 2 * F.atan2(det, ln[0] * ln[1] * ln[2] + dot(v[0], v[1]) * ln[2] + dot(v[1], v[2]) * ln[0] + dot(v[2], v[0]) * ln[1])
-    return j.groupBy("seq", *CELL).agg(F.abs(F.sum(angle)).alias("w")).where(F.col("w") >= 2 * np.pi).select("seq", *CELL)
-
-
-def _per_mesh(fn, schema: str):
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        got = fn({*zip(left.r, left.c, left.z)}, {*zip(right.r, right.c, right.z)})
-        return pd.DataFrame([(key[0], *x) for x in sorted(got)], columns=["seq", "r", "c", "z"])
-
-    return run
-
-
-def _flood(seeds: set, room: set) -> set:
-    out, todo = set(), list(seeds & room)
-    out.update(todo)
-    while todo:
-        r, c, z = todo.pop()
-        for n in ((r + 1, c, z), (r - 1, c, z), (r, c + 1, z), (r, c - 1, z), (r, c, z + 1), (r, c, z - 1)):
-            if n in room and n not in out:
-                out.add(n)
-                todo.append(n)
+
+def _wound(v: np.ndarray, cell: np.ndarray, size: float) -> np.ndarray:
+    """Which cells' centres triangles (n, corner, axis) wind around."""
+    out = np.zeros(len(cell), bool)
+    step = max(1, PAIRS // max(1, len(v)))
+    for at in range(0, len(cell), step):
+        p = (cell[at : at + step] + 0.5) * size
+        a, b, c = (v[None, :, i] - p[:, None] for i in range(3))
+        la, lb, lc = (np.sqrt((x * x).sum(2)) for x in (a, b, c))
+        det = (a * np.cross(b, c)).sum(2)
+        den = la * lb * lc + (a * b).sum(2) * lc + (b * c).sum(2) * la + (c * a).sum(2) * lb
+        out[at : at + step] = np.abs(2 * np.arctan2(det, den).sum(1)) >= 2 * np.pi - 1e-9
     return out
 
 
-def _near(cells: set) -> set:
-    return {(r + a, c + b, z + d) for r, c, z in cells for a, b, d in ((0, 0, 0), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))}
+def winding_fill(tri: DataFrame, frame: VoxelFrame, slab: int = 4_000_000) -> DataFrame:
+    """(seq, r, c, z) of cells whose centre a mesh winds around (generalised winding number of 0.5 or more).
+
+    A mesh's triangles become one row; a large mesh is dealt as several slabs of rows of cells, each of about
+    `slab` pairs of cell and triangle. No table of pairs is made: they are summed in numpy, block by block.
+    """
+    side = lambda f, k: f(*[F.col(f"{k}{i}").cast("double") for i in range(3)])
+    t = tri.groupBy(F.col("seq").cast("long").alias("seq")).agg(
+        F.collect_list(F.array(*[F.col(k).cast("double") for k in TRI])).alias("t"), *[F.min(side(F.least, k)).alias(f"{k}lo") for k in "xyz"], *[F.max(side(F.greatest, k)).alias(f"{k}hi") for k in "xyz"])
+    def ends(lo: Column, hi: Column, n: int) -> tuple[Column, Column]:
+        return F.greatest(F.lit(0), F.ceil(lo / frame.size - 0.5).cast("int")), F.least(F.lit(n - 1), F.floor(hi / frame.size - 0.5).cast("int"))
+
+    r = ends(frame.max_y - F.col("yhi"), frame.max_y - F.col("ylo"), frame.n_rows)
+    c = ends(F.col("xlo") - frame.min_x, F.col("xhi") - frame.min_x, frame.n_cols)
+    z = ends(F.col("zlo") - frame.min_z, F.col("zhi") - frame.min_z, frame.n_z)
+    t = t.select("seq", "t", *[x.alias(f"{k}{i}") for k, e in (("r", r), ("c", c), ("z", z)) for i, x in enumerate(e)]).where("r0 <= r1 and c0 <= c1 and z0 <= z1")
+    step = F.expr(f"greatest(1, cast({slab} / (cast(size(t) as double) * (c1 - c0 + 1) * (z1 - z0 + 1)) as int))")
+    t = t.withColumn("step", step).withColumn("r", F.explode(F.expr("sequence(r0, r1, step)"))).withColumn("r1", F.expr("least(r1, r + step - 1)"))
+    t = t.select("seq", "t", "r", "r1", "c0", "c1", "z0", "z1").repartition("seq", "r")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = [b.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6, 7)]
+            tris = b.column(1)
+            for i, (seq, r0, r1, c0, c1, z0, z1) in enumerate(zip(*cols)):
+                v = tris[i].values.flatten().to_numpy().reshape(-1, 3, 3)[:, :, [1, 0, 2]] * [-1.0, 1.0, 1.0] + [frame.max_y, -frame.min_x, -frame.min_z]
+                for row in range(r0, r1 + 1):
+                    cell = np.stack(np.meshgrid([row], np.arange(c0, c1 + 1), np.arange(z0, z1 + 1), indexing="ij"), 3).reshape(-1, 3)
+                    cell = cell[_wound(v, cell, frame.size)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), seq), pa.int64()), *[pa.array(cell[:, k], pa.int32()) for k in range(3)]], names=["seq", *CELL])
+
+    return t.mapInArrow(run, "seq long, r int, c int, z int")
+
+
+#: Cells of meshes worked on together; a larger mesh is worked on alone.
+TOGETHER = 500_000
+
+
+def _whole_meshes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Rows as arrays (seq, then the other columns) from batches sorted by seq: runs of whole meshes, a few at a time."""
+    held: list[np.ndarray] = []
+    n = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], 1)
+        if n >= TOGETHER:
+            last = held[-1][-1, 0]
+            cut = int(np.searchsorted(rows[:, 0], last, side="right")) if rows[0, 0] <= last else 0
+            if cut < len(rows):
+                yield np.concatenate([*held, rows[:cut]])
+                held, n, rows = [], 0, rows[cut:]
+        held.append(rows)
+        n += len(rows)
+    if held:
+        yield np.concatenate(held)
+
+
+def _by_mesh(cells: DataFrame, run: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """run's rows (seq, r, c, z) for whole meshes, some at a time; cells: seq long and ints. Meshes are dealt by seq."""
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_meshes(batches):
+            out = run(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), *[pa.array(out[:, i], pa.int32()) for i in (1, 2, 3)]], names=["seq", *CELL])
+
+    dealt = cells.withColumn("seq", F.col("seq").cast("long")).repartition("seq").sortWithinPartitions("seq")
+    return dealt.mapInArrow(each, "seq long, r int, c int, z int")
+
+
+def _member(x: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which of x are in a sorted table."""
+    if not len(table):
+        return np.zeros(len(x), bool)
+    return table[np.minimum(np.searchsorted(table, x), len(table) - 1)] == x
 
 
 def anchor_shell(shell: DataFrame, existing: DataFrame, how: str) -> DataFrame:
     """(seq, r, c, z) of each mesh's shell that hangs on what exists; both tables are (seq, r, c, z).
 
     adjacent: shell cells next to an existing one. connected: all that these reach through the shell by
-    six-neighbour steps. A shell with no such cell is kept whole.
+    six-neighbour steps. A shell with no such cell is kept whole. Many meshes are worked on together, each step
+    on whole arrays of cell numbers, in which meshes lie apart.
     """
-    def adjacent(s: set, e: set) -> set:
-        return (s & _near(e)) or s
-
-    def connected(s: set, e: set) -> set:
-        return _flood(s & _near(e), s) or s
-
-    fn = {"adjacent": adjacent, "connected": connected}[how]
-    return shell.select("seq", *CELL).groupBy("seq").cogroup(existing.select("seq", *CELL).toDF("seq", *CELL).groupBy("seq")).applyInPandas(
-        _per_mesh(fn, ""), "seq long, r int, c int, z int")
+    if how not in ("adjacent", "connected"):
+        raise ValueError(f"anchor {how!r}; one of adjacent, connected")
+
+    def run(rows: np.ndarray) -> np.ndarray:
+        seq, mesh = np.unique(rows[:, 0], return_inverse=True)
+        cell = rows[:, 1:4]
+        lo = cell.min(0) - 2  # two cells of margin, so that no step leads into another line or mesh
+        shape = cell.max(0) - lo + 3
+        steps = np.array([shape[1] * shape[2], shape[2], 1])
+        size = int(shape.prod())
+        key = mesh * size + (cell - lo) @ steps
+        s, e = np.unique(key[rows[:, 4] == 0]), key[rows[:, 4] == 1]
+        around = np.array([0, *steps, *-steps])
+        held = s[_member(s, np.unique(e[:, None] + around))]
+        if how == "connected":
+            front = held
+            while len(front):
+                front = np.unique(front[:, None] + around[1:])
+                front = front[_member(front, s) & ~_member(front, held)]
+                held = np.union1d(held, front)
+        seeded = np.zeros(len(seq), bool)
+        seeded[held // size] = True
+        got = np.union1d(held, s[~seeded[s // size]])
+        at = got % size
+        r, rest = np.divmod(at, steps[0])
+        c, z = np.divmod(rest, steps[1])
+        return np.column_stack([seq[got // size], np.stack([r, c, z], 1) + lo])
+
+    tag = lambda df, k: df.select("seq", *CELL, F.lit(k).alias("kind"))
+    return _by_mesh(tag(shell, 0).unionByName(tag(existing, 1)), run)
 
 
 def fill_holes(cells: DataFrame) -> DataFrame:
-    """(seq, r, c, z): the cells of each mesh and every cell that the outside can't reach by six-neighbour steps."""
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        a = pdf[CELL].to_numpy()
-        lo = a.min(0) - 1
-        solid = np.zeros(a.max(0) - lo + 2, bool)
-        solid[tuple((a - lo).T)] = True
-        out = np.zeros_like(solid)
-        out[0, 0, 0] = True
-        while True:  # the outside grows by whole steps, in numpy
-            grown = out.copy()
-            for ax in range(3):
-                sl = [slice(None)] * 3
-                up, down = sl.copy(), sl.copy()
-                up[ax], down[ax] = slice(1, None), slice(None, -1)
-                grown[tuple(up)] |= out[tuple(down)]
-                grown[tuple(down)] |= out[tuple(up)]
-            grown &= ~solid
-            if (grown == out).all():
-                break
-            out = grown
-        full = np.argwhere(~out) + lo
-        return pd.DataFrame({"seq": key[0], "r": full[:, 0], "c": full[:, 1], "z": full[:, 2]})
-
-    return cells.select("seq", *CELL).groupBy("seq").applyInPandas(run, "seq long, r int, c int, z int")
+    """(seq, r, c, z): the cells of each mesh and every cell that the outside can't reach by six-neighbour steps.
+
+    The outside is flooded from a corner of the mesh's box, every cell of which is visited once.
+    """
+    def one(a: np.ndarray) -> np.ndarray:
+        lo = a.min(0) - 2  # one layer to walk in, one to end at
+        shape = a.max(0) - lo + 3
+        shut = np.ones(shape, bool)
+        shut[1:-1, 1:-1, 1:-1] = False
+        shut[tuple((a - lo).T)] = True
+        flat, seen = shut.ravel(), np.zeros(shut.size, bool)
+        steps = np.array([shape[1] * shape[2], shape[2], 1])
+        front = np.array([steps.sum()])
+        seen[front] = True
+        while len(front):
+            front = np.unique(front[:, None] + np.concatenate([steps, -steps]))
+            front = front[~flat[front] & ~seen[front]]
+            seen[front] = True
+        return np.argwhere(~seen.reshape(shape)[1:-1, 1:-1, 1:-1]) + 1 + lo
+
+    def run(rows: np.ndarray) -> np.ndarray:
+        cuts = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0], True])
+        out = [(rows[a, 0], one(rows[a:b, 1:4])) for a, b in zip(cuts[:-1], cuts[1:])]
+        return np.concatenate([np.column_stack([np.full(len(x), seq), x]) for seq, x in out])
+
+    return _by_mesh(cells.select("seq", *CELL), run)
 
 
 def building_solid(tri: DataFrame, frame: VoxelFrame, threshold: float, parts: int, how: str, shell_threshold: float = 0.0, keep: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:

@@ -123,11 +123,11 @@ def run_core(spark: SparkSession, cfg: CityConfig) -> dict[str, DataFrame]:
         parsed = citygml.meshes(files, cfg.building_lod)
     parsed = parsed.where(F.col("failure").isNull() & F.col("feature_type").isin(*cfg.feature_types))
     near = mesh_ops.in_rectangle(parsed, [sw, nw, ne, se], x="y", y="x")
-    near = settled(near.withColumn("seq", F.xxhash64("path", "feature_id", "k")))  # XML is parsed once, not once for each table
+    near = settled(near.withColumn("seq", F.xxhash64("path", "feature_type", "k")))  # XML is parsed once, not once for each table
     ids = mesh_ops.renumber(near.where(F.lit(cfg.include_bridges) | (F.col("feature_type") != "bridge")))
-    if ids.isEmpty() or ids.where("feature_type = 'building'").isEmpty():
+    if near.where("feature_type = 'building'").isEmpty():
         raise ValueError("no buildings in the rectangle")
-    numbered = near.join(ids.select("seq", "id"), "seq")
+    numbered = near.join(ids, ["path", "k"])
     solid_tri = lambda kind: mesh_ops.triangles(numbered.where(F.col("feature_type") == kind).withColumn("seq", F.col("id")))
     plain = lambda kind: mesh_ops.triangles(near.where(F.col("feature_type") == kind))
     cells = frame.centres(spark).select("r", "c")
@@ -189,7 +189,8 @@ def land_use_grid(files: DataFrame, frame: GridFrame, cells: DataFrame, rect: li
         r, c = frame.rowcol(p["x"], p["y"])
         return F.struct(c.alias("x"), r.alias("y"))
 
-    polys = use.select(F.struct("path", "k").alias("seq"), raster.lookup(F.col("class"), raster.LAND_USE, raster.DEFAULT_CLASS).alias("code"), F.transform("ring", place).alias("ring"))
+    polys = use.select(F.struct("path", "k", "part").alias("seq"), raster.lookup(F.col("class"), raster.LAND_USE, raster.DEFAULT_CLASS).alias("code"),
+                       F.transform("ring", place).alias("ring"), F.transform("holes", lambda h: F.transform(h, place)).alias("holes"))
     return raster.land_cover(raster.polygon_cells(polys, frame.n_rows, frame.n_cols), cells)
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.frames import VoxelFrame
-from gridloom.operators import topology
 
 SIDE, SIZE, LEVELS = 64, 2.0, 48
 #: Row r has its centre at y = -(r + .5) * SIZE, column c at x = (c + .5) * SIZE.
@@ -44,12 +43,37 @@ def roofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("seq", *[F.col("t")[i][k].alias(f"{k}{i}") for i in range(3) for k in "xyz"])
 
 
+def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq, part, xa, xm, xb, ya, ym, yb, za, zb) in metres, y southwards: for each order an upright body (part 0) whose
+    edges are half a metre inside its cells (every fifth's last one half a metre beyond), and for every third a thin plate floating above it (part 1).
+
+    The plan is the rectangle xa..xb by ya..yb without the corner beyond both xm and ym; those are xb and yb for a
+    plain box, so every second body is concave.
+    """
+    b = boxes(spark, sf_dir).select("seq", *[F.expr(x) for x in (
+        "c0 * 2 + 0.5D as xa", "(c0 + 2 + w % 3) * 2 - if(seq % 5 = 0, -0.5D, 0.5D) as xb", "r0 * 2 + 0.5D as ya", "(r0 + 2 + h % 3) * 2 - 0.5D as yb",
+        "if(seq % 2 = 1, c0 * 2 + 1.5D, (c0 + 2 + w % 3) * 2 - if(seq % 5 = 0, -0.5D, 0.5D)) as xm", "if(seq % 2 = 1, r0 * 2 + 1.5D, (r0 + 2 + h % 3) * 2 - 0.5D) as ym",
+        "0.5D as za", "3.5D + 2 * (cast(zmax as int) % 3) as zb")])
+    plan = ["xa", "xm", "xb", "ya", "ym", "yb"]
+    plates = b.where("seq % 3 = 0").select("seq", F.lit(1).alias("part"), "xa", F.col("xb").alias("xm"), "xb", "ya", F.col("yb").alias("ym"), "yb",
+                                           (F.floor(F.col("zb") / SIZE) * SIZE + 4.2).alias("za"), (F.floor(F.col("zb") / SIZE) * SIZE + 4.5).alias("zb"))
+    return b.select("seq", F.lit(0).alias("part"), *plan, "za", "zb").unionByName(plates)
+
+
+#: Quads of an upright body by corner (x of a, m, b; y of a, m, b; z of a, b), all turned the same way (fixed values).
+PRISM = [q for z, turn in (("a", 1), ("b", -1)) for x, y in (("am", "am"), ("mb", "am"), ("am", "mb"))
+         for q in [[x[0] + y[0] + z, x[1] + y[0] + z, x[1] + y[1] + z, x[0] + y[1] + z][::turn]]]
+PRISM += [[p + "a", p + "b", q + "b", q + "a"] for p, q in zip(("aa", "ma", "ba", "bm", "mm", "mb", "ab", "am"), ("ma", "ba", "bm", "mm", "mb", "ab", "am", "aa"))]
+
+
 def solids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(seq, face, x0..z2) in metres: boxes from height 0.5 to the roof, edges half a metre inside their cells."""
-    b = boxes(spark, sf_dir).select(
-        "seq", (F.col("c0") * SIZE + 0.5).alias("xa"), ((F.col("c0") + F.col("w")) * SIZE - 0.5).alias("xb"),
-        (-(F.col("r0") + F.col("h")) * SIZE + 0.5).alias("ya"), (-F.col("r0") * SIZE - 0.5).alias("yb"), F.lit(0.5).alias("za"), (F.col("zmax") + 0.5).alias("zb"))
-    return topology.box_triangles(b)
+    """(seq, part, face, x0..z2) in metres: the closed surfaces of the bodies."""
+    at = lambda q: F.struct(*[F.col(k + q[i]).alias(k) if k != "y" else (-F.col(k + q[i])).alias(k) for i, k in enumerate("xyz")])
+    tri = F.array(*[F.array(*[at(q[i]) for i in t]) for q in PRISM for t in ((0, 1, 2), (0, 2, 3))])
+    t = bodies(spark, sf_dir).select("seq", "part", F.posexplode(tri).alias("face", "t"))
+    t = t.select("seq", "part", "face", *[F.col("t")[i][k].alias(f"{k}{i}") for i in range(3) for k in "xyz"])
+    area = [f"({k}1 - {k}0) * ({l}2 - {l}0) - ({l}1 - {l}0) * ({k}2 - {k}0) = 0" for k, l in ("xy", "yz", "zx")]
+    return t.where(f"not ({' and '.join(area)})")  # a plain box has no corner to cut
 
 
 def land_use(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ WITH = {
     "cells": "cells AS (SELECT (i // 64)::INT AS r, (i % 64)::INT AS c FROM range(4096) AS t(i))",
     "dem": "dem AS (SELECT r, c, ((r * 3 + c * 5) % 16) * 0.5::DOUBLE AS dem FROM cells)",
     "boxes": """boxes AS (SELECT o_orderkey AS seq, ((o_custkey * 7) % 56)::INT AS r0, ((o_orderkey * 11) % 56)::INT AS c0, (1 + o_orderkey % 8)::INT AS h,
-        (1 + o_custkey % 8)::INT AS w, (4 + (o_orderkey * 13) % 60)::DOUBLE AS zmax FROM orders WHERE o_orderkey % 37 = 0)""",
+        (1 + o_custkey % 8)::INT AS w, (4 + (o_orderkey * 13) % 60)::DOUBLE AS zmax FROM orders)""",
     "claims": "claims AS (SELECT seq, r::INT AS r, c::INT AS c, zmax FROM boxes, range(r0, r0 + h) AS a(r), range(c0, c0 + w) AS b(c))",
     "heights": """heights AS (SELECT r, c, h, seq AS id FROM (SELECT *, zmax - dem AS h, row_number() OVER (PARTITION BY r, c ORDER BY zmax - dem DESC, seq) AS k
         FROM claims JOIN dem USING (r, c) WHERE zmax > dem) WHERE k = 1)""",
@@ -33,12 +33,16 @@ WITH = {
         FROM lineitem WHERE l_partkey % 97 <> l_suppkey % 89)""",
     "edges": """edges AS (SELECT mesh, face, i, a, b, least(a, b) AS lo, greatest(a, b) AS hi FROM (SELECT mesh, face, 0 AS i, a, b FROM faces UNION ALL
         SELECT mesh, face, 1, b, c FROM faces UNION ALL SELECT mesh, face, 2, c, a FROM faces))""",
-    "solids": """solids AS (SELECT seq, c0 * 2 + 0.5 AS xa, (c0 + w) * 2 - 0.5 AS xb, r0 * 2 + 0.5 AS ya, (r0 + h) * 2 - 0.5 AS yb, 0.5 AS za, zmax + 0.5 AS zb
-        FROM boxes WHERE seq % 185 = 0)""",
-    "around": """around AS (SELECT seq, r::INT AS r, c::INT AS c, z::INT AS z, xa, xb, ya, yb, za, zb,
-        c * 2 > xa - 1e-9 AND c * 2 + 2 < xb + 1e-9 AND r * 2 > ya - 1e-9 AND r * 2 + 2 < yb + 1e-9 AND z * 2 > za - 1e-9 AND z * 2 + 2 < zb + 1e-9 AS whole,
-        c * 2 + 1 > xa AND c * 2 + 1 < xb AND r * 2 + 1 > ya AND r * 2 + 1 < yb AND z * 2 + 1 > za AND z * 2 + 1 < zb AS middle
-        FROM solids, range(floor(ya / 2)::INT, floor(yb / 2)::INT + 1) AS a(r), range(floor(xa / 2)::INT, floor(xb / 2)::INT + 1) AS b(c), range(floor(za / 2)::INT, least(47, floor(zb / 2)::INT) + 1) AS d(z))""",
+    "plan": """plan AS (SELECT seq, c0 * 2 + 0.5::DOUBLE AS xa, (c0 + 2 + w % 3) * 2 - CASE WHEN seq % 5 = 0 THEN -0.5::DOUBLE ELSE 0.5::DOUBLE END AS xb, r0 * 2 + 0.5::DOUBLE AS ya, (r0 + 2 + h % 3) * 2 - 0.5::DOUBLE AS yb,
+        CASE WHEN seq % 2 = 1 THEN c0 * 2 + 1.5::DOUBLE ELSE (c0 + 2 + w % 3) * 2 - CASE WHEN seq % 5 = 0 THEN -0.5::DOUBLE ELSE 0.5::DOUBLE END END AS xm, CASE WHEN seq % 2 = 1 THEN r0 * 2 + 1.5::DOUBLE ELSE (r0 + 2 + h % 3) * 2 - 0.5::DOUBLE END AS ym,
+        3.5::DOUBLE + 2 * (zmax::INT % 3) AS zb FROM boxes)""",
+    "solids": """solids AS (SELECT seq, 0 AS part, xa, xm, xb, ya, ym, yb, 0.5::DOUBLE AS za, zb FROM plan UNION ALL
+        SELECT seq, 1, xa, xb, xb, ya, yb, yb, floor(zb / 2) * 2 + 4.2::DOUBLE, floor(zb / 2) * 2 + 4.5::DOUBLE FROM plan WHERE seq % 3 = 0)""",
+    "around": """around AS (SELECT seq, part, r::INT AS r, c::INT AS c, z::INT AS z,
+        c * 2 > xa - 1e-9 AND c * 2 + 2 < xb + 1e-9 AND r * 2 > ya - 1e-9 AND r * 2 + 2 < yb + 1e-9 AND z * 2 > za - 1e-9 AND z * 2 + 2 < zb + 1e-9 AND NOT (c * 2 + 2 > xm + 1e-9 AND r * 2 + 2 > ym + 1e-9) AS whole,
+        c * 2 + 1 > xa AND c * 2 + 1 < xb AND r * 2 + 1 > ya AND r * 2 + 1 < yb AND z * 2 + 1 > za AND z * 2 + 1 < zb AND NOT (c * 2 + 1 > xm AND r * 2 + 1 > ym) AS middle
+        FROM solids, range(floor(ya / 2)::INT, floor(yb / 2)::INT + 1) AS a(r), range(floor(xa / 2)::INT, floor(xb / 2)::INT + 1) AS b(c), range(floor(za / 2)::INT, least(47, floor(zb / 2)::INT) + 1) AS d(z)
+        WHERE NOT (c * 2 > xm AND r * 2 > ym))""",
     "trees": """trees AS (SELECT r, c, z::INT AS z FROM (SELECT r, c, round_even(dem / 2.0, 0)::INT + round_even(least(top * (11.76 / 19.98), top) / 2.0, 0)::INT AS a,
         least(48, round_even(dem / 2.0, 0)::INT + round_even(top / 2.0, 0)::INT) AS b FROM tops JOIN dem USING (r, c)), range(a, b) AS t(z))""",
     "roofcells": "roofcells AS (SELECT r, c, z::INT AS z, -3 AS code FROM heights JOIN dem USING (r, c), range(round_even(dem / 2.0, 0)::INT + 1, least(48, round_even((dem + h) / 2.0, 0)::INT + 1)) AS t(z))",
@@ -104,7 +108,7 @@ def _pos_text(n: str) -> str:
     return f"concat_ws(' ', transform(sequence(1, {n}), i -> concat_ws(' ', l_partkey % 100 + i, (l_suppkey % 50) * 0.5, i * 2)))"
 
 
-_POS_SQL = "SELECT l_orderkey, l_linenumber, i::INT AS i, l_partkey % 100 + i AS x, (l_suppkey % 50) * 0.5 AS y, i * 2 AS z FROM lineitem, range(1, l_linenumber + 1) AS t(i) WHERE l_orderkey % 5 = 0"
+_POS_SQL = "SELECT l_orderkey, l_linenumber, i::INT AS i, l_partkey % 100 + i AS x, (l_suppkey % 50) * 0.5 AS y, i * 2 AS z FROM lineitem, range(1, l_linenumber + 1) AS t(i)"
 
 
 @query(sql=f"SELECT l_orderkey, l_linenumber, i, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z FROM ({_POS_SQL})")
@@ -113,24 +117,30 @@ def poslist_parse(spark, d):
     return t.select("l_orderkey", "l_linenumber", F.posexplode("p").alias("k", "q")).select("l_orderkey", "l_linenumber", (F.col("k") + 1).alias("i"), "q.x", "q.y", "q.z")
 
 
-@query(sql="""SELECT l_orderkey, l_linenumber, (l_partkey % 100 + 1)::DOUBLE AS x0, (l_partkey % 100 + 3)::DOUBLE AS x2, 6.0::DOUBLE AS z2 FROM lineitem WHERE l_linenumber >= 3 AND l_orderkey % 5 = 0""")
+@query(sql="""SELECT l_orderkey, l_linenumber, face::INT AS face, (l_partkey % 100 + 1 + face)::DOUBLE AS x0, (l_suppkey % 50) * 0.5::DOUBLE AS y0, 2.0::DOUBLE AS z0, (l_partkey % 100 + 2 + face)::DOUBLE AS x1, (l_suppkey % 50) * 0.5::DOUBLE AS y1,
+    4.0::DOUBLE AS z1, (l_partkey % 100 + 3 + face)::DOUBLE AS x2, (l_suppkey % 50) * 0.5::DOUBLE AS y2, 6.0::DOUBLE AS z2 FROM lineitem, range(0, 2) AS t(face) WHERE l_linenumber >= 3""")
 def tin_triangles(spark, d):
     from gridloom.sources.citygml import tin_from_text
 
-    text = table(spark, d, "lineitem").select(
-        "l_orderkey", "l_linenumber", F.concat(F.lit("<gml:posList>"), F.expr(_pos_text("l_linenumber")), F.lit("</gml:posList>")).alias("text"))
-    return tin_from_text(text, "text").select("l_orderkey", "l_linenumber", "x0", "x2", "z2")
+    ring = lambda k: F.concat(F.lit("<gml:posList srsDimension='3'>"), F.expr(_pos_text("l_linenumber").replace("l_partkey % 100", f"l_partkey % 100 + {k}")), F.lit("</gml:posList>"))
+    text = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat(ring(0), F.lit("\n"), ring(1)).alias("text"))
+    return tin_from_text(text, "text")
 
 
-@query(sql="""SELECT p_partkey, (200 + p_size)::INT AS class, CASE WHEN 200 + p_size IN (203) THEN 5 WHEN 200 + p_size = 204 THEN 9 WHEN 200 + p_size IN (201, 202, 219) THEN 4
+@query(sql="""SELECT p_partkey, k::INT AS k, (200 + p_size)::INT AS class, CASE WHEN 200 + p_size IN (203) THEN 5 WHEN 200 + p_size = 204 THEN 9 WHEN 200 + p_size IN (201, 202, 219) THEN 4
     WHEN 200 + p_size IN (205, 217, 220) THEN 2 WHEN 200 + p_size IN (211, 212, 213) THEN 13 WHEN 200 + p_size IN (214, 218, 221, 222, 223) THEN 11 WHEN 200 + p_size IN (215, 216) THEN 12
-    WHEN 200 + p_size = 224 THEN 1 ELSE 14 END AS code, 4::INT AS points FROM part""")
+    WHEN 200 + p_size = 224 THEN 1 ELSE 14 END AS code, (CASE WHEN k = 0 THEN 4 ELSE 3 + p_partkey % 3 END)::INT AS points, (139 + k + p_partkey % 7)::DOUBLE AS x0, (35 + p_partkey % 5)::DOUBLE AS y0,
+    CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 0 END AS holes FROM part, range(0, 2) AS t(k) WHERE k = 0 OR p_partkey % 2 = 0""")
 def landuse_scan(spark, d):
     from gridloom.sources.citygml import land_use_from_text
 
-    text = F.expr("concat('<CityModel><luse:LandUse gml:id=\"a\"><luse:class codeSpace=\"x\">', 200 + p_size, '</luse:class><gml:posList>35 139 0 35 140 0 36 140 0 35 139 0</gml:posList></luse:LandUse></CityModel>')")
-    s = land_use_from_text(table(spark, d, "part").select("p_partkey", text.alias("text")), "text")
-    return s.select("p_partkey", "class", raster.lookup(F.col("class"), raster.LAND_USE, 14).alias("code"), F.size("ring").alias("points"))
+    ring = lambda k, n: (f"concat_ws(' ', transform(sequence(0, {n} - 1), i -> concat_ws(' ', 35 + p_partkey % 5 + if(i = 0, 0, i), 139 + {k} + p_partkey % 7 + (i % 2), 0)))")
+    lot = lambda k, n, hole: ("concat('<luse:LandUse gml:id=\"a\"><luse:class codeSpace=\"x\">', 200 + p_size, '</luse:class><gml:exterior><gml:posList>', "
+                              f"{ring(k, n)}, '</gml:posList></gml:exterior>', if({hole}, '<gml:interior><gml:posList>1 1 0 2 1 0 2 2 0</gml:posList></gml:interior>', ''), '</luse:LandUse>')")
+    text = F.expr(f"concat('<CityModel>', {lot(0, '4', 'p_partkey % 4 = 0')}, if(p_partkey % 2 = 0, {lot(1, '(3 + p_partkey % 3)', 'p_partkey % 4 = 0')}, ''), '</CityModel>')")
+    s = land_use_from_text(table(spark, d, "part").select("p_partkey", "p_size", text.alias("text")), "text")
+    return s.select("p_partkey", "k", "class", raster.lookup(F.col("class"), raster.LAND_USE, 14).alias("code"), F.size("ring").alias("points"),
+                    F.get("ring", F.lit(0))["x"].alias("x0"), F.get("ring", F.lit(0))["y"].alias("y0"), F.size("holes").alias("holes"))
 
 
 @query(sql="SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 AND p_size % 6 + 1 > 3 THEN p_size % 6 ELSE p_size % 6 + 1 END::INT AS n FROM part")
@@ -229,9 +239,7 @@ def dem_bary_interp(spark, d):
     corner = lambda i, j: F.expr(f"struct(cast((id % 16 + {j}) * 4 as double) as x, cast((id div 16 + {i}) * 4 as double) as y, (3D * (id div 16 + {i}) + 5D * (id % 16 + {j})) as z)")
     q = spark.range(256).select(F.explode(F.array(F.array(corner(0, 0), corner(0, 1), corner(1, 1)), F.array(corner(0, 0), corner(1, 1), corner(1, 0)))).alias("t"))
     tri = q.select(*[F.col("t")[i][k].alias(f"{k}{i}") for i in range(3) for k in "xyz"])
-    exact = raster.triangle_cells(tri, SIDE, SIDE)
-    inside = exact.groupBy("r", "c").agg(F.min_by("z", F.abs(F.col("z") - F.expr("(3D * r + 5D * c) / 4"))).alias("dem"))
-    return scenes.cells(spark).join(inside, ["r", "c"]).select("r", "c", _r("dem"))
+    return raster.terrain_heights(tri, scenes.cells(spark), SIDE, SIDE).select("r", "c", _r("dem"))
 
 
 @query("cells", "dem", "boxes", "claims", "heights", sql="""SELECT r, c, id FROM (SELECT w.r, w.c, h.id, row_number() OVER (PARTITION BY w.r, w.c ORDER BY (w.r - h.r) * (w.r - h.r) + (w.c - h.c) * (w.c - h.c), h.r, h.c) AS k
@@ -257,9 +265,10 @@ def resize_nearest(spark, d):
     return raster.resize_nearest(scenes.cells(spark).withColumn("v", F.col("r") * 100 + F.col("c")), (SIDE, SIDE), (100, 40), "v")
 
 
-@query(sql="SELECT r::INT AS r, c::INT AS c, round(r * 63.0 / 99.0 * 3 + c * 63.0 / 39.0 * 0.5, 6) AS v FROM range(100) AS a(r), range(40) AS b(c)")
+@query("cells", sql="""SELECT o.r::INT AS r, o.c::INT AS c, round(sum(((g.r * g.r * 3 + g.c * 7 + g.r * g.c) % 50) * (1 - abs(y - g.r)) * (1 - abs(x - g.c))), 6) AS v FROM (SELECT r, c, r * 63.0::DOUBLE / 99 AS y, c * 63.0::DOUBLE / 39 AS x FROM range(100) AS a(r), range(40) AS b(c)) AS o
+    JOIN cells AS g ON g.r IN (floor(y), floor(y) + 1) AND g.c IN (floor(x), floor(x) + 1) GROUP BY 1, 2""")
 def resize_bilinear(spark, d):
-    g = scenes.cells(spark).withColumn("v", F.col("r") * 3 + F.col("c") * 0.5)
+    g = scenes.cells(spark).withColumn("v", F.expr("(r * r * 3 + c * 7 + r * c) % 50"))
     return raster.resize_bilinear(g, (SIDE, SIDE), (100, 40), "v").select("r", "c", _r("v"))
 
 
@@ -323,8 +332,8 @@ def voxel_summary(spark, d):
 
 
 @query("cells", "dem", "boxes", "claims", "heights", "ground", "roofcells", "city", "tops", "trees", sql="""SELECT r, c, z, code::INT AS code FROM city UNION ALL
-    SELECT r, c, z, -2 FROM (SELECT r, c, z FROM trees WHERE (r + c) % 4 <> 0) WHERE (r, c, z) NOT IN (SELECT (r, c, z) FROM city) UNION ALL
-    SELECT r, c, 47, -2 FROM cells WHERE (r + c) % 4 = 0 AND (r, c, 47) NOT IN (SELECT (r, c, z) FROM city)""")
+    SELECT r, c, z, -2 FROM (SELECT r, c, z FROM trees WHERE (r + c) % 4 <> 0) ANTI JOIN city USING (r, c, z) UNION ALL
+    SELECT r, c, 47, -2 FROM (SELECT r, c, 47 AS z FROM cells WHERE (r + c) % 4 = 0) ANTI JOIN city USING (r, c, z)""")
 def reapply_canopy(spark, d):
     own = scenes.cells(spark).where("(r + c) % 4 = 0").select("r", "c", F.lit(47).alias("z"), F.lit(voxel.TREE).alias("code"))
     old = scenes.cells(spark).where("(r + c) % 4 = 1").select("r", "c", F.lit(46).alias("z"), F.lit(voxel.TREE).alias("code"))
@@ -339,7 +348,7 @@ def dilate6(spark, d):
 
 
 _EXPOSED = """exposed AS (SELECT r, c, z, code, face FROM city, (VALUES (1,0,0,'south'),(-1,0,0,'north'),(0,1,0,'east'),(0,-1,0,'west'),(0,0,1,'up'),(0,0,-1,'down')) AS o(a, b, d, face)
-    WHERE (r + a, c + b, z + d, code) NOT IN (SELECT (r, c, z, code) FROM city))"""
+    ANTI JOIN (SELECT r AS r2, c AS c2, z AS z2, code AS code2 FROM city) ON r2 = r + a AND c2 = c + b AND z2 = z + d AND code2 = code)"""
 WITH["exposed"] = _EXPOSED
 _CITY = ("cells", "dem", "boxes", "claims", "heights", "ground", "roofcells", "city")
 
@@ -361,42 +370,43 @@ def greedy_rectangles(spark, d):
     return voxel.greedy_rectangles(face_runs(spark, d), ["code", "face", "z"], "r")
 
 
-@query("boxes", "solids", "around", sql="SELECT seq, r, c, z FROM around WHERE NOT whole")
+@query("boxes", "plan", "solids", "around", sql="SELECT seq, r, c, z FROM around WHERE NOT whole")
 def sat_shell(spark, d):
     return voxel.surface_cells(scenes.solids(spark, d), FRAME, False)
 
 
-@query("boxes", "solids", "around", sql="SELECT seq, r, c, z FROM around WHERE middle")
+@query("boxes", "plan", "solids", "around", sql="SELECT seq, r, c, z FROM around WHERE middle")
 def winding_fill(spark, d):
     return voxel.winding_fill(scenes.solids(spark, d), FRAME)
 
 
-@query("boxes", "solids", sql="""SELECT seq, r::INT AS r, c::INT AS c, z::INT AS z FROM solids, range(floor(ya / 2)::INT, floor(yb / 2)::INT + 1) AS a(r), range(floor(xa / 2)::INT, floor(xb / 2)::INT + 1) AS b(c), range(0, least(47, floor(zb / 2)::INT) + 1) AS d(z)
-    WHERE c * 2 + 1.00274 BETWEEN xa AND xb AND r * 2 + 0.99804 BETWEEN ya AND yb""")
+@query("boxes", "plan", "solids", sql="""SELECT seq, r::INT AS r, c::INT AS c, z::INT AS z FROM solids, range(floor(ya / 2)::INT, floor(yb / 2)::INT + 1) AS a(r), range(floor(xa / 2)::INT, floor(xb / 2)::INT + 1) AS b(c), range(0, least(47, floor(zb / 2)::INT) + 1) AS d(z)
+    WHERE z BETWEEN floor(za / 2) AND floor(zb / 2) AND c * 2 + 1.00062 BETWEEN xa AND xb AND r * 2 + 0.99894 BETWEEN ya AND yb AND NOT (c * 2 + 1.00062 > xm AND r * 2 + 0.99894 > ym)""")
 def scanline_parity(spark, d):
     return voxel.scanline_fill(scenes.solids(spark, d), FRAME)
 
 
-@query("boxes", "solids", sql="""SELECT seq, r, c, z, round(count(*) / 27.0, 6) AS share FROM (SELECT seq, (i // 3)::INT AS r, (j // 3)::INT AS c, (k // 3)::INT AS z
+@query("boxes", "plan", "solids", sql="""SELECT seq, r, c, z, round(count(*) / 27.0, 6) AS share FROM (SELECT seq, (i // 3)::INT AS r, (j // 3)::INT AS c, (k // 3)::INT AS z
     FROM (SELECT *, 2.0 / 3 AS s FROM solids), range((ya / s)::INT - 1, (yb / s)::INT + 2) AS a(i), range((xa / s)::INT - 1, (xb / s)::INT + 2) AS b(j), range(0, least(144, (zb / s)::INT + 2)) AS d(k)
     WHERE i * s + s > ya AND i * s < yb AND j * s + s > xa AND j * s < xb AND k * s + s > za AND k * s < zb
-    AND NOT (i * s > ya AND i * s + s < yb AND j * s > xa AND j * s + s < xb AND k * s > za AND k * s + s < zb)) WHERE r BETWEEN 0 AND 63 AND c BETWEEN 0 AND 63 GROUP BY seq, r, c, z""")
+    AND NOT (i * s > ym AND j * s > xm)
+    AND NOT (i * s > ya AND i * s + s < yb AND j * s > xa AND j * s + s < xb AND k * s > za AND k * s + s < zb AND NOT (i * s + s > ym AND j * s + s > xm))) WHERE r BETWEEN 0 AND 63 AND c BETWEEN 0 AND 63 GROUP BY seq, r, c, z""")
 def occupancy_fraction(spark, d):
     return voxel.occupancy(scenes.solids(spark, d), FRAME).select("seq", "r", "c", "z", _r("share"))
 
 
-@query("boxes", "solids", "around", sql="SELECT seq, r, c, z FROM around WHERE NOT whole")
+@query("boxes", "plan", "solids", "around", sql="SELECT seq, r, c, z FROM around WHERE NOT whole AND part = 0")
 def shell_anchor(spark, d):
     s = scenes.solids(spark, d)
     return voxel.anchor_shell(voxel.surface_cells(s, FRAME, False), voxel.winding_fill(s, FRAME), "connected")
 
 
-@query("boxes", "solids", "around", sql="SELECT seq, r, c, z FROM around")
+@query("boxes", "plan", "solids", "around", sql="SELECT seq, r, c, z FROM around")
 def fill_holes(spark, d):
     return voxel.fill_holes(voxel.surface_cells(scenes.solids(spark, d), FRAME, False))
 
 
-@query("boxes", "solids", "around", sql="SELECT seq, r, c, z FROM around")
+@query("boxes", "plan", "solids", "around", sql="SELECT seq, r, c, z FROM around WHERE part = 0")
 def building_solid(spark, d):
     return voxel.building_solid(scenes.solids(spark, d), FRAME, 0.0, 3, "connected")
 
@@ -450,20 +460,28 @@ def weld_vertices(spark, d):
     return topology.weld(_vertices(spark, d), scenes.faces(spark, d), 1e-6)[1]
 
 
+@query("faces", "to", sql="SELECT mesh, v, (v % 10)::DOUBLE AS x, (v % 7)::DOUBLE AS y, (v % 3)::DOUBLE AS z FROM t WHERE v = w")
+def weld_points(spark, d):
+    return topology.weld(_vertices(spark, d), scenes.faces(spark, d), 1e-6)[0]
+
+
 @query("faces", sql="SELECT mesh, face, a, b, c FROM (SELECT *, row_number() OVER (PARTITION BY mesh, list_sort([a, b, c]) ORDER BY face, a, b) AS k FROM faces) WHERE k = 1")
 def dedupe_faces(spark, d):
     return topology.drop_doubles(scenes.faces(spark, d))
 
 
-@query("faces", sql="""SELECT mesh, face FROM (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) / 2 AS area FROM (SELECT mesh, face, (b%7 - a%7) * (c%3 - a%3) - (b%3 - a%3) * (c%7 - a%7) AS nx,
-    (b%3 - a%3) * (c%10 - a%10) - (b%10 - a%10) * (c%3 - a%3) AS ny, (b%10 - a%10) * (c%7 - a%7) - (b%7 - a%7) * (c%10 - a%10) AS nz FROM faces)) WHERE area >= 1e-12""")
+@query("faces", sql="""SELECT mesh, face FROM (SELECT mesh, face, sqrt(pow((y1 - y0) * (z2 - z0) - (z1 - z0) * (y2 - y0), 2) + pow((z1 - z0) * (x2 - x0) - (x1 - x0) * (z2 - z0), 2) + pow((x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0), 2)) / 2 AS area,
+    sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2) + pow(z1 - z0, 2)) AS s0, sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2) + pow(z2 - z1, 2)) AS s1, sqrt(pow(x0 - x2, 2) + pow(y0 - y2, 2) + pow(z0 - z2, 2)) AS s2
+    FROM (SELECT mesh, face, a%10 + 3000000.0::DOUBLE * (a%5 = 0)::INT AS x0, a%7 AS y0, a%3 AS z0, b%10 + 3000000.0::DOUBLE * (b%5 = 0)::INT AS x1, b%7 AS y1, b%3 AS z1, c%10 + 3000000.0::DOUBLE * (c%5 = 0)::INT AS x2, c%7 AS y2, c%3 AS z2 FROM faces))
+    WHERE area >= 1e-12 AND greatest(s0, s1, s2) <= 1e6 * greatest(least(s0, s1, s2), 1e-15)""")
 def degenerate_filter(spark, d):
-    return topology.drop_degenerate(topology.face_points(scenes.faces(spark, d), _vertices(spark, d))).select("mesh", "face")
+    far = _vertices(spark, d).withColumn("x", F.col("x") + F.expr("if(v % 5 = 0, 3000000D, 0D)"))
+    return topology.drop_degenerate(topology.face_points(scenes.faces(spark, d), far)).select("mesh", "face")
 
 
 @query("faces", "edges", sql="""SELECT mesh, unnest([b, b]) AS a, unnest([a, a + 1000]) AS b, unnest([a + 1000, b + 1000]) AS c FROM edges WHERE (mesh, lo, hi) IN (SELECT (mesh, lo, hi) FROM edges GROUP BY mesh, lo, hi HAVING count(*) = 1)""")
 def extrude_walls(spark, d):
-    return topology.walls(scenes.faces(spark, d), 1000)
+    return topology.walls(scenes.faces(spark, d), 1000).select("mesh", "a", "b", "c")
 
 
 # Statistics
@@ -597,6 +615,252 @@ def edge_overlay(spark, d):
     return stats.edge_means(e, scenes.dem(spark).withColumnRenamed("dem", "v"), 5).select("edge_id", _r("v"))
 
 
+# Solids, terrain and canopy
+
+_AREA = "(xb - xa) * (yb - ya) - (xb - xm) * (yb - ym)"
+
+
+def _points(t, key):
+    """Triangles as faces whose vertices are named by their place."""
+    at = lambda i: F.concat_ws(" ", *[F.col(f"{k}{i}").cast("string") for k in "xyz"]).alias("abc"[i])
+    return t.select(key.alias("mesh"), "face", *[at(i) for i in range(3)])
+
+
+@query("boxes", "plan", "solids", sql="SELECT seq * 2 + part AS mesh, seq % 4 <> 0 AS volume FROM solids")
+def solid_volume(spark, d):
+    t = scenes.solids(spark, d).where("seq % 4 <> 0 or face <> 0")
+    return topology.is_volume(_points(t, F.expr("seq * 2 + part")))
+
+
+@query("boxes", "plan", "solids", sql=f"SELECT seq * 2 + part AS mesh, round(({_AREA}) * (zb - za), 6) AS volume FROM solids")
+def outward_volume(spark, d):
+    t = scenes.solids(spark, d).withColumn("mesh", F.expr("seq * 2 + part")).where("face >= 0")
+    half = {f"{k}{i}": F.when(F.col("mesh") % 4 == 0, F.col(f"{k}{3 - i}")).otherwise(F.col(f"{k}{i}")) for k in "xyz" for i in (1, 2)}
+    det = F.expr("x0 * (y1 * z2 - z1 * y2) - y0 * (x1 * z2 - z1 * x2) + z0 * (x1 * y2 - y1 * x2)")
+    out = topology.outward(t.select("mesh", "face", "x0", "y0", "z0", *[half[f"{k}{i}"].alias(f"{k}{i}") for i in (1, 2) for k in "xyz"]))
+    return out.groupBy("mesh").agg(F.round(F.sum(det) / 6, 6).alias("volume"))
+
+
+def _sheets(spark, d):
+    """A sheet of 3 x 3 points for each supplier; every second has a face twice and one that is a line."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("mesh"), "s_nationkey")
+    v = s.withColumn("v", F.explode(F.expr("sequence(0L, 8L)"))).select(
+        "mesh", "v", F.expr("cast(v % 3 as double) as x"), F.expr("cast(v div 3 as double) as y"), F.expr("cast(5 + (v * s_nationkey) % 4 as double) as z"))
+    f = s.withColumn("q", F.explode(F.expr("sequence(0L, 9L)"))).withColumn("p", F.expr("(q % 8) div 2 + (q % 8) div 4")).where("q < 8 or mesh % 2 = 0")
+    f = f.select("mesh", F.col("q").alias("face"), F.col("p").alias("a"), F.expr("if(q % 2 = 0, p + 1, p + 4) as b"), F.expr("case when q = 9 then p when q % 2 = 0 then p + 4 else p + 3 end as c"))
+    return v, f
+
+
+@query(sql="SELECT s_suppkey AS mesh, true AS volume, 32 AS faces, 18 AS points, 0.0::DOUBLE AS bottom FROM supplier")
+def terrain_solid(spark, d):
+    v, f = _sheets(spark, d)
+    points, faces = topology.terrain_solid(v, f, 100, 0.0)
+    n = faces.groupBy("mesh").agg(F.countDistinct("face").alias("faces"))
+    low = points.groupBy("mesh").agg(F.count("*").alias("points"), F.min("z").alias("bottom"))
+    return topology.is_volume(faces).join(n, "mesh").join(low, "mesh").select("mesh", "volume", "faces", "points", "bottom")
+
+
+@query(sql="SELECT s_suppkey AS mesh, face, CASE WHEN face // 2 = 0 THEN 0 ELSE 1000 * (face // 2) END AS a, 1 + (face // 2) * 2 + CASE WHEN face % 2 = 0 THEN 0 ELSE 100 END AS b, 2 + (face // 2) * 2 + CASE WHEN face % 2 = 0 THEN 0 ELSE 100 END AS c FROM (SELECT s_suppkey, unnest(range(0, 2 + 2 * (s_nationkey % 4))) AS face FROM supplier)")
+def pinch_split(spark, d):
+    n = table(spark, d, "supplier").select(F.col("s_suppkey").alias("mesh"), F.explode(F.expr("sequence(0L, 1L + 2 * (s_nationkey % 4))")).alias("face"))
+    # Faces 2k and 2k + 1 share the edge from 0 to 50 + k: one fan.
+    f = n.select("mesh", "face", F.lit(0).cast("long").alias("a"), F.expr("1 + (face div 2) * 2 + if(face % 2 = 0, 0, 100) as b"), F.expr("2 + (face div 2) * 2 + if(face % 2 = 0, 0, 100) as c"), F.expr("50000 + face div 2 as e"))
+    fans = f.select("mesh", "face", "a", "b", F.col("e").alias("c"))
+    got = topology.split_pinches(fans, 1000)
+    return got.join(f.select("mesh", "face", F.col("c").alias("own")), ["mesh", "face"]).select("mesh", "face", "a", "b", F.col("own").alias("c"))
+
+
+@query("faces", sql="""SELECT mesh, face, a, b, c FROM (SELECT *, row_number() OVER (PARTITION BY mesh, a%10 + b%10 + c%10, a%7 + b%7 + c%7, a%3 + b%3 + c%3 ORDER BY face) AS k2 FROM (
+    SELECT *, row_number() OVER (PARTITION BY mesh, list_sort([a, b, c]) ORDER BY face) AS k FROM (SELECT mesh, face, min(a) AS a, max(b) AS b, min(c) AS c FROM faces GROUP BY ALL)) WHERE k = 1) WHERE k2 = 1""")
+def overlap_drop(spark, d):
+    one = scenes.faces(spark, d).groupBy("mesh", "face").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("c").alias("c"))
+    return topology.drop_overlaps(one, _vertices(spark, d))
+
+
+@query(sql="""SELECT l_returnflag AS feature_type, count(*) AS meshes, sum(l_linenumber + 2)::BIGINT AS vertices, sum(l_linenumber)::BIGINT AS faces FROM lineitem GROUP BY 1""")
+def mesh_totals(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("feature_type"), F.expr("sequence(1, l_linenumber + 2) as vertices"), F.expr("sequence(1, l_linenumber) as faces"))
+    return meshes.totals(li)
+
+
+@query("cells", "dem", sql="""SELECT (l_partkey % 64)::INT AS r, (l_suppkey % 64)::INT AS c, round(max(coalesce(CASE WHEN l_linenumber = 3 THEN l_quantity / 2 END, greatest(0, l_quantity - 20 - dem))), 6) AS top
+    FROM lineitem JOIN dem ON dem.r = l_partkey % 64 AND dem.c = l_suppkey % 64 GROUP BY 1, 2 HAVING max(coalesce(CASE WHEN l_linenumber = 3 THEN l_quantity / 2 END, greatest(0, l_quantity - 20 - dem))) > 0""")
+def vegetation_tops(spark, d):
+    c = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("seq"), F.expr("cast(l_partkey % 64 as int) as r"), F.expr("cast(l_suppkey % 64 as int) as c"),
+                                           F.expr("l_quantity - 20 as z_max"), F.expr("if(l_linenumber = 3, l_quantity / 2, null) as height"))
+    return raster.vegetation_tops(c, scenes.dem(spark)).select("r", "c", _r("top"))
+
+
+@query("cells", "cover", "tops", sql="""SELECT coalesce(a.r, b.r) AS r, coalesce(a.c, b.c) AS c, coalesce(a.top, b.top) AS top FROM (SELECT r, c, top FROM tops WHERE top > 25) a FULL JOIN (SELECT r, c, 10.0::DOUBLE AS top FROM cover WHERE code IN (5, 9)) b ON a.r = b.r AND a.c = b.c""")
+def canopy_merge(spark, d):
+    own = scenes.canopy(spark, d).withColumn("top", F.when(F.col("top") > 25, F.col("top")).otherwise(0.0)).select("r", "c", "top")
+    cover = raster.land_cover(scenes.land_use(spark, d), scenes.cells(spark))
+    return raster.merge_canopy(own, raster.static_canopy(cover, [5, 9], 10.0))
+
+
+@query("boxes", "plan", "solids", sql=SQL["occupancy_fraction"].split("SELECT seq, r, c, z, round(count(*)", 1)[1].join(["SELECT seq, r, c, z FROM (SELECT seq, r, c, z, round(count(*)", ") WHERE share >= 0.3"]))
+def occupancy_at_least(spark, d):
+    return voxel.at_least(voxel.occupancy(scenes.solids(spark, d), FRAME), 0.3).select("seq", "r", "c", "z")
+
+
+@query("cells", "dem", sql="""SELECT r, c, k::INT AS k, c::DOUBLE AS x0, r::DOUBLE AS y0, CASE k WHEN 0 THEN a ELSE b END AS z0, (c + k)::DOUBLE AS x_mid, CASE k WHEN 0 THEN e ELSE f END AS z1, CASE k WHEN 0 THEN b ELSE g END AS z2 FROM (
+    SELECT p.r, p.c, p.dem AS a, q.dem AS b, s.dem AS e, s.dem AS f, t.dem AS g FROM dem p JOIN dem q ON q.r = p.r AND q.c = p.c + 1 JOIN dem s ON s.r = p.r + 1 AND s.c = p.c JOIN dem t ON t.r = p.r + 1 AND t.c = p.c + 1
+    WHERE (p.r + p.c) % 5 <> 0 AND (p.r + p.c + 1) % 5 <> 0 AND (p.r + p.c + 2) % 5 <> 0), range(0, 2) AS u(k)""")
+def raster_tin(spark, d):
+    px = scenes.dem(spark).select("r", "c", F.col("c").cast("double").alias("lon"), F.col("r").cast("double").alias("lat"), F.when((F.col("r") + F.col("c")) % 5 != 0, F.col("dem")).alias("z"))
+    t = raster.raster_triangles(px)
+    return t.select("r", "c", "k", F.col("c").cast("double").alias("x0"), F.col("r").cast("double").alias("y0"), "z0", F.col("x0").alias("x_mid"), "z1", "z2")
+
+
+@query("boxes", sql="SELECT seq, round(greatest(0, least(c0 + w - 0.75, 30) - greatest(c0 - 0.25, 10)) * greatest(0, least(r0 + h - 0.75, 50) - greatest(r0 - 0.25, 20))::DOUBLE, 6) AS area FROM boxes WHERE c0 + w - 0.75 > 10 AND c0 - 0.25 < 30 AND r0 + h - 0.75 > 20 AND r0 - 0.25 < 50")
+def triangle_clip(spark, d):
+    from gridloom.sources.model import triangle_polygons
+
+    t = scenes.roofs(spark, d).withColumn("face", F.expr("if(x1 = x2, 0, 1)")).withColumn("code", F.lit(-3))
+    p = triangle_polygons(t, (10.0, 20.0), (30.0, 50.0)).groupBy("quad").agg(F.array_sort(F.collect_list(F.struct("k", "x", "y"))).alias("p"))
+    area = F.abs(F.aggregate(F.transform("p", lambda a, i: a["x"] * F.get("p", (i + 1) % F.size("p"))["y"] - F.get("p", (i + 1) % F.size("p"))["x"] * a["y"]), F.lit(0.0), lambda s, x: s + x)) / 2
+    return p.select("quad.seq", area.alias("a")).groupBy("seq").agg(F.round(F.sum("a"), 6).alias("area")).where("area > 0")
+
+
+# Filters of the examples
+
+_BOX_RING = "array(struct(cast(c0 as double) as x, cast(r0 as double) as y), struct(cast(c0 + w as double) as x, cast(r0 as double) as y), struct(cast(c0 + w as double) as x, cast(r0 + h as double) as y), struct(cast(c0 as double) as x, cast(r0 + h as double) as y))"
+_CORE = [(10.0, 20.0), (10.0, 31.0), (41.0, 31.0), (41.0, 20.0)]
+
+
+@query("boxes", sql="SELECT seq FROM boxes WHERE c0 + w / 2.0 BETWEEN 10 AND 41 AND r0 + h / 2.0 BETWEEN 20 AND 31")
+def centre_filter(spark, d):
+    return meshes.centre_in_rectangle(scenes.boxes(spark, d).select("seq", F.expr(_BOX_RING).alias("vertices")), _CORE).select("seq")
+
+
+@query("boxes", sql="SELECT seq FROM boxes WHERE c0 >= 10 AND c0 + w <= 41 AND r0 >= 20 AND r0 + h <= 31")
+def within_filter(spark, d):
+    return meshes.within_rectangle(scenes.boxes(spark, d).select("seq", F.expr(_BOX_RING).alias("ring")), _CORE).select("seq")
+
+
+@query("boxes", sql="SELECT seq FROM boxes WHERE c0 <= 41 AND c0 + w >= 10 AND r0 <= 31 AND r0 + h >= 20")
+def intersects_filter(spark, d):
+    return meshes.meets_rectangle(scenes.boxes(spark, d).select("seq", F.expr(_BOX_RING).alias("ring")), _CORE).select("seq")
+
+
+@query(sql="SELECT l_returnflag AS run, bin::INT AS bin, count(*) AS n FROM (SELECT l_returnflag, len(list_filter(e[2 : len(e) - 1], lambda x: x < l_extendedprice)) AS bin FROM lineitem, (SELECT list_sort(list_distinct(quantile_cont(l_extendedprice, [0, 0.25, 0.5, 0.75, 1.0]))) AS e FROM lineitem)) GROUP BY 1, 2")
+def pooled_quartiles(spark, d):
+    return stats.pooled_bins(table(spark, d, "lineitem").withColumnRenamed("l_returnflag", "run"), "l_extendedprice", "run")
+
+
+@query(sql="SELECT count(*) AS cells, count(v) AS valid, round(count(v) / count(*), 6) AS share, round(avg(v), 6) AS mean, min(v) AS low, max(v) AS high FROM (SELECT CASE WHEN event_id % 7 NOT IN (0, 1) THEN value END AS v FROM events)")
+def grid_summary(spark, d):
+    v = table(spark, d, "events").select(F.expr("case when event_id % 7 = 0 then null when event_id % 7 = 1 then double('NaN') else value end as value"))
+    return stats.grid_summary(v, "value").select("cells", "valid", _r("share"), _r("mean"), "low", "high")
+
+
+@query(sql="SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC NULLS LAST, event_id) AS k FROM events) WHERE k = 1")
+def keep_best(spark, d):
+    return stats.keep_best(table(spark, d, "events").select("user_id", "event_id", "value"), ["user_id"], "value", "event_id")
+
+
+@query(sql="SELECT 'building' AS kind, s_suppkey AS id, s_nationkey AS extra, NULL::BIGINT AS other FROM supplier UNION ALL SELECT 'bridge', c_custkey, NULL, c_custkey * 2 FROM customer")
+def tagged_concat(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("extra"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") * 2).alias("other"))
+    return meshes.tagged({"building": s, "bridge": c}, "kind").select("kind", "id", "extra", "other")
+
+
+@query("gvi", sql="SELECT s_suppkey AS building_id, s_name, round(mean_v, 6) AS mean_v FROM supplier JOIN gvi ON building_id = s_suppkey")
+def lookup_join(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("building_id"), "s_name")
+    return s.join(_gvi(spark, d), "building_id").select("building_id", "s_name", _r("mean_v"))
+
+
+@query(sql="SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")
+def csv_round_trip(spark, d):
+    from gridloom.sources import tabular
+
+    return tabular.round_trip(table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"))
+
+
+# Features from XML
+
+_RING = "concat('<gml:Polygon><gml:exterior><gml:LinearRing><gml:posList>', {p}, '</gml:posList></gml:LinearRing></gml:exterior>{hole}</gml:Polygon>')"
+_XML = ("concat('<core:CityModel xmlns:core=\"c\" xmlns:bldg=\"b\" xmlns:brid=\"r\" xmlns:veg=\"v\" xmlns:gen=\"e\" xmlns:xlink=\"x\" xmlns:gml=\"g\">', {body}, '</core:CityModel>')")
+
+
+def _square(x: str, y: str, side: str, z: str) -> str:
+    return f"concat_ws(' ', {x}, {y}, {z}, {x} + {side}, {y}, {z}, {x} + {side}, {y} + {side}, {z}, {x}, {y} + {side}, {z}, {x}, {y}, {z})"
+
+
+def _parsed(spark, d, kind: str, body: str):
+    from gridloom.sources import citygml
+
+    t = table(spark, d, "supplier").select(F.concat(F.lit("f"), F.col("s_suppkey")).alias("path"), F.expr(_XML.format(body=body)).alias("text"), F.lit(kind).alias("feature_type"))
+    m = citygml.meshes(t).where("failure is null")
+    return m.withColumns({"x": F.array_max(F.transform("vertices", lambda p: p["x"])), "z": F.array_max(F.transform("vertices", lambda p: p["z"])), "points": F.size("vertices"), "triangles": F.size("faces")})
+
+
+_SUP = "'f' || s_suppkey AS path"
+
+
+@query(sql=f"""SELECT {_SUP}, 'b' || s_suppkey AS feature_id, (CASE s_nationkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 2 END)::VARCHAR AS lod, CASE WHEN s_nationkey % 2 = 0 THEN s_nationkey::VARCHAR END AS height,
+    CASE s_nationkey % 3 WHEN 0 THEN 12 WHEN 1 THEN 4 ELSE 8 END AS points, CASE s_nationkey % 3 WHEN 0 THEN 10 WHEN 1 THEN 2 ELSE 8 END AS triangles, (CASE s_nationkey % 3 WHEN 1 THEN 4 ELSE 6 END)::DOUBLE AS x FROM supplier""")
+def building_parse(spark, d):
+    ring = lambda x, z, side="4": _RING.format(p=_square(x, "2", side, z), hole="")
+    holed = _RING.format(p=_square("0", "0", "6", "9"), hole="<gml:interior><gml:LinearRing><gml:posList>2 2 9 2 3 9 3 3 9 3 2 9 2 2 9</gml:posList></gml:LinearRing></gml:interior>")
+    lod1 = f"'<bldg:lod1Solid>', {ring('0', '8')}, '</bldg:lod1Solid>'"
+    two = f"'<bldg:boundedBy><bldg:RoofSurface><bldg:lod2MultiSurface>', {holed}, '</bldg:lod2MultiSurface></bldg:RoofSurface></bldg:boundedBy>'"
+    more = f"'<bldg:boundedBy><bldg:WallSurface><bldg:lod2MultiSurface>', {ring('1', '5', '3')}, '</bldg:lod2MultiSurface></bldg:WallSurface></bldg:boundedBy>'"
+    body = (f"concat('<bldg:Building gml:id=\"b', s_suppkey, '\">', if(s_nationkey % 2 = 0, concat('<bldg:measuredHeight>', s_nationkey, '</bldg:measuredHeight>'), ''), {lod1}, "
+            f"if(s_nationkey % 3 <> 1, concat({two}), ''), if(s_nationkey % 3 = 0, concat({more}), ''), '</bldg:Building>')")
+    m = _parsed(spark, d, "building", body)
+    return m.select("path", "feature_id", F.expr("attrs['lod']").alias("lod"), F.expr("attrs['height']").alias("height"), "points", "triangles", "x")
+
+
+@query(sql=f"""SELECT {_SUP}, 'r' || s_suppkey AS feature_id, CASE s_nationkey % 3 WHEN 0 THEN 8 ELSE 4 END AS points, CASE s_nationkey % 3 WHEN 0 THEN 4 ELSE 2 END AS triangles, (CASE s_nationkey % 3 WHEN 0 THEN 24 WHEN 1 THEN 14 ELSE 9 END)::DOUBLE AS x FROM supplier""")
+def bridge_parse(spark, d):
+    ring = lambda x: _RING.format(p=_square(x, "0", "4", "3"), hole="")
+    part = lambda x: f"'<brid:outerBridgeConstruction><brid:BridgeConstructionElement><brid:lod2Solid>', {ring(x)}, '</brid:lod2Solid></brid:BridgeConstructionElement></brid:outerBridgeConstruction>'"
+    body = (f"concat('<brid:Bridge gml:id=\"r', s_suppkey, '\">', case s_nationkey % 3 when 0 then concat({part('0')}, {part('20')}) when 1 then concat('<brid:lod2Solid>', {ring('10')}, '</brid:lod2Solid>', {part('30')}) "
+            f"else concat('<brid:boundedBy><brid:OuterCeilingSurface>', {ring('5')}, '</brid:OuterCeilingSurface></brid:boundedBy>') end, '</brid:Bridge>')")
+    return _parsed(spark, d, "bridge", body).select("path", "feature_id", "points", "triangles", "x")
+
+
+@query(sql=f"""SELECT {_SUP}, 'v' || s_suppkey || '_' || k AS feature_id, (s_nationkey + 1)::VARCHAR AS height, CASE WHEN k = 0 THEN 'oak' END AS kind, 4 AS points, 2 AS triangles,
+    (CASE WHEN k = 0 THEN 100 + s_suppkey ELSE 2 * 4 + 50 + s_suppkey END)::DOUBLE AS x, (CASE WHEN k = 0 THEN 7 ELSE 1 + 7 END)::DOUBLE AS z FROM supplier, range(0, 2) AS t(k)""")
+def vegetation_parse(spark, d):
+    own = _RING.format(p=_square("0", "0", "4", "1"), hole="")
+    shape = f"'<gml:MultiSurface gml:id=\"proto\">', {own}, '</gml:MultiSurface>'"
+    at = lambda x: f"'<core:referencePoint><gml:Point><gml:pos>', {x} + s_suppkey, ' 0 6</gml:pos></gml:Point></core:referencePoint>'"
+    # The first plant has the shape itself (and a matrix that isn't one); the second one refers to it and doubles x.
+    one = (f"concat('<veg:SolitaryVegetationObject gml:id=\"v', s_suppkey, '_0\"><veg:height>', s_nationkey + 1, '</veg:height><veg:species>oak</veg:species><veg:lod2ImplicitRepresentation><core:ImplicitGeometry>"
+           f"<core:transformationMatrix>1 2 3</core:transformationMatrix>', {at('96')}, '<core:relativeGMLGeometry>', {shape}, '</core:relativeGMLGeometry></core:ImplicitGeometry></veg:lod2ImplicitRepresentation></veg:SolitaryVegetationObject>')")
+    two = (f"concat('<veg:SolitaryVegetationObject gml:id=\"v', s_suppkey, '_1\"><gen:doubleAttribute name=\"height\"><gen:value>', s_nationkey + 1, '</gen:value></gen:doubleAttribute><veg:lod1ImplicitRepresentation><core:ImplicitGeometry>"
+           f"<core:transformationMatrix>2 0 0 0 0 1 0 0 0 0 1 1 0 0 0 1</core:transformationMatrix>', {at('50')}, '<core:relativeGMLGeometry xlink:href=\"#proto\"/></core:ImplicitGeometry></veg:lod1ImplicitRepresentation></veg:SolitaryVegetationObject>')")
+    m = _parsed(spark, d, "vegetation", f"concat({one}, {two})")
+    return m.select("path", "feature_id", F.expr("attrs['height']").alias("height"), F.expr("attrs['type']").alias("kind"), "points", "triangles", "x", "z")
+
+
+@query(sql="SELECT event_id, round(10.9::DOUBLE + (event_id * 7 % 1201) * 0.001::DOUBLE, 8) AS lon, round(47.9::DOUBLE + (event_id * 13 % 1201) * 0.001::DOUBLE, 8) AS lat, 1 AS near FROM events")
+def reproject_utm(spark, d):
+    from gridloom.functions import frames
+
+    e = table(spark, d, "events").select("event_id", F.expr("10.9D + (event_id * 7 % 1201) * 0.001D").alias("lon"), F.expr("47.9D + (event_id * 13 % 1201) * 0.001D").alias("lat"), F.expr("if(event_id % 2 = 0, 'EPSG:25832', 'EPSG:25833')").alias("epsg"))
+    there = e.withColumn("p", frames.to_projected(F.col("lon"), F.col("lat"), F.col("epsg")))
+    back = there.withColumn("q", frames.to_geographic(F.col("p.x"), F.col("p.y"), F.col("epsg")))
+    # A degree of latitude is 111.2 km, which bounds the northing from both sides.
+    return back.select("event_id", F.round("q.lon", 8).alias("lon"), F.round("q.lat", 8).alias("lat"), F.expr("cast(abs(p.y - lat * 111200) < 30000 as int)").alias("near"))
+
+
+@query(sql="SELECT event_id, round(139.7::DOUBLE + (event_id * 7 % 1201) * 0.0001::DOUBLE, 8) AS lon, round(35.6::DOUBLE + (event_id * 13 % 1201) * 0.0001::DOUBLE, 8) AS lat FROM events")
+def project_local(spark, d):
+    from gridloom.functions.frames import LocalMetres
+
+    local = LocalMetres(139.77, 35.65, 0.3)
+    e = table(spark, d, "events").select("event_id", F.expr("139.7D + (event_id * 7 % 1201) * 0.0001D").alias("lon"), F.expr("35.6D + (event_id * 13 % 1201) * 0.0001D").alias("lat"))
+    x, y = local.project(F.col("lon"), F.col("lat"))
+    e = e.withColumns({"x": x, "y": y})
+    lon, lat = local.unproject(F.col("x"), F.col("y"))
+    return e.select("event_id", F.round(lon, 8).alias("lon"), F.round(lat, 8).alias("lat"))
+
+
 # Caches
 
 

@@ -71,20 +71,28 @@ def tin_from_text(df: DataFrame, text_col: str) -> DataFrame:
     return t.select(*[c for c in df.columns if c != text_col], "face", *[F.get("__v", F.lit(3 * i + n)).alias(f"{k}{i}") for i in range(3) for n, k in enumerate("xyz")])
 
 
+def _rings(block: Column, pattern: str) -> Column:
+    """array<array<struct(x, y)>> of the position lists a pattern finds, x = longitude, of three points or more."""
+    lists = F.transform(F.regexp_extract_all(block, F.lit(pattern), F.lit(1)), lambda s: geometry.pos_list(s))
+    return F.filter(F.transform(lists, lambda l: F.transform(l, lambda p: F.struct(p["y"].alias("x"), p["x"].alias("y")))), lambda p: F.size(p) >= 3)
+
+
 def land_use_from_text(df: DataFrame, text_col: str, bounds: tuple[float, float, float, float] | None = None) -> DataFrame:
-    """df's other columns plus (k, class, ring): land-use features with a class and a ring of three points or more.
+    """df's other columns plus (k, part, class, ring, holes): each part of land-use features with a class and a ring of three points or more.
 
-    ring: the first position list, x = longitude and y = latitude. bounds (lo_x, lo_y, hi_x, hi_y) keeps
-    features whose ring's box meets them.
+    A position list below an interior is a hole of the exterior before it; every other is a part by itself. x =
+    longitude and y = latitude. bounds (lo_x, lo_y, hi_x, hi_y) keeps parts whose ring's box meets them.
     """
     keep = [c for c in df.columns if c != text_col]
     blocks = F.regexp_extract_all(F.col(text_col), F.lit(r"(?s)<luse:LandUse[^>]*>(.*?)</luse:LandUse>"), F.lit(1))
     b = df.select(*keep, F.posexplode(blocks).alias("k", "__b"))
-    lists = F.transform(F.regexp_extract_all(F.col("__b"), F.lit(r"<gml:posList[^>]*>([^<]+)</gml:posList>"), F.lit(1)), lambda s: geometry.pos_list(s))
-    rings = F.filter(lists, lambda p: F.size(p) >= 3)
-    b = b.select(*keep, "k", F.regexp_extract("__b", r"<luse:class[^>]*>(\d+)</luse:class>", 1).try_cast("int").alias("class"),
-                 F.transform(F.get(rings, F.lit(0)), lambda p: F.struct(p["y"].alias("x"), p["x"].alias("y"))).alias("ring"))
-    out = b.where("class is not null and ring is not null")
+    b = b.withColumn("class", F.regexp_extract("__b", r"<luse:class[^>]*>(\d+)</luse:class>", 1).try_cast("int")).where("class is not null")
+    # Cut behind each interior's start tag: what precedes an exterior's list is a part of its own with the interiors up to the next.
+    parts = F.regexp_extract_all("__b", F.lit(r"(?s)((?:(?!</?gml:interior).)*?<gml:posList[^>]*>[^<]+</gml:posList>(?:(?:(?!<gml:(?:posList|exterior)).)*?<gml:interior[^>]*>.*?</gml:interior>)*)"), F.lit(1))
+    p = b.select(*keep, "k", "class", F.posexplode(parts).alias("part", "__p"))
+    holes = _rings(F.col("__p"), r"(?s)<gml:interior[^>]*>.*?<gml:posList[^>]*>([^<]+)</gml:posList>.*?</gml:interior>")
+    outer = _rings(F.regexp_replace("__p", r"(?s)<gml:interior[^>]*>.*?</gml:interior>", ""), r"<gml:posList[^>]*>([^<]+)</gml:posList>")
+    out = p.select(*keep, "k", "part", "class", F.get(outer, F.lit(0)).alias("ring"), holes.alias("holes")).where("ring is not null")
     if bounds:
         x, y = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
         out = out.where((F.array_max(x) >= bounds[0]) & (F.array_min(x) <= bounds[2]) & (F.array_max(y) >= bounds[1]) & (F.array_min(y) <= bounds[3]))

@@ -69,3 +69,22 @@ def test_voxel_index_floors(spark):
     assert tuple(d.select(*v.index(F.col("x"), F.col("y"), F.col("z"))).first()) == (-1, -1, 0)
     assert tuple(d.select(*v.truncated_index(F.col("x"), F.col("y"), F.col("z"))).first()) == (0, 0, 0)
     assert v.contact_half > 1.0 > v.penetration_half
+
+
+def test_projected_points(spark):
+    """Northing on a central meridian is the scaled meridian arc, here by numeric integration; both ways agree."""
+    import math
+
+    from gridloom.functions import frames
+
+    f = 1 / 298.257222101
+    e2 = f * (2 - f)
+    n = 200_000
+    step = math.radians(48.0) / n
+    arc = sum(6378137.0 * (1 - e2) / (1 - e2 * math.sin((i + 0.5) * step) ** 2) ** 1.5 * step for i in range(n))
+    df = spark.createDataFrame([(9.0, 48.0), (11.5, 48.2)], "lon double, lat double")
+    p = df.withColumn("p", frames.to_projected(F.col("lon"), F.col("lat"), F.lit("EPSG:25832"), ["EPSG:25832"]))
+    rows = p.withColumn("q", frames.to_geographic(F.col("p.x"), F.col("p.y"), F.lit("EPSG:25832"), ["EPSG:25832"])).collect()
+    assert abs(rows[0].p.x - 500_000) < 1e-6 and abs(rows[0].p.y - 0.9996 * arc) < 1e-3
+    assert all(abs(r.q.lon - r.lon) < 1e-9 and abs(r.q.lat - r.lat) < 1e-9 for r in rows)
+    assert rows[1].p.x > 500_000 + 180_000
