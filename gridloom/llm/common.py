@@ -23,8 +23,33 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def word_hashes(ws: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, ws), U64, len(ws))
+def word_hashes(raw: bytes, kind: int = 0) -> np.ndarray:
+    """hashed_words without the places."""
+    return hashed_words(raw, kind)[0]
+
+
+def hashed_words(raw: bytes, kind: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of a text in UTF-8, cut like `words`, by arrays over its bytes; and where the words begin.
+
+    A word's hash is the sum of its bytes plus one, each times a fixed odd number for its place; words of over PLACES bytes
+    are hashed by themselves. Hashes of different kinds are independent.
+    """
+    b = np.frombuffer(raw, np.uint8)
+    at = np.flatnonzero(_INK[b])
+    if not len(at):
+        return np.zeros(0, U64), at
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1] + 1])
+    size = np.diff(np.r_[first, len(at)])
+    place = np.arange(len(at)) - np.repeat(first, size)
+    long = size.max() > PLACES
+    ink = b[at].astype(U64)
+    ink += U64(1)
+    ink *= _PLACE[kind][np.minimum(place, PLACES - 1) if long else place]
+    h = mix(np.add.reduceat(ink, first) * _M1)
+    if long:
+        for i in np.flatnonzero(size > PLACES):
+            h[i] = xxhash.xxh3_64_intdigest(raw[at[first[i]] : at[first[i]] + size[i]], kind)
+    return h, at[first]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,6 +57,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(29))
 
 
+#: Places within a word that have a number of their own.
+PLACES = 512
+_PLACE = [mix(mix(np.arange(1 + k * PLACES, 1 + (k + 1) * PLACES, dtype=U64) * _M1) * _M3) | U64(1) for k in range(2)]
+_INK = np.ones(256, bool)
+_INK[[9, 10, 11, 12, 13, 32]] = False
+
+
 def join_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Hash of two windows side by side (or overlapping by a fixed number of words)."""
     return mix(left * _M1 + (right ^ _M3))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import (
-    SCRATCH, U64, add_columns, drop_scratch, gram_hashes, mix, partitions, sorted_groups, stored, text_key, word_hashes, words,
+    SCRATCH, U64, add_columns, drop_scratch, gram_hashes, mix, partitions, sorted_groups, stored, text_key, word_hashes,
 )
 from gridloom.llm.components import components
 
@@ -45,7 +45,7 @@ _FACTORS = mix(np.arange(1, VALUES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) |
 
 def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of a text's n-word shingles; a text of 1 to n - 1 words is one shingle."""
-    h = word_hashes(words(text))
+    h = word_hashes(text.encode("utf-8", "surrogatepass") if text else b"")
     return np.unique(gram_hashes(h, min(n, len(h))) if len(h) else h)
 
 

@@ -19,19 +19,19 @@ independent hashes of the words, so that two different windows both of whose par
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import SCRATCH, U64, drop_scratch, gram_hashes, partitions, stored, without, word_hashes, words
+from gridloom.llm.common import SCRATCH, U64, drop_scratch, gram_hashes, hashed_words, partitions, stored, without, word_hashes
 
 #: A batch is closed beyond this many bytes (between the two, by the input's size) or documents; one document may exceed it alone.
 BATCH_BYTES, BATCH_DOCS = (1_000_000, 16_000_000), 16_384
@@ -50,57 +50,65 @@ def levels(window: int) -> list[int]:
     return sizes
 
 
-class _Doc:
-    """Windows of one document by level."""
+#: Bytes of text whose windows are worked out together; a longer text alone.
+BLOCK_BYTES = 256_000
 
-    def __init__(self, text: str | None, window: int) -> None:
-        self.words = words(text)
+
+class _Block:
+    """Windows of some documents, end to end, by level. No window looked at reaches from one document into the next."""
+
+    def __init__(self, texts: list[str | None], window: int) -> None:
+        parts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        self.parts, self.raw = parts, b"\n".join(parts)
         self.window, self.sizes = window, levels(window)
-        n = len(self.words)
-        self.starts = max(0, n - window + 1)
-        if not self.starts:
-            return
-        self.h = word_hashes(self.words)
+        self.h, at = hashed_words(self.raw)
+        self.ends = np.searchsorted(at, np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1))  # words up to each document's end
+        count = np.diff(self.ends, prepend=0)
+        self.begin, self.end = np.repeat(self.ends - count, count), np.repeat(self.ends, count)  # of each word's document
+        self.starts = np.flatnonzero(np.arange(len(self.h)) + window <= self.end)
+
+    @functools.cached_property
+    def anchor(self) -> np.ndarray:
+        """For each full window the place of its leftmost least short window."""
         base = self.sizes[0]
-        g = gram_hashes(self.h, base)
-        view = np.lib.stride_tricks.sliding_window_view(g, window - base + 1)
-        self.anchor = view.argmin(1) + np.arange(self.starts)
+        view = np.lib.stride_tricks.sliding_window_view(gram_hashes(self.h, base), self.window - base + 1)
+        return view.argmin(1)[self.starts] + self.starts
 
-    def asked(self, level: int, alive: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """(start positions, hashes by row) to look up at a level, given the surviving hashes of the one before."""
+    def asked(self, level: int, alive: np.ndarray | None) -> np.ndarray:
+        """Hashes, by row, to look up at a level, given the surviving hashes of the one before."""
         last = level == len(self.sizes) - 1
-        if not self.starts:
-            return np.zeros(0, np.int64), np.zeros((0, 1 + last), U64)
+        if not len(self.starts):
+            return np.zeros((0, 1 + last), U64)
         at = self._looked_up(level, alive)
-        return at, (self.full(at) if last else gram_hashes(self.h, self.sizes[level])[at][:, None])
+        return self.full(at) if last else gram_hashes(self.h, self.sizes[level])[at][:, None]
 
     def full(self, at: np.ndarray) -> np.ndarray:
-        """128 bits of the full windows at some positions."""
+        """128 bits of the full windows at some places."""
         if not len(at):
             return np.zeros((0, 2), U64)
-        other = np.fromiter((xxhash.xxh3_64_intdigest(w, 1) for w in self.words), U64, len(self.words))
-        return np.stack([gram_hashes(self.h, self.window)[at], gram_hashes(other, self.window)[at]], 1)
+        return np.stack([gram_hashes(self.h, self.window)[at], gram_hashes(word_hashes(self.raw, 1), self.window)[at]], 1)
 
     def _looked_up(self, level: int, alive: np.ndarray | None) -> np.ndarray:
-        size, n = self.sizes[level], len(self.h)
+        size = self.sizes[level]
         if level == 0:
-            return np.arange(self.starts) if len(self.sizes) == 1 else np.unique(self.anchor)
+            return self.starts if len(self.sizes) == 1 else np.unique(self.anchor)
         small = self.sizes[level - 1]
         ok = _among(gram_hashes(self.h, small)[:, None], alive)
+        if not ok.any():
+            return np.zeros(0, np.int64)
         if level < len(self.sizes) - 1:
             # Both extensions of a surviving shorter window, inside the document.
             live = self._inner(level - 1, ok)
-            at = np.unique(np.concatenate([live, live - (size - small)]))
-            return at[(at >= 0) & (at + size <= n)]
-        p = np.arange(self.starts)
-        keep = np.ones(self.starts, bool)
+            at, of = np.concatenate([live, live - (size - small)]), np.concatenate([live, live])
+            return np.unique(at[(at >= self.begin[of]) & (at + size <= self.end[of])])
+        p = self.starts
         # Every shorter window looked up inside a full window must have survived.
         if level == 1:
-            keep = ok[self.anchor]
-        else:
-            for q in self._own(level - 1):
-                fits = (q >= p) & (q + small <= p + self.window)
-                keep &= ~fits | ok[np.clip(q, 0, len(ok) - 1)]
+            return p[ok[self.anchor]]
+        keep = np.ones(len(p), bool)
+        for q in self._own(level - 1):
+            fits = (q >= p) & (q + small <= p + self.window)
+            keep &= ~fits | ok[np.clip(q, 0, len(ok) - 1)]
         return p[keep]
 
     def _own(self, level: int) -> list[np.ndarray]:
@@ -112,21 +120,32 @@ class _Doc:
         return out
 
     def _inner(self, level: int, ok: np.ndarray) -> np.ndarray:
-        got = [q[(q >= 0) & (q < len(ok))] for q in self._own(level)]
-        at = np.unique(np.concatenate(got))
+        lo, hi = self.begin[self.starts], self.end[self.starts] - self.sizes[level]
+        at = np.unique(np.concatenate([q[(q >= lo) & (q <= hi)] for q in self._own(level)]))
         return at[ok[at]]
 
-    def covered(self, alive: np.ndarray) -> np.ndarray:
-        """Which words lie in a repeated window."""
-        out = np.zeros(len(self.words), bool)
-        if self.starts and len(alive):
-            at = np.flatnonzero(_among(gram_hashes(self.h, self.window)[:, None], alive[:, :1]))
+    def covered(self, alive: np.ndarray) -> list[np.ndarray]:
+        """Which words of each document lie in a repeated window."""
+        out = np.zeros(len(self.h), bool)
+        if len(self.starts) and len(alive):
+            at = self.starts[_among(gram_hashes(self.h, self.window)[self.starts][:, None], alive[:, :1])]
             at = at[_among(self.full(at), alive)]
-            edge = np.zeros(len(self.words) + 1, np.int64)
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + self.window, -1)
-            out = np.cumsum(edge[:-1]) > 0
-        return out
+            if len(at):
+                n = len(self.h) + 1
+                out = np.cumsum(np.bincount(at, minlength=n)[:-1] - np.bincount(at + self.window, minlength=n)[:-1]) > 0
+        return np.split(out, self.ends[:-1])
+
+
+def _blocks(texts: list[str | None], window: int) -> Iterator[_Block]:
+    held, size = [], 0
+    for t in texts:
+        if held and size + len(t or "") > BLOCK_BYTES:
+            yield _Block(held, window)
+            held, size = [], 0
+        held.append(t)
+        size += len(t or "")
+    if held:
+        yield _Block(held, window)
 
 
 def _order(h: np.ndarray) -> np.ndarray:
@@ -226,7 +245,7 @@ def _pack(hashes: list[np.ndarray], batch: int, n_parts: int, width: int) -> pa.
 
 def _asking(window: int, n_parts: int):
     def ask(t: pa.Table) -> pa.Table:
-        got = [_Doc(x, window).asked(0, None)[1] for x in t.column(TEXT).to_pylist()]
+        got = [b.asked(0, None) for b in _blocks(t.column(TEXT).to_pylist(), window)]
         return _pack(got, t.column(BATCH)[0].as_py(), n_parts, _width(levels(window), 0))
 
     return ask
@@ -243,7 +262,7 @@ def _asking_on(window: int, n_parts: int, level: int):
         if not t.num_rows or not answers.num_rows:
             return _pack([], 0, n_parts, _width(sizes, level))
         alive = _alive(answers, _width(sizes, level - 1))
-        got = [_Doc(x, window).asked(level, alive)[1] for x in t.column(TEXT).to_pylist()]
+        got = [b.asked(level, alive) for b in _blocks(t.column(TEXT).to_pylist(), window)]
         return _pack(got, t.column(BATCH)[0].as_py(), n_parts, _width(sizes, level))
 
     return ask
@@ -292,12 +311,12 @@ def remove_repeats(df: DataFrame, text_col: str = "text", window: int = 35) -> D
     def last(t: pa.Table, a: pa.Table) -> pa.Table:
         alive = _alive(a, width)
         n, gone, text = [], [], []
-        for x in t.column(TEXT).to_pylist():
-            doc = _Doc(x, window)
-            hit = doc.covered(alive)
-            n.append(len(doc.words))
-            gone.append(int(hit.sum()))
-            text.append(b" ".join([w for w, c in zip(doc.words, hit.tolist()) if not c]).decode("utf-8", "surrogatepass"))
+        for block in _blocks(t.column(TEXT).to_pylist(), window):
+            for raw, hit in zip(block.parts, block.covered(alive)):
+                n.append(len(hit))
+                gone.append(int(hit.sum()))
+                ws = raw.split()
+                text.append(b" ".join([w for w, c in zip(ws, hit.tolist()) if not c] if gone[-1] else ws).decode("utf-8", "surrogatepass"))
         got = t.select(names)
         return pa.Table.from_arrays(
             [*got.columns, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(text, pa.string())],

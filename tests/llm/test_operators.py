@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 from gridloom.llm import (
     chain_crf, decontaminate, jaccard_join, language_id, line_quality, packing, piece_sampling, quality_rules, queries, substring_dedup, token_counts, url_filter,
 )
-from gridloom.llm.common import words
+from gridloom.llm.common import word_hashes, words
 from gridloom.llm.components import components
 
 DATA = "/root/testdata/sf0.001"
@@ -106,6 +106,19 @@ def test_language_sample_is_the_lowest_hashes_of_usable_rows(spark, same_id, mon
     assert language_id.fit_from(many, docs_most=20)[0] == low
 
 
+def test_words_are_cut_and_hashed_as_bytes_split_them():
+    texts = [t for t in [*ODD, *sample_texts()[:20], "a" * 600 + " " + "a" * 601 + " " + "a" * 600, " a\x0bb\x1cc  d\n"] if t]
+    seen = {}
+    for t in texts:
+        ws = words(t)
+        for kind in (0, 1):
+            h = word_hashes(t.encode(), kind).tolist()
+            assert len(h) == len(ws)
+            for w, x in zip(ws, h):
+                assert seen.setdefault((kind, w), x) == x
+    assert len(set(seen.values())) == len(seen)
+
+
 def brute_dedup(texts, window):
     ws = [words(t) for t in texts]
     n = collections.Counter(tuple(w[i : i + window]) for w in ws for i in range(len(w) - window + 1))
@@ -119,6 +132,7 @@ def brute_dedup(texts, window):
 @pytest.mark.parametrize("window", [5, 20, 35])
 def test_repeated_windows_go(spark, window, monkeypatch):
     monkeypatch.setattr(substring_dedup, "BATCH_BYTES", (2000, 2000))
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 500)
     texts = mixed(window)
     got = substring_dedup.remove_repeats(frame(spark, texts), window=window)
     assert "Text2" in got.columns and got.columns.count("n_words") == 1
@@ -127,14 +141,13 @@ def test_repeated_windows_go(spark, window, monkeypatch):
 
 def test_equal_short_hashes_are_told_apart_at_the_end(spark, monkeypatch):
     """With one hash value for every word at the first hash, only the second tells windows apart."""
-    monkeypatch.setattr(substring_dedup, "word_hashes", lambda ws: np.ones(len(ws), np.uint64))
+    real = substring_dedup.hashed_words
+    monkeypatch.setattr(substring_dedup, "hashed_words", lambda raw, kind=0: (np.ones(len(raw.split()), np.uint64), real(raw)[1]))
     texts = [" ".join(f"{c}{i}" for i in range(50)) for c in "ab"] + ["z " + " ".join(f"a{i}" for i in range(40))]
-    docs = [substring_dedup._Doc(t, 35) for t in texts]
-    full = np.concatenate([d.full(np.arange(d.starts)) for d in docs])
-    alive, n = np.unique(full, axis=0, return_counts=True)
+    block = substring_dedup._Block(texts, 35)
+    alive, n = np.unique(block.full(block.starts), axis=0, return_counts=True)
     alive = alive[n > 1]
-    got = [int(d.covered(alive[substring_dedup._order(alive)]).sum()) for d in docs]
-    assert got == [40, 0, 40]
+    assert [int(x.sum()) for x in block.covered(alive[substring_dedup._order(alive)])] == [40, 0, 40]
 
 
 def test_dedup_of_nothing(spark):
