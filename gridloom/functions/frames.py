@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -247,8 +248,8 @@ class LocalMetres:
         c, si = math.cos(self.angle), math.sin(self.angle)
         return c * x + si * y, -si * x + c * y
 
-    def unproject(self, x: Column, y: Column) -> tuple[Column, Column]:
-        """(lon, lat) of a point in metres."""
+    def unproject(self, x: Column, y: Column, m=F) -> tuple[Column, Column]:
+        """(lon, lat) of a point in metres; m: what works out sines and so on, pyspark's functions or NUMPY for arrays."""
         n = GRS80_F / (2 - GRS80_F)
         a, _, inv = _series(n)
         e = 2 * math.sqrt(n) / (1 + n)
@@ -257,14 +258,21 @@ class LocalMetres:
         xi0, eta0 = (py + self._northing0()) / (self.scale * a), px / (self.scale * a)
         xi, eta = xi0, eta0
         for j, k in enumerate(inv, 1):
-            xi = xi - k * F.sin(2 * j * xi0) * F.cosh(2 * j * eta0)
-            eta = eta - k * F.cos(2 * j * xi0) * F.sinh(2 * j * eta0)
-        lon = self.lon0 + F.degrees(F.atan2(F.sinh(eta), F.cos(xi)))
-        chi = F.asin(F.sin(xi) / F.cosh(eta))
-        q0, q = F.atanh(F.sin(chi)), F.atanh(F.sin(chi))
+            xi = xi - k * m.sin(2 * j * xi0) * m.cosh(2 * j * eta0)
+            eta = eta - k * m.cos(2 * j * xi0) * m.sinh(2 * j * eta0)
+        lon = self.lon0 + m.degrees(m.atan2(m.sinh(eta), m.cos(xi)))
+        chi = m.asin(m.sin(xi) / m.cosh(eta))
+        q0, q = m.atanh(m.sin(chi)), m.atanh(m.sin(chi))
         for _ in range(7):
-            q = q0 + e * F.atanh(e * F.tanh(q))
-        return lon, F.degrees(F.asin(F.tanh(q)))
+            q = q0 + e * m.atanh(e * m.tanh(q))
+        return lon, m.degrees(m.asin(m.tanh(q)))
+
+
+class NUMPY:
+    """numpy's functions by the names that pyspark has for them."""
+
+    sin, cos, sinh, cosh, tanh, degrees = np.sin, np.cos, np.sinh, np.cosh, np.tanh, np.degrees
+    asin, atanh, atan2 = np.arcsin, np.arctanh, np.arctan2
 
 
 def rectangle_metres(vertices: list[LonLat], lon: float, lat: float, spark: SparkSession) -> LocalMetres:

@@ -131,6 +131,39 @@ def greedy_rectangles(runs: DataFrame, plane: list[str], across: str) -> DataFra
     return g.groupBy(*plane, "start", "length", "g").agg(F.min(across).alias("across0"), F.count("*").alias("depth")).drop("g")
 
 
+#: Of each direction of faces: the column that numbers its planes, and the two that span them (fixed values).
+PLANES = {"south": ("r", "z", "c"), "north": ("r", "z", "c"), "east": ("c", "z", "r"), "west": ("c", "z", "r"), "up": ("z", "r", "c"), "down": ("z", "r", "c")}
+
+
+def maximal_rectangles(faces: DataFrame) -> DataFrame:
+    """(code, face, layer, u, v, height, width): faces (r, c, z, code, face) as few large rectangles, each face in one.
+
+    In each plane of one code, from the first free face on, a rectangle grows along its line as far as it can and
+    then over as many lines as hold all of that stretch. A plane is one layer of the grid; planes are dealt to tasks.
+    """
+    pick = lambda i: F.coalesce(*[F.when(F.col("face") == k, F.col(v[i])) for k, v in PLANES.items()])
+    p = faces.select("code", "face", pick(0).alias("layer"), pick(1).alias("u"), pick(2).alias("v"))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        u, v = pdf.u.to_numpy(), pdf.v.to_numpy()
+        u0, v0 = int(u.min()), int(v.min())
+        free = np.zeros((int(u.max()) - u0 + 2, int(v.max()) - v0 + 2), bool)  # an empty line and column end every rectangle
+        free[u - u0, v - v0] = True
+        out = []
+        for i in range(len(free) - 1):
+            at = int(free[i].argmax())
+            while free[i, at]:
+                width = int((~free[i, at:]).argmax())
+                below = free[i:, at : at + width].all(1)
+                height = int((~below).argmax())
+                free[i : i + height, at : at + width] = False
+                out.append((*key, i + u0, at + v0, height, width))
+                at = int(free[i].argmax())
+        return pd.DataFrame(out, columns=["code", "face", "layer", "u", "v", "height", "width"])
+
+    return p.groupBy("code", "face", "layer").applyInPandas(run, "code int, face string, layer int, u int, v int, height int, width int")
+
+
 # Mesh to voxels. Candidate cells come from each triangle's own window.
 
 TRI = [f"{k}{i}" for i in range(3) for k in "xyz"]

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import codes
-from gridloom.functions.frames import GridFrame, LocalMetres, VoxelFrame, buffered, create_rectangle, rectangle_metres, voxel_frame
+from gridloom.functions.frames import GridFrame, LocalMetres, VoxelFrame, buffered, create_rectangle, projections, rectangle_metres, to_geographic, to_projected, voxel_frame
 from gridloom.operators import meshes as mesh_ops
-from gridloom.operators import raster, voxel
+from gridloom.operators import raster, topology, voxel
 from gridloom.sources import citygml, model
 from gridloom.sources.scratch import settled
 
@@ -53,6 +53,8 @@ class CityConfig:
     cache_root: str | None = None
     feature_types: tuple[str, ...] = ("building", "bridge", "terrain", "vegetation")
     tree_codes: list[int] = field(default_factory=lambda: [5])
+    terrain_solid: bool = True
+    max_files: int | None = None
 
     def __post_init__(self) -> None:
         if self.voxel_mode not in MODES:
@@ -115,10 +117,18 @@ def run_core(spark: SparkSession, cfg: CityConfig) -> dict[str, DataFrame]:
     frame, local = GridFrame.of(rect, cfg.voxel_size), rectangle_metres(rect, cx, cy, spark)
     paths = [p for q in ([cfg.citygml_path] if isinstance(cfg.citygml_path, str) else cfg.citygml_path) for p in citygml.discover(spark, q)]
     files = citygml.read_files(spark, paths).where(codes.in_rectangle_by_name(F.col("path"), rect))
+    if cfg.max_files is not None:
+        files = files.join(files.select("path").orderBy("path").limit(cfg.max_files), "path", "left_semi")
+    systems = [r[0] for r in files.where("epsg is not null").select("epsg").distinct().orderBy("epsg").collect()]
+    if unknown := sorted(set(systems) - set(projections())):
+        raise ValueError(f"no projection for {', '.join(unknown)}")
+    for code in systems:
+        files = files.where((F.coalesce(F.col("epsg"), F.lit("")) != code) | codes.tile_in_range(F.col("path"), *_bounds(spark, rect, code)))
     if cfg.cache_root:
         from gridloom.sources.cache import refresh
 
-        parsed = refresh(spark, paths, cfg.cache_root, cfg.building_lod)
+        # The cache holds every file of the dataset; those that the rectangle leaves out are dropped by path.
+        parsed = refresh(spark, paths, cfg.cache_root, cfg.building_lod).join(files.select("path"), "path", "left_semi")
     else:
         parsed = citygml.meshes(files, cfg.building_lod)
     parsed = parsed.where(F.col("failure").isNull() & F.col("feature_type").isin(*cfg.feature_types))
@@ -142,7 +152,7 @@ def run_core(spark: SparkSession, cfg: CityConfig) -> dict[str, DataFrame]:
     objects = tri("building").unionByName(tri("bridge"))
     over = settled(raster.mesh_cells(_grid(objects, frame), frame.n_rows, frame.n_cols))
     heights, segments = settled(raster.building_heights(over, dem)), raster.building_segments(over, dem)
-    cover = land_use_grid(files, frame, cells, rect) if cfg.land_cover_source == "CityGML" else model.named_source(spark, cfg.land_cover_source)
+    cover = land_use_grid(files, frame, cells, rect, systems) if cfg.land_cover_source == "CityGML" else model.named_source(spark, cfg.land_cover_source)
     tall = near.where("feature_type = 'vegetation'").select("seq", F.element_at("attrs", "height").try_cast("double").alias("height"))
     own = raster.vegetation_tops(raster.mesh_cells(_grid(plants, frame), frame.n_rows, frame.n_cols).join(tall, "seq", "left"), dem)
     other = raster.static_canopy(cover, cfg.tree_codes, cfg.static_tree_height) if cfg.canopy_source == "Static" else model.named_source(spark, cfg.canopy_source)
@@ -160,7 +170,9 @@ def run_core(spark: SparkSession, cfg: CityConfig) -> dict[str, DataFrame]:
     stamp = lambda df, code: df.select("r", "c", "z", F.lit(code).alias("code"))
     bridge = stamp(voxel.surface_solid(_metres(tri("bridge"), local), vf, knobs.occupancy_threshold), voxel.BUILDING) if cfg.include_bridges else None
     trees = settled(stamp(voxel.surface_solid(_metres(plants, local), vf, knobs.occupancy_threshold), voxel.TREE))
-    voxels = build_voxels(vf, dem, None, stamp(solid, voxel.BUILDING), bridge, trees, cover, canopy)
+    terrain = _metres(plain("terrain"), local)
+    solid_ground = None if cfg.dem_source or not cfg.terrain_solid else settled(stamp(terrain_voxels(terrain, vf), voxel.GROUND))
+    voxels = build_voxels(vf, dem, solid_ground, stamp(solid, voxel.BUILDING), bridge, trees, cover, canopy)
     voxels = settled(voxels)
     layers = stamp(solid, voxel.BUILDING).unionByName(trees).unionByName(voxel.fill_terrain(dem, vf))
     if bridge is not None:
@@ -169,7 +181,39 @@ def run_core(spark: SparkSession, cfg: CityConfig) -> dict[str, DataFrame]:
     filled = heights.select("r", "c", "h", "id").unionByName(
         raster.fill_ids(roofed, heights.select("r", "c", "id"), frame.n_rows, frame.n_cols).withColumn("h", F.lit(0.0)).select("r", "c", "h", "id"))
     meta = spark.createDataFrame([(vf.n_rows, vf.n_cols, vf.n_z, vf.min_x, vf.max_y, vf.min_z, vf.size)], "n_rows int, n_cols int, n_z int, min_x double, max_y double, min_z double, size double")
-    return {"dem": dem, "cover": cover, "building": filled, "segments": segments, "canopy": canopy, "voxels": voxels, "layers": layers, "mesh_trees": trees.select("r", "c", "z"), "meta": meta}
+    return {"dem": dem, "cover": cover, "building": filled, "segments": segments, "canopy": canopy, "voxels": voxels, "layers": layers, "mesh_trees": trees.select("r", "c", "z"), "meshes": _mesh_table(vf, {
+        voxel.GROUND: terrain, voxel.TREE: _metres(plants, local), voxel.BUILDING: _metres(tri("building"), local), voxel.BRIDGE: _metres(tri("bridge"), local)}), "meta": meta}
+
+
+def _bounds(spark: SparkSession, rect: list[tuple[float, float]], epsg: str) -> tuple[float, float, float, float]:
+    """The box around a rectangle of (lon, lat) corners in a projected system."""
+    p = spark.createDataFrame([(float(x), float(y)) for x, y in rect], "lon double, lat double").select(to_projected(F.col("lon"), F.col("lat"), F.lit(epsg), [epsg]).alias("p"))
+    return tuple(p.agg(F.min("p.x"), F.min("p.y"), F.max("p.x"), F.max("p.y")).first())
+
+
+def terrain_voxels(tri: DataFrame, frame: VoxelFrame) -> DataFrame:
+    """(r, c, z) of terrain triangles made a solid down to the frame's floor: a cell is ground if its centre is in it.
+
+    Points nearer than a thousandth of a cell are one; numbers are fixed by a checkpoint before they are used twice.
+    """
+    n = settled(tri.select(F.monotonically_increasing_id().alias("face"), *voxel.TRI))
+    v = n.select("face", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), *[F.col(f"{k}{i}").alias(k) for k in "xyz"]) for i in range(3)])).alias("p"))
+    v = v.select(F.lit(0).cast("long").alias("mesh"), (F.col("face") * 3 + F.col("p.i")).alias("v"), "p.x", "p.y", "p.z")
+    f = n.select(F.lit(0).cast("long").alias("mesh"), "face", *[(F.col("face") * 3 + i).alias(k) for i, k in enumerate("abc")])
+    points, faces = topology.terrain_solid(v, f, 1 << 60, frame.min_z, frame.size * 1e-3)
+    t = topology.face_points(settled(faces), settled(points)).withColumn("seq", F.lit(0).cast("long"))
+    low = t.withColumns({f"z{i}": F.col(f"z{i}") - frame.size / 2 for i in range(3)})  # so that whole cells up to the half are ground
+    return voxel.scanline_fill(low, frame).select("r", "c", "z")
+
+
+def _mesh_table(frame: VoxelFrame, kinds: dict[int, DataFrame]) -> DataFrame:
+    """(code, seq, face, x0..z2): triangles by category in the exports' frame, x southwards, y eastwards, from the grid's corner."""
+    out = None
+    for code, tri in kinds.items():
+        place = {k: [{"x": frame.max_y - F.col(f"y{i}"), "y": F.col(f"x{i}") - frame.min_x, "z": F.col(f"z{i}") - frame.min_z}[k].alias(f"{k}{i}") for i in range(3)] for k in "xyz"}
+        one = tri.select(F.lit(code).alias("code"), F.col("seq").cast("long").alias("seq"), F.monotonically_increasing_id().alias("face"), *[place[k][i] for i in range(3) for k in "xyz"])
+        out = one if out is None else out.unionByName(one)
+    return settled(out)
 
 
 def _lifted(tri: DataFrame, old: DataFrame | None, new: DataFrame, frame: GridFrame) -> DataFrame:
@@ -179,11 +223,17 @@ def _lifted(tri: DataFrame, old: DataFrame | None, new: DataFrame, frame: GridFr
     return tri.join(dz, "seq").withColumns({f"z{i}": F.col(f"z{i}") + F.col("dz") for i in range(3)}).drop("dz")
 
 
-def land_use_grid(files: DataFrame, frame: GridFrame, cells: DataFrame, rect: list[tuple[float, float]]) -> DataFrame:
+def land_use_grid(files: DataFrame, frame: GridFrame, cells: DataFrame, rect: list[tuple[float, float]], systems: list[str] | None = None) -> DataFrame:
     """(r, c, code) from land-use files; cells without a polygon have the default class."""
     xs, ys = [p[0] for p in rect], [p[1] for p in rect]
     bounds = (min(xs), min(ys), max(xs), max(ys))
-    use = citygml.land_use_from_text(files.where("feature_type = 'land use'").where(citygml.envelope_meets(F.col("text"), *bounds)).select("path", "text"), "text", bounds)
+    own = files.where("feature_type = 'land use'")
+    use = citygml.land_use_from_text(own.where("epsg is null").where(citygml.envelope_meets(F.col("text"), *bounds)).select("path", "text"), "text", bounds)
+    if systems:
+        far = citygml.land_use_from_text(own.where("epsg is not null").select("path", "epsg", "text"), "text")
+        back = lambda ring: F.transform(ring, lambda p: to_geographic(p["y"], p["x"], F.col("epsg"), systems))
+        turned = lambda ring: F.transform(back(ring), lambda g: F.struct(g["lon"].alias("x"), g["lat"].alias("y")))
+        use = use.unionByName(far.withColumns({"ring": turned(F.col("ring")), "holes": F.transform("holes", turned)}).drop("epsg"))
 
     def place(p):
         r, c = frame.rowcol(p["x"], p["y"])
@@ -204,12 +254,16 @@ def generate(spark: SparkSession, cfg: CityConfig, out: str | None = None) -> di
 
 
 def export_obj(tables: dict[str, DataFrame], path: str, what: str = "voxels") -> None:
-    """OBJ in the one frame of the meta row: `voxels`, `layers` (each category by itself, overlaps kept) or `cover`."""
-    size = tables["meta"].first()["size"]
+    """OBJ in the one frame of the meta row: `voxels`, `layers` (each category by itself, overlaps kept), `cover`, or
+    `meshes` (triangles cut at the rectangle). Faces of voxels are joined to large rectangles."""
+    meta = tables["meta"].first()
+    size = meta["size"]
     if what == "cover":
         model.write_obj(model.cover_quads(tables["cover"], tables["dem"], size), path)
+    elif what == "meshes":
+        model.write_obj(model.triangle_polygons(tables["meshes"], (0.0, 0.0), (meta["n_rows"] * size, meta["n_cols"] * size)), path)
     else:
-        model.write_obj(model.voxel_quads(voxel.exposed_faces(tables[what]), size), path)
+        model.write_obj(model.rectangle_quads(voxel.maximal_rectangles(voxel.exposed_faces(tables[what])), size), path)
 
 
 def reapply(spark: SparkSession, path: str, canopy: DataFrame, to: str) -> dict[str, DataFrame]:

@@ -370,6 +370,27 @@ def greedy_rectangles(spark, d):
     return voxel.greedy_rectangles(face_runs(spark, d), ["code", "face", "z"], "r")
 
 
+@query(*_CITY, "exposed", sql="SELECT code::INT AS code, face, r, c, z FROM exposed")
+def maximal_rectangles(spark, d):
+    """The rectangles, cut into faces again: each face must come back once."""
+    m = voxel.maximal_rectangles(voxel.exposed_faces(_city(spark, d)))
+    cut = m.withColumn("i", F.explode(F.expr("sequence(u, u + height - 1)"))).withColumn("j", F.explode(F.expr("sequence(v, v + width - 1)")))
+    back = {k: F.coalesce(*[F.when(F.col("face") == f, {p[0]: F.col("layer"), p[1]: F.col("i"), p[2]: F.col("j")}[k]) for f, p in voxel.PLANES.items()]) for k in "rcz"}
+    return cut.select("code", "face", *[v.alias(k) for k, v in back.items()])
+
+
+@query(sql="SELECT r::INT AS r, c::INT AS c, z::INT AS z FROM range(64) AS a(r), range(64) AS b(c), range(0, 48) AS d(z) WHERE r < 60 AND c < 60 AND 2 * z + 1 < 10 + ((63 - r) * 2 - 1) * 0.25 + (c * 2 + 1) * 0.5")
+def terrain_voxels(spark, d):
+    """A plane that rises to the north and east, in 30 x 30 squares of 4 m, over 60 x 60 cells."""
+    from gridloom.plans import city
+
+    z = lambda x, y: f"10 + ({y} + 126) * 0.25 + {x} * 0.5"
+    at = lambda i, j: F.expr(f"struct(cast({j} * 4 as double) as x, cast(-{i} * 4 as double) as y, cast({z(f'{j} * 4', f'(-{i} * 4)')} as double) as z)")
+    q = spark.range(900).select(F.expr("id div 30 as i"), F.expr("id % 30 as j"))
+    t = q.select(F.explode(F.array(F.array(at("i", "j"), at("(i + 1)", "j"), at("i", "(j + 1)")), F.array(at("i", "(j + 1)"), at("(i + 1)", "j"), at("(i + 1)", "(j + 1)")))).alias("t"))
+    return city.terrain_voxels(t.select(*[F.col("t")[i][k].alias(f"{k}{i}") for i in range(3) for k in "xyz"]), FRAME)
+
+
 @query("boxes", "plan", "solids", "around", sql="SELECT seq, r, c, z FROM around WHERE NOT whole")
 def sat_shell(spark, d):
     return voxel.surface_cells(scenes.solids(spark, d), FRAME, False)

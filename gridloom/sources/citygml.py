@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions import codes, geometry
+from gridloom.functions import codes, frames, geometry
 
 MESH = ("feature_type string, feature_id string, k int, attrs map<string,string>, "
         "vertices array<struct<x:double,y:double,z:double>>, faces array<struct<a:int,b:int,c:int>>")
@@ -136,6 +136,15 @@ class _Mesh:
                 self.n += len(every)
         return self
 
+    def back(self, epsg: str | None) -> _Mesh:
+        """Points of a projected system (east, north, z) as (latitude, longitude, z); others as they are."""
+        if epsg in _PROJECTED:
+            tm, east, north = _PROJECTED[epsg]
+            for i, v in enumerate(self.v):
+                lon, lat = tm.unproject(v[:, 0] - east, v[:, 1] - north, frames.NUMPY)
+                self.v[i] = np.column_stack([lat, lon, v[:, 2]])
+        return self
+
     def moved(self, matrix: np.ndarray, ref: np.ndarray) -> _Mesh:
         self.v = [v @ matrix[:3, :3].T + matrix[:3, 3] + ref for v in self.v]
         return self
@@ -232,8 +241,15 @@ PLANT = {"height": "height", "averageHeight": "height", "species": "type", "clas
          "crownHeight": "crown_height", "trunkHeight": "trunk_height", "crownVolume": "crown_volume"}
 
 
-def extract(text: str, feature_type: str, lod: int | None = None) -> list[tuple]:
-    """(feature_type, feature_id, k, attrs, vertices, faces) of a file's features, in document order."""
+#: Projected systems that points are taken back from.
+_PROJECTED = frames.projections()
+
+
+def extract(text: str, feature_type: str, lod: int | None = None, epsg: str | None = None) -> list[tuple]:
+    """(feature_type, feature_id, k, attrs, vertices, faces) of a file's features, in document order.
+
+    epsg: the file's projected system, if it has one; its points are given as latitude and longitude.
+    """
     root = ET.fromstring(text)
     rows: list[tuple[str, dict, _Mesh]] = []
 
@@ -258,25 +274,27 @@ def extract(text: str, feature_type: str, lod: int | None = None) -> list[tuple]
                 if key in PLANT and v and PLANT[key] not in attrs:
                     attrs[PLANT[key]] = v
             rows.append((gml_id(e), attrs, _plant(e, known)))
-    return [(feature_type, i, n, a, *m.columns()) for n, (i, a, m) in enumerate(rows) if m]
+    return [(feature_type, i, n, a, *m.back(epsg).columns()) for n, (i, a, m) in enumerate(rows) if m]
 
 
 def meshes(files: DataFrame, lod: int | None = None) -> DataFrame:
-    """(path, feature_type, feature_id, k, attrs, vertices, faces, failure) of files (path, text, feature_type).
+    """(path, feature_type, feature_id, k, attrs, vertices, faces, failure) of files (path, text, feature_type[, epsg]).
 
-    Points are as the file has them: x = latitude or first axis. A file that can't be parsed is one row
+    x = latitude and y = longitude, also for files in a projected system; without an epsg, points are as the file has
+    them. A file that can't be parsed is one row
     with its error in `failure` and nothing else.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["path", "feature_type", "feature_id", "k", "attrs", "vertices", "faces", "failure"]
         for pdf in batches:
-            for path, text, kind in zip(pdf.path, pdf.text, pdf.feature_type):
+            for path, text, kind, epsg in zip(pdf.path, pdf.text, pdf.feature_type, pdf.epsg):
                 try:
-                    rows = [(path, *r, None) for r in extract(text, kind, lod)]
+                    rows = [(path, *r, None) for r in extract(text, kind, lod, epsg)]
                 except (ET.ParseError, ValueError) as e:
                     rows = [(path, kind, None, None, None, None, None, str(e)[:300])]
                 if rows:
                     yield pd.DataFrame(rows, columns=names).astype({"k": "Int32"})
 
-    return files.where("feature_type <> 'land use'").select("path", "text", "feature_type").mapInPandas(run, f"path string, {MESH}, failure string")
+    own = F.col("epsg") if "epsg" in files.columns else F.lit(None).cast("string").alias("epsg")
+    return files.where("feature_type <> 'land use'").select("path", "text", "feature_type", own).mapInPandas(run, f"path string, {MESH}, failure string")

@@ -63,6 +63,21 @@ def voxel_quads(faces: DataFrame, size: float) -> DataFrame:
     return q.select("code", F.struct("r", "c", "z", "face").alias("quad"), "k", "p.x", "p.y", "p.z")
 
 
+def rectangle_quads(rects: DataFrame, size: float) -> DataFrame:
+    """(code, quad, k, x, y, z): four corners of each rectangle of faces (code, face, layer, u, v, height, width), in voxel_quads' frame."""
+    u0, u1, v0, v1 = F.col("u"), F.col("u") + F.col("height"), F.col("v"), F.col("v") + F.col("width")
+    side = F.col("layer") + F.when(F.col("face").isin("south", "east", "up"), 1).otherwise(0)
+    at = lambda x, y, z: F.struct((x * size).alias("x"), (y * size).alias("y"), (z * size).alias("z"))
+    rows = {  # (u, v) is (z, column), (z, row) or (row, column)
+        "south": [(side, v0, u0), (side, v1, u0), (side, v1, u1), (side, v0, u1)], "north": [(side, v0, u0), (side, v0, u1), (side, v1, u1), (side, v1, u0)],
+        "east": [(v0, side, u0), (v0, side, u1), (v1, side, u1), (v1, side, u0)], "west": [(v0, side, u0), (v1, side, u0), (v1, side, u1), (v0, side, u1)],
+        "up": [(u0, v0, side), (u1, v0, side), (u1, v1, side), (u0, v1, side)], "down": [(u0, v0, side), (u0, v1, side), (u1, v1, side), (u1, v0, side)],
+    }
+    quad = F.coalesce(*[F.when(F.col("face") == k, F.array(*[at(*p) for p in v])) for k, v in rows.items()])
+    q = rects.select("code", "face", "layer", "u", "v", F.posexplode(quad).alias("k", "p"))
+    return q.select("code", F.struct("layer", "u", "v", "face").alias("quad"), "k", "p.x", "p.y", "p.z")
+
+
 def cover_quads(cover: DataFrame, dem: DataFrame, size: float) -> DataFrame:
     """Corners of one quad for each cell with a code other than 0, at the cell's ground height."""
     c = cover.where("code <> 0").join(dem, ["r", "c"], "left").withColumn("dem", F.coalesce("dem", F.lit(0.0)))
@@ -84,7 +99,7 @@ def triangle_polygons(tri: DataFrame, lo: tuple[float, float], hi: tuple[float,
             if out:
                 yield pd.DataFrame(out, columns=["code", "seq", "face", "k", "x", "y", "z"])
 
-    got = tri.select("code", "seq", "face", *cols).mapInPandas(run, "code int, seq long, face int, k int, x double, y double, z double")
+    got = tri.select("code", "seq", "face", *cols).mapInPandas(run, "code int, seq long, face long, k int, x double, y double, z double")
     return got.select("code", F.struct("seq", "face").alias("quad"), "k", "x", "y", "z")
 
 

@@ -189,6 +189,49 @@ def test_terrain_becomes_a_solid(spark):
     assert topology.repair_accepted(tri, tri).first()["accepted"] is True
 
 
+DEM = """<core:CityModel xmlns:core="c" xmlns:dem="d" xmlns:gml="g"><core:cityObjectMember><dem:TINRelief gml:id="t">{tri}</dem:TINRelief></core:cityObjectMember></core:CityModel>"""
+
+
+def test_projected_dataset_builds_the_same_city(spark, tmp_path):
+    """One lot and its ground in latitude and longitude, and the same in UTM metres under an EPSG code."""
+    from gridloom.functions import frames
+
+    lon, lat, size = 11.5699, 48.1299, 0.0002
+    far = 0.0008
+    ground = [[(lat - far, lon - far, 3.0), (lat - far, lon + far, 3.0), (lat + far, lon + far, 3.0)], [(lat - far, lon - far, 3.0), (lat + far, lon + far, 3.0), (lat + far, lon - far, 3.0)]]
+    ring = lambda pts: "<gml:Polygon><gml:exterior><gml:LinearRing><gml:posList>" + " ".join(f"{a!r} {o!r} {z}" for a, o, z in [*pts, pts[0]]) + "</gml:posList></gml:LinearRing></gml:exterior></gml:Polygon>"
+    c = [(lat, lon), (lat, lon + size), (lat + size, lon + size), (lat + size, lon)]
+    faces = [[(*p, 3.0) for p in c[::-1]], [(*p, 13.0) for p in c], *[[(*c[i], 3.0), (*c[(i + 1) % 4], 3.0), (*c[(i + 1) % 4], 13.0), (*c[i], 13.0)] for i in range(4)]]
+    points = sorted({p for f in [*faces, *ground] for p in f})
+    df = spark.createDataFrame([(i, p[1], p[0]) for i, p in enumerate(points)], "i int, lon double, lat double")
+    flat = {points[r.i]: (r.p.x, r.p.y, points[r.i][2]) for r in df.select("i", frames.to_projected(F.col("lon"), F.col("lat"), F.lit("EPSG:25832"), ["EPSG:25832"]).alias("p")).collect()}
+    out = {}
+    for name, move, head in (("geo", lambda p: p, ""), ("utm", flat.__getitem__, '<gml:Envelope srsName="EPSG:25832"></gml:Envelope>')):
+        for folder, text in (("bldg", LOT.format(id="b", faces="".join(ring([move(p) for p in f]) for f in faces))), ("dem", DEM.format(tri="".join(ring([move(p) for p in f]) for f in ground)))):
+            d = tmp_path / name / "udx" / folder
+            d.mkdir(parents=True)
+            (d / f"a_{folder}.gml").write_text(text.replace("<core:cityObjectMember>", head + "<core:cityObjectMember>", 1))
+        t = city.run_core(spark, city.CityConfig(str(tmp_path / name), lon + size / 2, lat + size / 2, 60.0, voxel_size=4.0, land_cover_source="CityGML"))
+        out[name] = {(r.r, r.c, r.z, r.code) for r in t["voxels"].collect()}
+    assert len({x for x in out["geo"] if x[3] == -3}) > 10 and any(x[3] == 14 for x in out["geo"])  # the ground's only level is under land cover
+    assert out["geo"] == out["utm"]
+    city.export_obj(t, str(tmp_path / "meshes"), "meshes")
+    lines = [x.value for x in spark.read.text(str(tmp_path / "meshes.obj")).collect()]
+    assert sum(x.startswith("f ") for x in lines) >= 14 and {x for x in lines if x.startswith("usemtl")} == {"usemtl ground", "usemtl building"}
+
+
+def test_unknown_projection_is_an_error(spark, dataset):
+    (dataset / "udx" / "bldg" / "x_bldg.gml").write_text('<core:CityModel xmlns:core="c" srsName="EPSG:31467"/>')
+    with pytest.raises(ValueError, match="31467"):
+        city.run_core(spark, city.CityConfig(str(dataset), 139.77, 35.65, 60.0))
+
+
+def test_rectangles_are_maximal(spark):
+    v = spark.createDataFrame([(r, c, 0, -3) for r in range(4) for c in range(6)] + [(9, 9, 0, -3)], "r int, c int, z int, code int")
+    m = voxel.maximal_rectangles(voxel.exposed_faces(v)).where("face = 'up'")
+    assert sorted((x.u, x.v, x.height, x.width) for x in m.collect()) == [(0, 0, 4, 6), (9, 9, 1, 1)]
+
+
 def test_no_building_is_an_error(spark, dataset):
     with pytest.raises(ValueError):
         city.run_core(spark, city.CityConfig(str(dataset), 0.0, 0.0, 60.0))
