@@ -7,7 +7,10 @@ Cells are rows (r, c, ...), r = 0 at the north. Grid coordinates: the centre of
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,6 +141,35 @@ def polygon_cells(polys: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
     return w.select("seq", "code", "r", "c")
 
 
+def clip_polygons(polys: DataFrame, lo: tuple[float, float], hi: tuple[float, float]) -> DataFrame:
+    """Polygons (seq, code, ring, holes) cut to a range of x and y; those with nothing left go, and so do holes.
+
+    seq: a long. A concave ring that falls apart stays one ring whose parts touch along the range's edge.
+    """
+    from gridloom.functions.geometry import clip_box
+
+    def cut(ring: list) -> list:
+        p = clip_box(np.array([[q["x"], q["y"]] for q in ring], float).reshape(-1, 2), lo, hi)
+        return [{"x": x, "y": y} for x, y in p.tolist()] if len(p) >= 3 else []
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(seq, code, cut(ring), [h for h in map(cut, holes) if h]) for seq, code, ring, holes in zip(pdf.seq, pdf.code, pdf.ring, pdf.holes)]
+            yield pd.DataFrame([r for r in rows if r[2]], columns=["seq", "code", "ring", "holes"])
+
+    point = "array<struct<x:double,y:double>>"
+    near = polys.where((F.size("ring") >= 3) & F.exists("ring", lambda p: p["x"] >= lo[0]) & F.exists("ring", lambda p: p["x"] <= hi[0])
+                       & F.exists("ring", lambda p: p["y"] >= lo[1]) & F.exists("ring", lambda p: p["y"] <= hi[1]))
+    return near.select("seq", "code", "ring", "holes").mapInPandas(run, f"seq long, code int, ring {point}, holes array<{point}>")
+
+
+def terrain_points(tri: DataFrame, decimals: int = 10) -> DataFrame:
+    """(x, y, z): the corners of triangles x0..z2, one of each place (to so many decimals), the lowest."""
+    p = tri.select(F.explode(F.array(*[F.struct(*[F.col(f"{k}{i}").alias(k) for k in "xyz"]) for i in range(3)])).alias("p")).select("p.*")
+    one = p.groupBy(F.round("x", decimals).alias("qx"), F.round("y", decimals).alias("qy")).agg(F.min(F.struct("z", "x", "y")).alias("m"))
+    return one.select("m.x", "m.y", "m.z")
+
+
 def land_cover(cells: DataFrame, grid: DataFrame, default: int = DEFAULT_CLASS) -> DataFrame:
     """(r, c, code) of each grid cell: the class of highest priority, of equal ones the last in order."""
     rank = lookup(F.col("code"), PRIORITY, 0)

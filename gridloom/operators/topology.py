@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,31 @@ def boundary_edges(faces: DataFrame) -> DataFrame:
     return edge_counts(faces).where("n = 1").select("mesh", "lo", "hi")
 
 
+def boundary_loops(faces: DataFrame) -> DataFrame:
+    """(mesh, rank, edges, first): the connected parts of each mesh's boundary, the one of most edges first, then by least vertex.
+
+    A mesh's boundary edges are worked on together; its faces aren't gathered.
+    """
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        points, at = np.unique(pdf[["lo", "hi"]].to_numpy(), return_inverse=True)
+        a, b = at.reshape(-1, 2).T
+        root = np.arange(len(points))
+        while True:  # the least number reaches every point of a part
+            low = np.minimum(root[a], root[b])
+            new = root.copy()
+            np.minimum.at(new, root[a], low)
+            np.minimum.at(new, root[b], low)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        part, n = np.unique(root[a], return_counts=True)
+        order = np.lexsort((part, -n))
+        return pd.DataFrame({"mesh": key[0], "rank": np.arange(len(part)), "edges": n[order], "first": points[part[order]]})
+
+    return boundary_edges(faces).groupBy("mesh").applyInPandas(run, "mesh long, rank int, edges long, first long")
+
+
 def pinch_points(faces: DataFrame) -> DataFrame:
     """(mesh, v, n): vertices on more than two boundary edges."""
     ends = boundary_edges(faces).select("mesh", F.explode(F.array("lo", "hi")).alias("v"))

@@ -290,6 +290,11 @@ def at_least(cells: DataFrame, threshold: float) -> DataFrame:
     return cells.where(F.col("share") >= threshold) if threshold > 0 else cells
 
 
+def occupied_cells(tri: DataFrame, frame: VoxelFrame, threshold: float, parts: int = 3) -> DataFrame:
+    """(seq, r, c, z) of cells of which a surface takes a share of at least the threshold; 0 or less: of cells it enters."""
+    return at_least(occupancy(tri, frame, parts), threshold).select("seq", *CELL) if threshold > 0 else surface_cells(tri, frame, False)
+
+
 #: Shift of vertical rays from a column's centre, as shares of a cell: any small ones serve.
 RAY_X, RAY_Y = 0.00031, 0.00053
 

@@ -429,7 +429,9 @@ def fill_holes(spark, d):
 
 @query("boxes", "plan", "solids", "around", sql="SELECT seq, r, c, z FROM around WHERE part = 0")
 def building_solid(spark, d):
-    return voxel.building_solid(scenes.solids(spark, d), FRAME, 0.0, 3, "connected")
+    from gridloom.sources.scratch import settled
+
+    return voxel.building_solid(scenes.solids(spark, d), FRAME, 0.0, 3, "connected", keep=settled)
 
 
 @query(*_CITY, sql="""SELECT count(*) AS pairs, sum(CASE WHEN abs(a.t - b.t) = 1 THEN 1 ELSE 0 END)::BIGINT AS steps, round(avg(CASE WHEN abs(a.t - b.t) = 1 THEN 1.0 ELSE 0.0 END), 6) AS share
@@ -721,7 +723,7 @@ def canopy_merge(spark, d):
 
 @query("boxes", "plan", "solids", sql=SQL["occupancy_fraction"].split("SELECT seq, r, c, z, round(count(*)", 1)[1].join(["SELECT seq, r, c, z FROM (SELECT seq, r, c, z, round(count(*)", ") WHERE share >= 0.3"]))
 def occupancy_at_least(spark, d):
-    return voxel.at_least(voxel.occupancy(scenes.solids(spark, d), FRAME), 0.3).select("seq", "r", "c", "z")
+    return voxel.occupied_cells(scenes.solids(spark, d), FRAME, 0.3)
 
 
 @query("cells", "dem", sql="""SELECT r, c, k::INT AS k, c::DOUBLE AS x0, r::DOUBLE AS y0, CASE k WHEN 0 THEN a ELSE b END AS z0, (c + k)::DOUBLE AS x_mid, CASE k WHEN 0 THEN e ELSE f END AS z1, CASE k WHEN 0 THEN b ELSE g END AS z2 FROM (
@@ -743,6 +745,31 @@ def triangle_clip(spark, d):
     return p.select("quad.seq", area.alias("a")).groupBy("seq").agg(F.round(F.sum("a"), 6).alias("area")).where("area > 0")
 
 
+@query("boxes", sql="""SELECT seq, round(greatest(0, least(c0 + w + 0.5, 30) - greatest(c0, 10)) * greatest(0, least(r0 + h + 0.5, 50) - greatest(r0, 20)) - (CASE WHEN seq % 2 = 0 THEN greatest(0, least(c0 + 0.75, 30) - greatest(c0 + 0.25, 10)) *
+    greatest(0, least(r0 + 0.75, 50) - greatest(r0 + 0.25, 20)) ELSE 0 END)::DOUBLE, 6)::DOUBLE AS area FROM boxes WHERE c0 + w + 0.5 > 10 AND c0 < 30 AND r0 + h + 0.5 > 20 AND r0 < 50""")
+def landcover_clip(spark, d):
+    ring = lambda a, b, x, y: f"array(struct(c0 + {a} as x, r0 + {a} as y), struct(c0 + {x} as x, r0 + {a} as y), struct(c0 + {x} as x, r0 + {y} as y), struct(c0 + {a} as x, r0 + {y} as y))"
+    b = scenes.boxes(spark, d).select("seq", F.lit(5).alias("code"), F.expr(ring("0D", "0D", "w + 0.5D", "h + 0.5D")).alias("ring"), F.expr(f"if(seq % 2 = 0, array({ring('0.25D', '0.25D', '0.75D', '0.75D')}), array())").alias("holes"))
+    cut = raster.clip_polygons(b, (10.0, 20.0), (30.0, 50.0))
+    area = lambda p: F.abs(F.aggregate(F.transform(p, lambda a, i: a["x"] * F.get(p, (i + 1) % F.size(p))["y"] - F.get(p, (i + 1) % F.size(p))["x"] * a["y"]), F.lit(0.0), lambda s, x: s + x)) / 2
+    gone = F.aggregate("holes", F.lit(0.0), lambda s, h: s + area(h))
+    return cut.select("seq", F.round(area(F.col("ring")) - gone, 6).alias("area")).where("area > 0")
+
+
+@query("boxes", sql="SELECT x, y, min(zmax) AS z FROM (SELECT zmax, c0 - 0.25::DOUBLE AS x, unnest([r0 - 0.25::DOUBLE, r0 + h - 0.75::DOUBLE]) AS y FROM boxes UNION ALL SELECT zmax, c0 + w - 0.75::DOUBLE, unnest([r0 - 0.25::DOUBLE, r0 + h - 0.75::DOUBLE]) FROM boxes) GROUP BY x, y")
+def terrain_points(spark, d):
+    return raster.terrain_points(scenes.roofs(spark, d))
+
+
+@query(sql="SELECT s_suppkey AS mesh, rank::INT AS rank, CASE rank WHEN 0 THEN 4 ELSE 3 END AS edges, CASE rank WHEN 0 THEN 10 ELSE 20 * rank END AS first FROM (SELECT s_suppkey, unnest(range(0, 1 + s_nationkey % 3)) AS rank FROM supplier)")
+def boundary_loops(spark, d):
+    """A square of two faces and up to two triangles apart from it."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("mesh"), "s_nationkey")
+    f = s.withColumn("face", F.explode(F.expr("sequence(0L, cast(1 + s_nationkey % 3 as bigint))")))
+    return topology.boundary_loops(f.select("mesh", "face", F.expr("case face when 0 then 10L when 1 then 10L else 20 * (face - 1) end as a"),
+                                            F.expr("case face when 0 then 11L when 1 then 12L else 20 * (face - 1) + 1 end as b"), F.expr("case face when 0 then 12L when 1 then 13L else 20 * (face - 1) + 2 end as c")))
+
+
 # Filters of the examples
 
 _BOX_RING = "array(struct(cast(c0 as double) as x, cast(r0 as double) as y), struct(cast(c0 + w as double) as x, cast(r0 as double) as y), struct(cast(c0 + w as double) as x, cast(r0 + h as double) as y), struct(cast(c0 as double) as x, cast(r0 + h as double) as y))"
