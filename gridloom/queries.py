@@ -418,8 +418,7 @@ def occupancy_fraction(spark, d):
 
 @query("boxes", "plan", "solids", "around", sql="SELECT seq, r, c, z FROM around WHERE NOT whole AND part = 0")
 def shell_anchor(spark, d):
-    s = scenes.solids(spark, d)
-    return voxel.anchor_shell(voxel.surface_cells(s, FRAME, False), voxel.winding_fill(s, FRAME), "connected")
+    return voxel.shell_anchor(scenes.solids(spark, d), FRAME, "connected")
 
 
 @query("boxes", "plan", "solids", "around", sql="SELECT seq, r, c, z FROM around")
@@ -429,9 +428,7 @@ def fill_holes(spark, d):
 
 @query("boxes", "plan", "solids", "around", sql="SELECT seq, r, c, z FROM around WHERE part = 0")
 def building_solid(spark, d):
-    from gridloom.sources.scratch import settled
-
-    return voxel.building_solid(scenes.solids(spark, d), FRAME, 0.0, 3, "connected", keep=settled)
+    return voxel.building_solid(scenes.solids(spark, d), FRAME, 0.0, 3, "connected")
 
 
 @query(*_CITY, sql="""SELECT count(*) AS pairs, sum(CASE WHEN abs(a.t - b.t) = 1 THEN 1 ELSE 0 END)::BIGINT AS steps, round(avg(CASE WHEN abs(a.t - b.t) = 1 THEN 1.0 ELSE 0.0 END), 6) AS share
