@@ -91,7 +91,7 @@ class PieceSampler:
     """One vocabulary and theta. Keeps the lattices of distinct units up to NODES positions between calls."""
 
     #: Positions kept, characters learned at a time, and bytes of text sampled at a time.
-    NODES, LEARN, BLOCK = 2_500_000, 1_000_000, 4_000_000
+    NODES, LEARN, BLOCK = 400_000, 100_000, 500_000
 
     def __init__(self, path: str, theta: float) -> None:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)

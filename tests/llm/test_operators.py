@@ -618,3 +618,17 @@ def test_scratch_is_deleted(spark):
     drop_scratch(since=mark, but=(out,))
     assert [kind for _, kind, _ in SCRATCH[mark:]] == ["path"] and out.count() == df.count()
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("gridloom_batches")]
+
+
+def test_sampling_many_distinct_words_takes_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join("".join(chr(97 + c) for c in w) for w in rng.integers(0, 26, (20_000, 9))) for _ in range(12)]
+    s = piece_sampling.PieceSampler(MODEL, 1.0)
+    tracemalloc.start()
+    for k, t in enumerate(texts):
+        s.sample([t], np.array([k]), 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
