@@ -413,7 +413,7 @@ def scanline_parity(spark, d):
     AND NOT (i * s > ym AND j * s > xm)
     AND NOT (i * s > ya AND i * s + s < yb AND j * s > xa AND j * s + s < xb AND k * s > za AND k * s + s < zb AND NOT (i * s + s > ym AND j * s + s > xm))) WHERE r BETWEEN 0 AND 63 AND c BETWEEN 0 AND 63 GROUP BY seq, r, c, z""")
 def occupancy_fraction(spark, d):
-    return voxel.occupancy(scenes.solids(spark, d), FRAME).select("seq", "r", "c", "z", _r("share"))
+    return voxel.occupancy(scenes.meshes(spark, d), FRAME).select("seq", "r", "c", "z", _r("share"))
 
 
 @query("boxes", "plan", "solids", "around", sql="SELECT seq, r, c, z FROM around WHERE NOT whole AND part = 0")
