@@ -720,7 +720,7 @@ def canopy_merge(spark, d):
 
 @query("boxes", "plan", "solids", sql=SQL["occupancy_fraction"].split("SELECT seq, r, c, z, round(count(*)", 1)[1].join(["SELECT seq, r, c, z FROM (SELECT seq, r, c, z, round(count(*)", ") WHERE share >= 0.3"]))
 def occupancy_at_least(spark, d):
-    return voxel.occupied_cells(scenes.solids(spark, d), FRAME, 0.3)
+    return voxel.occupied_cells(scenes.meshes(spark, d), FRAME, 0.3)
 
 
 @query("cells", "dem", sql="""SELECT r, c, k::INT AS k, c::DOUBLE AS x0, r::DOUBLE AS y0, CASE k WHEN 0 THEN a ELSE b END AS z0, (c + k)::DOUBLE AS x_mid, CASE k WHEN 0 THEN e ELSE f END AS z1, CASE k WHEN 0 THEN b ELSE g END AS z2 FROM (
