@@ -398,7 +398,7 @@ def sat_shell(spark, d):
 
 @query("boxes", "plan", "solids", "around", sql="SELECT seq, r, c, z FROM around WHERE middle")
 def winding_fill(spark, d):
-    return voxel.winding_fill(scenes.solids(spark, d), FRAME)
+    return voxel.winding_fill(scenes.meshes(spark, d), FRAME)
 
 
 @query("boxes", "plan", "solids", sql="""SELECT seq, r::INT AS r, c::INT AS c, z::INT AS z FROM solids, range(floor(ya / 2)::INT, floor(yb / 2)::INT + 1) AS a(r), range(floor(xa / 2)::INT, floor(xb / 2)::INT + 1) AS b(c), range(0, least(47, floor(zb / 2)::INT) + 1) AS d(z)
